@@ -9,7 +9,10 @@ from .chat import chat_windows, read_back
 from .common import table
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
+from .html_blocks import extract_main_text
+from .lm import lm_scores
 from .packing import pack
+from .pii import find_personal_data
 from .tokens import token_counts
 
 
@@ -23,10 +26,22 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def with_probe(conversations: DataFrame) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = conversations.sparkSession.range(1).select(
@@ -57,7 +72,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
+        "op2_html_extraction": op2_html_extraction,
         "op3_exact_dedup": op3_exact_dedup,
+        "op5_lm_scoring": op5_lm_scoring,
+        "op7_personal_data": op7_personal_data,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_token_counts": op9_token_counts,
         "op10_decontamination": op10_decontamination,
