@@ -1,10 +1,11 @@
 """Exact duplicates by a content sort.
 
-The texts are range-partitioned by sampled splitters, sorted externally inside
-each range so that equal texts are adjacent, and neighbours are compared in full
-(the window's group change compares whole texts, not digests).  A text that the
-sample shows to be hot is dealt over several ranges by a salt of its row id; the
-few hot texts' totals come from a small pre-aggregated table.
+The texts are range-partitioned by sampled splitters (their first bytes, then a hash
+for texts that begin alike: the sample that Spark draws holds no whole text), sorted
+externally inside each range so that equal texts are adjacent, and neighbours are
+compared in full (the window's group change compares whole texts, not digests).  A
+text that the sample shows to be hot is dealt over several ranges by a salt of its row
+id; the few hot texts' totals come from a small pre-aggregated table.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ def exact_dedup(
     text_col: str = "text",
     keep: str = "smallest",
     samples_per_partition: int = 64,
+    splitter_chars: int = 128,
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
@@ -49,13 +51,16 @@ def exact_dedup(
         for r in taken.groupBy("_sha").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()
     }
 
-    salt = F.lit(0)
+    placed = rows.withColumn("_start", F.substring("_text", 1, splitter_chars)).withColumn("_hash", F.xxhash64("_text"))
+    keys = ["_start", "_hash"]
     if hot:
         salts = F.create_map(*[F.lit(x) for k, v in hot.items() for x in (k, v)])
         wide = F.when(F.col("_sha").isin(*hot), salts[F.col("_sha")]).otherwise(F.lit(1))
-        salt = F.pmod(F.xxhash64("_id"), wide.cast("long")).cast("int")
-    placed = rows.withColumn("_salt", salt).repartitionByRange(n, "_text", "_salt")
-    group = Window.partitionBy("_text", "_salt")
+        placed = placed.withColumn("_salt", F.pmod(F.xxhash64("_id"), wide.cast("long")).cast("int"))
+        keys.append("_salt")
+    # a range partitioning by the keys already clusters (keys, text): the window adds no exchange
+    placed = placed.repartitionByRange(n, *keys)
+    group = Window.partitionBy(*keys, "_text")
     order = F.col("_id").asc_nulls_last() if keep == "smallest" else F.col("_id").desc_nulls_last()
     runs = placed.select(
         "_id",
