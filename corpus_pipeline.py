@@ -1,4 +1,61 @@
-STAGES = []
+"""From documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of documents.  A stage's rows are written and read again before the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lumenfold.llm.common import table, written
+from lumenfold.llm.decontam import without_contaminated
+from lumenfold.llm.exact_dedup import without_copies
+from lumenfold.llm.jaccard import one_of_each
+from lumenfold.llm.packing import pack
+from lumenfold.llm.quality import good_documents
+from lumenfold.llm.queries import tokenizer_file
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model rejects go."""
+    return good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the smallest doc_id stays."""
+    return without_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of the Jaccard join, the smallest doc_id stays."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens."""
+    return pack(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("exact_dedup", exact_copies),
+    ("ngram_jaccard", near_copies),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: Models, tokenizers and packing are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

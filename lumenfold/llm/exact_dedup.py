@@ -18,26 +18,14 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 
-def exact_dedup(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    keep: str = "smallest",
-    samples_per_partition: int = 64,
-    splitter_chars: int = 128,
-) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
-
-    keep: "smallest" or "largest" id of a group stays.  Null text counts as empty.
-    A null id ranks behind every other id; in a group of null ids one row stays.
-    Repeated rows (same id and text) are one group, of which exactly one is kept.
-    An empty table gives an empty result; extra columns are ignored.
-    """
+def _runs(docs: DataFrame, id_col: str, text_col: str, keep: str, samples_per_partition: int, splitter_chars: int, carry: list[str]):
+    """The rows in sorted runs: _id, _sha, _rank in its run, group totals, and carried columns as a struct."""
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is smallest or largest")
     spark = docs.sparkSession
     best = F.min if keep == "smallest" else F.max
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), row.alias("_row"))
     rows = rows.withColumn("_sha", F.sha2("_text", 256))
 
     n = partitions(spark)
@@ -65,6 +53,7 @@ def exact_dedup(
     runs = placed.select(
         "_id",
         "_sha",
+        "_row",
         F.row_number().over(group.orderBy(order)).alias("_rank"),
         F.count("*").over(group).alias("_n"),
         best("_id").over(group).alias("_best"),
@@ -81,10 +70,36 @@ def exact_dedup(
     else:
         size, kept_id = F.col("_n"), F.col("_best")
     # null ids share one salt, so a group of null ids only has one first row
+    first = (F.col("_rank") == 1) & F.col("_id").eqNullSafe(kept_id)
+    return runs.select("_id", "_sha", kept_id.alias("_keep"), size.cast("long").alias("_size"), first.alias("_kept"), "_row")
+
+
+def exact_dedup(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: str = "smallest",
+    samples_per_partition: int = 64,
+    splitter_chars: int = 128,
+) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+
+    keep: "smallest" or "largest" id of a group stays.  Null text counts as empty.
+    A null id ranks behind every other id; in a group of null ids one row stays.
+    Repeated rows (same id and text) are one group, of which exactly one is kept.
+    An empty table gives an empty result; extra columns are ignored.
+    """
+    runs = _runs(docs, id_col, text_col, keep, samples_per_partition, splitter_chars, [])
     return runs.select(
         F.col("_id").alias(id_col),
-        kept_id.alias("keep_id"),
-        size.cast("long").alias("group_size"),
-        ((F.col("_rank") == 1) & F.col("_id").eqNullSafe(kept_id)).alias("kept"),
+        F.col("_keep").alias("keep_id"),
+        F.col("_size").alias("group_size"),
+        F.col("_kept").alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
+    """The rows that exact_dedup keeps, with the columns of `docs`."""
+    runs = _runs(docs, id_col, text_col, keep, 64, 128, docs.columns)
+    return runs.where("_kept").select("_row.*")

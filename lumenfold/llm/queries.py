@@ -10,9 +10,11 @@ from .common import table
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
 from .html_blocks import extract_main_text
+from .jaccard import jaccard_components
 from .lm import lm_scores
 from .packing import pack
 from .pii import find_personal_data
+from .quality import resample
 from .tokens import token_counts
 
 
@@ -34,10 +36,22 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = resample(docs, table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", F.col("_n").alias("n_features"), F.col("_weight").alias("log_weight"), F.col("_key").alias("gumbel_key"), F.col("_kept").alias("kept")
+    )
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -74,7 +88,9 @@ def queries() -> dict:
         "op1_packing": op1_packing,
         "op2_html_extraction": op2_html_extraction,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_quality": op4_quality,
         "op5_lm_scoring": op5_lm_scoring,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_personal_data": op7_personal_data,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_token_counts": op9_token_counts,
