@@ -1,0 +1 @@
+"""Extensions: the reference semantics have no unbounded streams."""
