@@ -130,5 +130,46 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+OP6_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON p.x = a.doc_id JOIN n b ON p.y = b.doc_id WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r(x, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.c FROM r JOIN l ON r.x = l.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(c) AS c FROM r GROUP BY x) m ON d.doc_id = m.x
+"""
+
+OP8_SQL = """
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, len(regexp_extract_all(coalesce(text, ''), '\\S+')) + 4 AS k,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM c),
+u AS (SELECT *, pos = 1 AND r = 'system' AS sys, sum(k) OVER (PARTITION BY conv_id ORDER BY pos) - k AS bef FROM t),
+v AS (SELECT *, max(CASE WHEN sys THEN k ELSE 0 END) OVER (PARTITION BY conv_id) AS sk,
+  max(CASE WHEN NOT sys THEN k ELSE 1 END) OVER (PARTITION BY conv_id) AS most FROM u),
+w AS (SELECT *, CASE WHEN sys THEN 0 ELSE floor((bef - sk) / greatest(1024 - 256 - sk - most, 1)) END AS span FROM v),
+d AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY span) - 1 AS win FROM w),
+e AS (SELECT *, max(win) OVER (PARTITION BY conv_id) AS last, row_number() OVER q AS rk, sum(k) OVER q AS tl FROM d
+  WINDOW q AS (PARTITION BY conv_id, win ORDER BY pos DESC)),
+f AS (SELECT *, CASE WHEN sys THEN last + 1 WHEN rk <= 2 AND tl <= 256 AND win < last THEN 2 ELSE 1 END AS copies,
+  length('<|im_start|>' || url_encode(r) || chr(10) || regexp_replace(replace(x, chr(92), chr(92) || chr(92)),
+    '([<\\[])(\\|im_start\\|>|\\|im_end\\|>|/?s>|/?INST\\]|</?SYS>>)', '\\1' || chr(92) || chr(92) || '\\2', 'g') || '<|im_end|>' || chr(10)) AS size FROM e),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(r || chr(10) || x || chr(10), '' ORDER BY pos) AS said,
+  coalesce(string_agg(x, '' ORDER BY pos) FILTER (r = 'assistant'), '') AS loss, sum(copies * size) AS chars FROM f GROUP BY conv_id)
+SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+  chars::BIGINT AS formatted_chars FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op10_decontamination": OP10_SQL}
+    return {
+        "op3_exact_dedup": OP3_SQL,
+        "op6_ngram_jaccard": OP6_SQL,
+        "op8_chat_formatting": OP8_SQL,
+        "op10_decontamination": OP10_SQL,
+    }
