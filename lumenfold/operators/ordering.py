@@ -7,15 +7,15 @@ row per bucket, give each bucket its offset.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 64
 
 
-def running(df: DataFrame, by: list[str], value: str, weight: str, buckets: int = BUCKETS) -> DataFrame:
-    """Distinct values with w (weight at the value), before (weight below) and total (of the group)."""
-    each = df.groupBy(*by, value).agg(F.sum(weight).alias("w"))
+def running(df: DataFrame, by: list[str], value: str, weight: str, buckets: int = BUCKETS, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """Distinct values with w (weight at the value), before (weight below), total (of the group) and extra aggregates."""
+    each = df.groupBy(*by, value).agg(F.sum(weight).alias("w"), *extra)
     shares = [i / buckets for i in range(1, buckets)]
     cuts = each.groupBy(*by).agg(
         F.percentile_approx(F.col(value).cast("double"), shares, F.lit(2000)).alias("_cuts"), F.sum("w").alias("total")

@@ -45,8 +45,8 @@ def calibration_bounds(features: DataFrame, values: tuple[str, ...], domain: str
     sizes = x.groupBy("feature", domain).agg(F.sum("_c").alias("_n"))
     k = sizes.groupBy("feature").agg(F.count("*").alias("_k"))
     sizes = sizes.join(k, "feature")  # a row per feature and domain
-    x = x.join(sizes, ["feature", domain]).withColumn("_w", F.col("_c") / (F.col("_k") * F.col("_n")))
-    q = weighted_quantiles(x, ["feature"], "v", "_w", {"_lo": low, "_hi": high})
+    x = x.join(sizes, ["feature", domain]).withColumn("_u", 1.0 / (F.col("_k") * F.col("_n"))).withColumn("_w", F.col("_c") * F.col("_u"))
+    q = weighted_quantiles(x, ["feature"], "v", "_w", {"_lo": low, "_hi": high}, "_u")
     pick = lambda v, k: F.max(F.when(F.col("feature") == v, F.col(k))).alias(f"{v}{k}")
     return q.agg(*[pick(v, k) for v in values for k in ("_lo", "_hi")])
 

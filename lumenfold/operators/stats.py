@@ -26,14 +26,20 @@ def conformal(df: DataFrame, by: list[str], value: str, coverage: float = 0.95)
     return hit.select(*by, F.col("total").cast("long").alias("n"), F.col(value).alias("conformal_q"))
 
 
-def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, shares: dict[str, float]) -> DataFrame:
-    """Midpoint positions (cumw - w/2)/W with linear interpolation, clamped at the ends; a column per share.
+def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, shares: dict[str, float], unit: str | None = None) -> DataFrame:
+    """Midpoint positions (cumw - w/2)/W of rows with linear interpolation, clamped at the ends; a column per share.
 
-    Equal values are one point of their summed weight.
+    Rows of equal value stand in the order of their weight.  unit: where a row of df stands
+    for several, the weight of one of them.
     """
-    r = running(df.where(F.col(value).isNotNull()), by, value, weight)
-    at = (F.col("before") + F.col("w") / 2) / F.col("total")
-    r = r.select(*by, F.col(value).cast("double").alias("_v"), at.alias("_p"))
+    one = F.col(unit or weight)
+    r = running(df.where(F.col(value).isNotNull()), by, value, weight, extra=(F.min(one).alias("_first"), F.max(one).alias("_last")))
+    # between the first and the last row of a value the quantile is that value
+    first = (F.col("before") + F.col("_first") / 2) / F.col("total")
+    last = (F.col("before") + F.col("w") - F.col("_last") / 2) / F.col("total")
+    v = F.col(value).cast("double").alias("_v")
+    ends = F.array(F.struct(first.alias("_p"), v), F.struct(last.alias("_p"), v))
+    r = r.select(*by, F.inline(ends))
     aggs = []
     for name, share in shares.items():
         aggs += [

@@ -45,7 +45,7 @@ f AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words,
 
 
 def weighted_quantile_sql(source: str, by: list[str], value: str, weight: str, share: float, name: str) -> str:
-    """Midpoint-position quantile over distinct values of `source`."""
+    """Midpoint-position quantile over the rows of `source`."""
     keys = "".join(f"{b}, " for b in by)
     part = f"PARTITION BY {', '.join(by)}" if by else ""
     group = f"GROUP BY {', '.join(by)}" if by else ""
@@ -53,8 +53,8 @@ def weighted_quantile_sql(source: str, by: list[str], value: str, weight: str, s
         ELSE lo_v + (hi_v - lo_v) * ({share} - lo) / (hi - lo) END AS {name} FROM (
       SELECT {keys}max(p) FILTER (p <= {share}) AS lo, arg_max(v, p) FILTER (p <= {share}) AS lo_v,
              min(p) FILTER (p >= {share}) AS hi, arg_min(v, p) FILTER (p >= {share}) AS hi_v FROM (
-        SELECT {keys}v, (sum(wt) OVER ({part} ORDER BY v) - wt / 2) / sum(wt) OVER ({part}) AS p FROM (
-          SELECT {keys}{value} AS v, sum({weight}) AS wt FROM {source} WHERE {value} IS NOT NULL GROUP BY {keys}v)) {group}))"""
+        SELECT {keys}v, (sum(wt) OVER ({part} ORDER BY v, wt ROWS UNBOUNDED PRECEDING) - wt / 2) / sum(wt) OVER ({part}) AS p FROM (
+          SELECT {keys}{value} AS v, {weight} AS wt FROM {source} WHERE {value} IS NOT NULL)) {group}))"""
 
 
 def bounds_sql() -> str:
