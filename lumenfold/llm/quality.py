@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 from .common import written
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Hash buckets of the models; a feature is a word, a word pair, or a triple of word shapes.
-BUCKETS = 1 << 16
+#: Hash buckets of the three models: triples of word shapes, word pairs and words.  They are few, so that
+#: a few dozen labelled texts fill them.
+SHAPES, PAIRS, WORDS = 4096, 1024, 1024
+BUCKETS = SHAPES + PAIRS + WORDS
+#: Pseudo-counts of the raw model in each target model: what has not been labelled is taken as raw.
+PRIORS = (20 * 512, 20 * PAIRS, 20 * WORDS)
 MOST_HELD = 400_000
 REPEAT, EDGE = 3, 4
 
@@ -67,11 +71,10 @@ def features(text: str, tokens: _Tokens) -> np.ndarray:
     for d in (1, 2, 3):
         seen[d:] |= word[d:] == word[:-d]
     shape = np.where(seen & (shape < 16), REPEAT, shape)
-    third = BUCKETS // 3
     s = np.r_[EDGE, EDGE, shape]
-    triple = (s[2:] * 1_000_003 + s[1:-1] * 10_007 + s[:-2] * 101) % third
-    pair = (word[1:] * 31 + word[:-1] * 1_000_033) % third + third
-    return np.concatenate([triple, pair, word % third + 2 * third])
+    triple = (s[2:] * 1_000_003 + s[1:-1] * 10_007 + s[:-2] * 101) % SHAPES
+    pair = (word[1:] * 31 + word[:-1] * 1_000_033) % PAIRS + SHAPES
+    return np.concatenate([triple, pair, word % WORDS + SHAPES + PAIRS])
 
 
 def _counted(batches):
@@ -124,13 +127,11 @@ def fit(
     if not positive.sum():
         return np.zeros(BUCKETS)
     out = np.zeros(BUCKETS)
-    third = BUCKETS // 3
     # each order is a model of its own
-    for part in (slice(0, third), slice(third, 2 * third), slice(2 * third, 3 * third)):
+    for low, size, mass in zip((0, SHAPES, SHAPES + PAIRS), (SHAPES, PAIRS, WORDS), PRIORS, strict=True):
+        part = slice(low, low + size)
         p, q = positive[part], raw[part]
-        # the raw model is the prior of the target model: an unseen bucket has ratio near 1
-        prior = (q + smoothing) / (q.sum() + smoothing * third)
-        mass = max(1.0, 0.02 * p.sum())
+        prior = (q + smoothing) / (q.sum() + smoothing * size)
         out[part] = np.log((p + mass * prior) / (p.sum() + mass)) - np.log(prior)
     return out
 
@@ -142,9 +143,9 @@ def gumbel(id_col: Column, seed: int) -> Column:
 
 
 def log_weights(
-    docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, ratio: np.ndarray, text_col: str = "text", allowance: float = 0.0
 ) -> DataFrame:
-    """(row columns of `docs`, _n, _weight): feature count and log importance weight of the whole text."""
+    """(columns of `docs`, _n, _weight): feature count and log importance weight of the whole text."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches):
@@ -153,7 +154,7 @@ def log_weights(
         for b in batches:
             at = b.schema.get_field_index(text_col) if at is None else at
             found = [features(t or "", tokens) for t in b.column(at).to_pylist()]
-            weights = [float(table[x].sum()) for x in found]
+            weights = [float(table[x].sum()) + allowance * len(x) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([len(x) for x in found], pa.int64()), pa.array(weights, pa.float64())],
                 names=[*b.schema.names, "_n", "_weight"],
@@ -170,13 +171,16 @@ def resample(
     text_col: str = "text",
     seed: int = 17,
     margin: float = 12.0,
+    allowance: float = 0.05,
     k: int | None = None,
     ratio: np.ndarray | None = None,
 ) -> DataFrame:
     """The columns of `docs` and _n, _weight (log importance), _key (weight + noise), _kept.
 
-    The k rows of the largest keys are kept.  k is the number of rows whose evidence
-    against them is below `margin` nats, unless it is given.  The k-th key is found as a
+    The weight has an allowance of `allowance` nats a feature for the estimation error of
+    the target model, which else grows with a text's length.  The k rows of the largest
+    keys are kept.  k is the number of rows whose evidence against them is below `margin`
+    nats, unless it is given.  The k-th key is found as a
     threshold from histograms of the keys, each inside one cell of the last, so no sort of
     all rows meets in one task; rows that tie with it are kept.  A text without features
     has weight 0.  Null texts are empty; null ids share one noise value; repeated rows are
@@ -187,12 +191,12 @@ def resample(
         ratio = fit(docs, labels, id_col, text_col)
     key = F.col("_weight") + gumbel(F.coalesce(F.col(id_col).cast("string"), F.lit("")), seed)
     # keys only: the texts are scored again rather than written again
-    keys = log_weights(docs.select(id_col, text_col), ratio, id_col, text_col).select("_weight", key.alias("_key"))
+    keys = log_weights(docs.select(id_col, text_col), ratio, text_col, allowance).select("_weight", key.alias("_key"))
     keys = written(keys, "quality-keys")
     if k is None:
         k = keys.where(F.col("_weight") >= -margin).count()
     least = kth_largest(keys.select("_key"), k)
-    scored = log_weights(docs, ratio, id_col, text_col).withColumn("_key", key)
+    scored = log_weights(docs, ratio, text_col, allowance).withColumn("_key", key)
     return scored.withColumn("_kept", F.col("_key") >= F.lit(least))
 
 
