@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_az
+from .common import lower_az, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -98,7 +98,8 @@ def decontaminate(
     or wordless texts have no words and no hits; null item ids hit words but are not
     counted as items.  Repeated rows get equal results.  Extra columns are ignored.
     """
-    hits = contamination_hits(docs, benchmark, doc_id, doc_text, item_id, item_text, width)
+    # the hits, not the texts, are read twice
+    hits = written(contamination_hits(docs, benchmark, doc_id, doc_text, item_id, item_text, width), "hits")
     key = Window.partitionBy("_id", "_key").orderBy("_start", "_end")
     edges = hits.select("_id", "_key", "_start", (F.col("_start") + F.col("_len")).alias("_end")).distinct()
     before = F.max("_end").over(key.rowsBetween(Window.unboundedPreceding, -1))
