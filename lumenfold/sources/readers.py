@@ -129,5 +129,12 @@ def config(path: str) -> dict:
 
 def legacy_table(spark: SparkSession, path: str, pattern: str, names: list[str], encoding: str = "gb18030") -> DataFrame:
     """Irregular delimited text in an old encoding: each line's fields by one pattern, anchored at its tail."""
-    lines = spark.read.format("binaryFile").load(path).select(F.explode(F.split(F.decode("content", encoding), "\r?\n")).alias("line"))
+
+    def decoded(it):
+        # Spark decodes a few standard encodings only
+        for pdf in it:
+            for content in pdf["content"]:
+                yield pd.DataFrame({"line": bytes(content).decode(encoding, "replace").splitlines()})
+
+    lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(decoded, "line string")
     return lines.where(F.col("line").rlike(pattern)).select(*[F.regexp_extract("line", pattern, i + 1).alias(n) for i, n in enumerate(names)])

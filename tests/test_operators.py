@@ -186,7 +186,7 @@ def test_budget_goldens(spark):
     n, d = allocation.optimum(F.col("b"), F.col("h"))
     got = {r.i: (r.n, r.d) for r in c.select("i", n.alias("n"), d.alias("d")).collect()}
     # Published optima of the frozen law, whose constants are known to five digits.
-    assert math.isclose(got[0][0], 0.078248576, rel_tol=5e-5) and math.isclose(got[1][0], 0.6259227, rel_tol=1e-5)
+    assert math.isclose(got[0][0], 0.078248576, rel_tol=5e-5) and math.isclose(got[1][0], 0.6259227, rel_tol=5e-5)
     assert math.isclose(got[2][0], 5.202388053, rel_tol=5e-5) and got[2][1] == 299.893
     assert got[3][0] == allocation.N_RANGE[0] and math.isclose(got[3][1], 1.129233998, rel_tol=5e-5)
     cases = spark.createDataFrame([(0, 1e20, 2048.0, 0.0, "exp", 1.0)], "case_id long, budget double, context double, gain double, cost_kind string, cost_scale double")
@@ -220,7 +220,7 @@ def test_sources_and_sinks(spark, tmp_path):
     spark.dataSource.register(readers.XzSource)
     assert spark.read.format("xzlines").load(str(tmp_path / "*.xz")).count() == 6
     j = readers.json_lines(spark, str(tmp_path / "x.jsonl.gz"), schema)
-    assert j.where("_corrupt IS NULL").count() == 5
+    assert sum(r._corrupt is None for r in j.collect()) == 5
     with pytest.raises(Exception, match=r"(?i)malformed|corrupt"):
         readers.json_lines(spark, str(tmp_path / "x.jsonl.gz"), schema, strict=True).collect()
     (tmp_path / "docs").mkdir()
