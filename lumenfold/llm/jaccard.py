@@ -10,7 +10,7 @@
    are compared, by their pivots.  By the triangle inequality two regions can hold a
    link only if their pivots' distance is at most the sum of their radii and the join
    radius; then the boundary members inside that window, and no others, are replicated
-   and compared.
+   to blocks of the other region and compared there.
 5. Components of the links are found by label propagation with pointer jumping.
 
 Every comparison is first bounded by the shared leading shingles, which decides most
@@ -19,7 +19,10 @@ pairs without their sets; the rest are verified on whole sets.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,6 +59,13 @@ def node_of(found: np.ndarray) -> int:
     return int(xxh3_64_intdigest(found.tobytes()) >> 1)
 
 
+def raw_of(text: str) -> int:
+    """Digest of a text as it stands: cheaper than its shingles, for texts that need none."""
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(values) + 1, np.int32)
     np.cumsum([len(v) for v in values], out=offsets[1:])
@@ -63,24 +73,69 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
 
 
-def _frequent(docs: DataFrame, width: int, sample_rows: int, least: int) -> np.ndarray:
-    """Shingles of at least `least` of `sample_rows` sampled rows: they only come last in the order."""
-    total = docs.count()
-    taken = docs.sample(min(1.0, sample_rows / max(total, 1)), seed=23) if total > sample_rows else docs
+SLOTS = 1 << 24
+CHUNK = 1 << 16
+
+
+def _frequent(docs: DataFrame, width: int, least: int) -> np.ndarray:
+    """One bit per slot of a counting sketch of fixed size: set where clearly more texts than average meet.
+
+    Shingles of set slots come last in the order.  The sketch counts all texts; a shingle
+    that shares a slot with a frequent one only comes last too, which changes no result.
+    """
 
     def run(batches):
-        for b in batches:
-            # rows with the same set count once in a batch
-            found = {x.tobytes(): x for x in (shingles(t, width) for t in b.column(1).to_pylist())}
-            flat = np.concatenate([*found.values(), np.zeros(0, np.int64)])
-            values, counts = np.unique(flat, return_counts=True)
-            for i in range(0, len(values), 500_000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[i : i + 500_000]), pa.array(counts[i : i + 500_000].astype(np.int64))], names=["s", "c"]
-                )
+        held = np.zeros(SLOTS, np.uint16)
+        waiting: list[np.ndarray] = []
+        size = 0
+        seen: set[int] = set()
 
-    counted = taken.mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
-    return np.sort(counted.where(F.col("c") >= least).select("s").toPandas()["s"].to_numpy(np.int64))
+        def add():
+            at, n = np.unique(np.concatenate(waiting) & (SLOTS - 1), return_counts=True)
+            held[at] = np.minimum(held[at].astype(np.int64) + n, 65_535).astype(np.uint16)
+            waiting.clear()
+
+        for b in batches:
+            for t in b.column(1).to_pylist():
+                raw = raw_of(t)
+                if raw in seen:
+                    continue  # a copy is no other text
+                if len(seen) < 1_000_000:
+                    seen.add(raw)
+                x = shingles(t, width)
+                waiting.append(x)
+                size += len(x)
+                if size > 2_000_000:
+                    add()
+                    size = 0
+        if waiting:
+            add()
+        blocks = held.reshape(-1, CHUNK)
+        used = [i for i in range(len(blocks)) if blocks[i].any()]
+        for i in range(0, len(used), 32):
+            some = used[i : i + 32]
+            packed = [zlib.compress(blocks[k].tobytes(), 1) for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(packed, pa.binary())], names=["chunk", "counts"])
+
+    def summed(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if k not in held:
+                    held[k] = np.zeros(CHUNK, np.uint32)
+                held[k] += np.frombuffer(zlib.decompress(packed), np.uint16)
+        for k, counts in held.items():
+            packed = zlib.compress(np.minimum(counts, 65_535).astype(np.uint16).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([packed], pa.binary())], names=["chunk", "counts"])
+
+    kind = "chunk long, counts binary"
+    local = docs.mapInArrow(run, kind).repartition("chunk").mapInArrow(summed, kind)
+    total = np.zeros((SLOTS // CHUNK, CHUNK), np.uint16)
+    for r in local.toLocalIterator():  # SLOTS / CHUNK rows, whatever the input
+        total[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint16)
+    total = total.reshape(-1)
+    load = float(total.mean())
+    return np.packbits(total >= load + 6 * np.sqrt(load) + least)
 
 
 def _leading(docs: DataFrame, width: int, share: int, frequent) -> DataFrame:
@@ -90,7 +145,7 @@ def _leading(docs: DataFrame, width: int, share: int, frequent) -> DataFrame:
         late = frequent.value
         seen: set[int] = set()
         for b in batches:
-            nodes, sizes, cold, hot, cuts = [], [], [], [], []
+            nodes, sizes, cold, hot, cuts, raws = [], [], [], [], [], []
             for t in b.column(1).to_pylist():
                 found = shingles(t, width)
                 n = len(found)
@@ -101,37 +156,38 @@ def _leading(docs: DataFrame, width: int, share: int, frequent) -> DataFrame:
                     cold.append(found[:0])
                     hot.append(found[:0])
                     cuts.append(None)
+                    raws.append(None)
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(node)
                 k = n - -(-share * n // 100) + 1
-                if len(late):
-                    is_late = late[np.minimum(np.searchsorted(late, found), len(late) - 1)] == found
-                else:
-                    is_late = np.zeros(n, bool)
+                at = found & (SLOTS - 1)
+                is_late = (late[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
                 early = found[~is_late][:k]
                 rest = found[is_late][: k - len(early)]
                 cold.append(early)
                 hot.append(rest)
                 cuts.append(int(rest[-1] if len(rest) else early[-1]))
+                raws.append(raw_of(t))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(cold), _lists(hot), pa.array(cuts, pa.int64())],
-                names=["id", "node", "n", "cold", "hot", "cut"],
+                [b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(cold), _lists(hot), pa.array(cuts, pa.int64()),
+                 pa.array(raws, pa.int64())],
+                names=["id", "node", "n", "cold", "hot", "cut", "raw"],
             )
 
-    return docs.mapInArrow(run, "id long, node long, n long, cold array<long>, hot array<long>, cut long")
+    return docs.mapInArrow(run, "id long, node long, n long, cold array<long>, hot array<long>, cut long, raw long")
 
 
 class Bits:
-    """A set of nodes as a bitmap of fixed size: it may hold strangers, but misses none."""
+    """Text digests as a bitmap of fixed size: it may hold strangers, but misses none."""
 
     SIZE = 1 << 25
 
-    def __init__(self, spark: SparkSession, nodes: DataFrame):
-        at = F.pmod(F.col("node"), F.lit(self.SIZE))
+    def __init__(self, spark: SparkSession, wanted: DataFrame):
+        at = F.pmod(F.col("raw"), F.lit(self.SIZE))
         found = (
-            nodes.groupBy(F.shiftright(at, 5).alias("w"))
-            .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {self.SIZE}) & 31 as int))")).alias("b"))
+            wanted.groupBy(F.shiftright(at, 5).alias("w"))
+            .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(raw, {self.SIZE}) & 31 as int))")).alias("b"))
             .toPandas()  # at most SIZE / 32 rows, whatever the input
         )
         words = np.zeros(self.SIZE // 32, np.uint32)
@@ -139,9 +195,9 @@ class Bits:
         self.held = spark.sparkContext.broadcast(words)
 
 
-def _sets(docs: DataFrame, width: int, nodes: DataFrame) -> DataFrame:
-    """(node, set) of the wanted nodes, and of a few others."""
-    bits = Bits(docs.sparkSession, nodes).held
+def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
+    """(node, set) of the texts whose digest, raw, is wanted, and of a few others; no other text is cut into shingles."""
+    bits = Bits(docs.sparkSession, wanted).held
     size = Bits.SIZE
 
     def run(batches):
@@ -150,22 +206,24 @@ def _sets(docs: DataFrame, width: int, nodes: DataFrame) -> DataFrame:
         for b in batches:
             names, found = [], []
             for t in b.column(1).to_pylist():
-                x = shingles(t, width)
-                if len(x) and (node := node_of(x)) not in seen and words[(node % size) >> 5] >> np.uint32(node & 31) & 1:
-                    seen.add(node)
-                    names.append(node)
-                    found.append(x)
+                raw = raw_of(t)
+                if words[(raw % size) >> 5] >> np.uint32(raw & 31) & 1 and raw not in seen:
+                    seen.add(raw)
+                    x = shingles(t, width)
+                    if len(x):
+                        names.append(node_of(x))
+                        found.append(x)
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(found)], names=["node", "set"])
 
-    # equal sets of several tasks are one
+    # equal sets of several texts or tasks are one
     return docs.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
 
 
 class Join:
-    def __init__(self, docs: DataFrame, width: int, share: int, sample_rows: int, least: int, block: int):
+    def __init__(self, docs: DataFrame, width: int, share: int, least: int, block: int):
         self.spark, self.docs, self.width, self.share, self.block = docs.sparkSession, docs, width, share, block
-        late = self.spark.sparkContext.broadcast(_frequent(docs, width, sample_rows, least))
+        late = self.spark.sparkContext.broadcast(_frequent(docs, width, least))
         self.rows = written(_leading(docs, width, share, late), "jaccard-rows")
         self._meet()
 
@@ -173,7 +231,7 @@ class Join:
         """`groups` (shingle, node): leading shingles of two nodes at least; `nodes`: what bounds need."""
         first = self.rows.where(F.col("cut").isNotNull())
         cold = first.select(F.explode("cold").alias("s"), "node")
-        # no shingle that the sample missed is frequent, so a window holds few of the rows
+        # no shingle that comes early is frequent, so a window holds few of the rows
         each = Window.partitionBy("s")
         cold = cold.select("s", "node", F.min("node").over(each).alias("a"), F.max("node").over(each).alias("b"))
         cold = cold.where(F.col("a") != F.col("b")).select("s", "node")
@@ -182,7 +240,7 @@ class Join:
         hot = hot.join(many.select("s"), "s", "left_semi").distinct()
         self.groups = written(cold.distinct().unionAll(hot), "jaccard-groups")
         facts = first.select(
-            "node", "n", F.size("cold").alias("early"), (F.size("cold") + F.size("hot")).alias("k"),
+            "node", "n", "raw", F.size("cold").alias("early"), (F.size("cold") + F.size("hot")).alias("k"),
             F.struct((F.size("hot") > 0).alias("late"), F.col("cut").alias("at")).alias("cut"),
         ).dropDuplicates(["node"])
         # a node's leading shingles, at most a quarter of its own
@@ -210,7 +268,7 @@ class Join:
         """(a, b, both, n_a, n_b): exact intersections."""
         pairs = written(pairs, "jaccard-pairs")
         wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-        sets = _sets(self.docs, self.width, wanted)
+        sets = _sets(self.docs, self.width, wanted.join(self.nodes.select("node", "raw"), "node").select("raw"))
         x = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         x = x.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         return written(
@@ -241,30 +299,34 @@ class Join:
             F.coalesce("component", "node").alias("component"),
         )
         region = written(region, "jaccard-regions")
-        extent = region.groupBy("pivot").agg(F.count("*").alias("size"), F.max("d").alias("r"))
+        extent = region.join(self.nodes.select("node", "n"), "node").groupBy("pivot").agg(
+            F.count("*").alias("size"), F.max("d").alias("r"), F.min("n").alias("lo"), F.max("n").alias("hi")
+        )
 
-        # regions of different components that share a leading shingle
+        # regions of different components that share a leading shingle, with sizes that allow a link
         met = self.groups.join(region, "node").select("s", "pivot", "component").distinct()
         mixed = met.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("s")
-        met = met.join(mixed, "s", "left_semi")
-        other = met.select("s", F.col("pivot").alias("q"), F.col("component").alias("other"))
-        between = (
-            met.join(other, "s")
-            .where((F.col("pivot") < F.col("q")) & (F.col("component") != F.col("other")))
-            .select(F.col("pivot").alias("p"), "q")
-            .distinct()
-        )
-        for k in ("p", "q"):
-            between = between.join(extent.select(F.col("pivot").alias(k), F.col("size").alias(f"size_{k}"), F.col("r").alias(f"r_{k}")), k)
-        between = written(between, "jaccard-between")
-
+        met = met.join(mixed, "s", "left_semi").join(extent, "pivot")
+        side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("component", "size", "r", "lo", "hi")]
+        left, right = met.select("s", F.col("pivot").alias("p"), *side("p")), met.select("s", F.col("pivot").alias("q"), *side("q"))
+        meet = (
+            (F.col("p") < F.col("q")) & (F.col("component_p") != F.col("component_q"))
+            & (self.share * F.col("lo_p") <= 100 * F.col("hi_q")) & (self.share * F.col("lo_q") <= 100 * F.col("hi_p"))
+        )
+        facts = [f"{c}_{k}" for c in ("size", "r", "lo", "hi") for k in ("p", "q")]
+        between = left.join(right, "s").where(meet)
+        between = between.groupBy("p", "q", *facts).agg(F.count("*").alias("shared"))
+        # two nodes share that many leading shingles at least, whichever of them ends first
+        least = F.ceil(self.share * (F.col("lo_p") + F.col("lo_q")) / F.lit(100 + self.share)) - F.ceil(self.share * F.greatest("lo_p", "lo_q") / 100) + 1
+        single = (F.col("size_p") == 1) & (F.col("size_q") == 1)
+        between = written(between.where(~single | (F.col("shared") >= least)), "jaccard-between")
+        single = (F.col("size_p") == 1) & (F.col("size_q") == 1)
         small = F.col("size_p") * F.col("size_q") <= self.block
+
         members = region.select(F.col("pivot").alias("m"), "node", "d")
-        expand = lambda x: x.join(members.select(F.col("m").alias("p"), F.col("node").alias("a"), F.col("d").alias("d_a")), "p").join(  # noqa: E731,E501
-            members.select(F.col("m").alias("q"), F.col("node").alias("b"), F.col("d").alias("d_b")), "q"
-        )
+        more = self.possible(between.where(single).select(F.col("p").alias("a"), F.col("q").alias("b")))
         # small regions meet member by member; large ones by their pivots first
-        direct = expand(between.where(small)).select("a", "b")
+        open_ = between.where(~single & small).select("p", "q", "size_p", "size_q", F.lit(0.0).alias("apart"))
         large = between.where(~small)
         if large.take(1):
             ends = large.select(F.col("p").alias("a"), F.col("q").alias("b"), "r_p", "r_q")
@@ -272,15 +334,73 @@ class Join:
             window = F.lit(100.0) * (1 - F.least(F.lit(1.0), F.col("r_p") + F.col("r_q") + radius))
             exact = self.verified(self._windowed(ends, window).select("a", "b", "n_a", "n_b"))
             apart = exact.select(F.col("a").alias("p"), F.col("b").alias("q"), self.distance().alias("apart"))
-            open_ = large.join(apart, ["p", "q"]).where(F.col("apart") <= F.col("r_p") + F.col("r_q") + radius + 1e-9)
-            inside = expand(open_)
-            # d(a, b) >= apart - d_a - d_b: only boundary members inside the window are replicated
-            inside = inside.where(F.col("d_a") + F.col("d_b") + radius + 1e-9 >= F.col("apart")).select("a", "b")
-            direct = direct.unionAll(inside)
-        direct = direct.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = self.verified(self.possible(direct)).where(self.linked())
+            near_ = large.join(apart, ["p", "q"]).where(F.col("apart") <= F.col("r_p") + F.col("r_q") + radius + 1e-9)
+            open_ = open_.unionAll(near_.select("p", "q", "size_p", "size_q", "apart"))
+        more = more.unionAll(self.blocks(open_, members, radius))
+        more = self.verified(more.dropDuplicates(["a", "b"])).where(self.linked())
         return components(links.select("a", "b").unionAll(more.select("a", "b")))
 
+    BLOCK = 256
+
+    def blocks(self, pairs: DataFrame, members: DataFrame, radius: float) -> DataFrame:
+        """(a, b, n_a, n_b): member pairs of region pairs (p, q) that the bounds allow.
+
+        The larger region of a pair is dealt into blocks of its members; each member of the
+        smaller one that the window lets in is replicated to those blocks, itself dealt into
+        blocks: a task holds two blocks, and only pairs that pass leave it.
+        d(a, b) >= apart - d_a - d_b, so a link needs d_a + d_b >= apart - radius.
+        """
+        swap = F.col("size_p") < F.col("size_q")
+        pairs = pairs.select(
+            F.when(swap, F.col("q")).otherwise(F.col("p")).alias("big"), F.when(swap, F.col("p")).otherwise(F.col("q")).alias("little"), "apart"
+        )
+        facts = members.join(self.nodes.select("node", "shared", "n", "k", "cut"), "node")
+        guests = pairs.join(facts.withColumnRenamed("m", "little"), "little").groupBy("big", "node").agg(
+            F.first("shared").alias("shared"), F.first("n").alias("n"), F.first("k").alias("k"), F.first("cut").alias("cut"),
+            # the least distance from the big region's pivot that a member must have to meet this guest
+            F.min(F.col("apart") - F.col("d") - radius).alias("d"),
+        )
+        hosts = pairs.select("big").distinct().join(facts.withColumnRenamed("m", "big"), "big")
+        n_hosts = hosts.groupBy("big").agg(F.ceil(F.count("*") / self.BLOCK).cast("int").alias("nh"))
+        n_guests = guests.groupBy("big").agg(F.ceil(F.count("*") / self.BLOCK).cast("int").alias("ng"))
+        grid = n_hosts.join(n_guests, "big")
+        deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n).cast("long")).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        cols = ["big", "i", "j", "node", "d", "shared", "n", "k", F.col("cut.late").alias("late"), F.col("cut.at").alias("at")]
+        hosts = hosts.join(grid, "big").withColumn("i", deal("nh")).withColumn("j", every("ng")).select(*cols)
+        guests = guests.join(grid, "big").withColumn("j", deal("ng")).withColumn("i", every("nh")).select(*cols)
+        share = self.share
+
+        def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            if not len(x) or not len(y):
+                return pd.DataFrame({"a": [], "b": [], "n_a": [], "n_b": []}, dtype="int64")
+            tokens, at = np.unique(np.concatenate([*x["shared"], *y["shared"]]), return_inverse=True)
+            row = np.repeat(np.arange(len(x) + len(y)), [len(v) for v in [*x["shared"], *y["shared"]]])
+            both = np.zeros((len(x), len(y)), np.float32)
+            for c in range(0, len(tokens), 4096):
+                part = (at >= c) & (at < c + 4096)
+                some = np.zeros((len(x) + len(y), 4096), np.float32)
+                some[row[part], at[part] - c] = 1
+                both += some[: len(x)] @ some[len(x) :].T
+            nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :]
+            lx, ly = x["late"].to_numpy().astype(np.int64)[:, None], y["late"].to_numpy().astype(np.int64)[None, :]
+            ax, ay = x["at"].to_numpy()[:, None], y["at"].to_numpy()[None, :]
+            first = (lx < ly) | ((lx == ly) & (ax <= ay))
+            rest = np.where(first, nx - x["k"].to_numpy()[:, None], ny - y["k"].to_numpy()[None, :])
+            most = np.minimum(np.minimum(both + rest, nx), ny)
+            ok = (100 * most >= share * (nx + ny - most)) & (x["d"].to_numpy()[:, None] + 1e-9 >= y["d"].to_numpy()[None, :])
+            ok &= x["node"].to_numpy()[:, None] != y["node"].to_numpy()[None, :]
+            i, j = np.nonzero(ok)
+            a, b = x["node"].to_numpy()[i], y["node"].to_numpy()[j]
+            na, nb = x["n"].to_numpy()[i], y["n"].to_numpy()[j]
+            low = a < b
+            return pd.DataFrame({"a": np.where(low, a, b), "b": np.where(low, b, a), "n_a": np.where(low, na, nb), "n_b": np.where(low, nb, na)})
+
+        # new names for one side's columns, as both sides come from one table
+        guests = guests.toDF(*guests.columns)
+        hosts = hosts.toDF(*hosts.columns)
+        return hosts.groupBy("big", "i", "j").cogroup(guests.groupBy("big", "i", "j")).applyInPandas(compare, "a long, b long, n_a long, n_b long")
+
     def _windowed(self, ends: DataFrame, window) -> DataFrame:
         n = self.nodes.select("node", "n")
         x = ends.join(n.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
@@ -316,8 +436,7 @@ def jaccard_components(
     text_col: str = "text",
     width: int = 5,
     share: int = 75,
-    sample_rows: int = 20_000,
-    least: int = 5,
+    least: int = 12,
     block: int = 64,
 ) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable by links, its own included).
@@ -327,11 +446,11 @@ def jaccard_components(
     when 100 * intersection >= share * union.  Rows without words (null, empty or blank
     texts) are linked with nothing: their component is their own id.  Rows of one set
     are one node, so repeated rows and copies share a component.  Null ids rank last.
-    An empty table gives no rows; extra columns are ignored.  `sample_rows`, `least` and
-    `block` only steer the work: the result is exact for any of them.
+    An empty table gives no rows; extra columns are ignored.  `least` and `block` only steer
+    the work: the result is exact for any of them.
     """
     source = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    join = Join(source, width, share, sample_rows, least, block)
+    join = Join(source, width, share, least, block)
     labels = join.run()
     rows = join.rows.select("id", "node", "n")
     firsts = rows.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("first"))
