@@ -48,3 +48,9 @@ def lower_az(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
         F.translate(text, UPPER, UPPER.lower())
     )
+
+
+def values(column, size: int = 256):
+    """A column of an Arrow batch as Python values, a few at a time: long texts are not all held at once."""
+    for i in range(0, len(column), size):
+        yield from column.slice(i, size).to_pylist()

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import values
+
 # Elements of the HTML standard by what they do to text blocks.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
@@ -223,7 +225,7 @@ def extract_main_text(
 
     def run(batches):
         for b in batches:
-            texts = [main_text(p, tree) for p in b.column(2).to_pylist()]
+            texts = [main_text(p, tree) for p in values(b.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import values, written
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -96,16 +96,16 @@ def _frequent(docs: DataFrame, width: int, least: int) -> np.ndarray:
             waiting.clear()
 
         for b in batches:
-            for t in b.column(1).to_pylist():
+            for t in values(b.column(1)):
                 raw = raw_of(t)
                 if raw in seen:
                     continue  # a copy is no other text
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(raw)
                 x = shingles(t, width)
                 waiting.append(x)
                 size += len(x)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     add()
                     size = 0
         if waiting:
@@ -120,7 +120,7 @@ def _frequent(docs: DataFrame, width: int, least: int) -> np.ndarray:
     def summed(batches):
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for k, packed in zip(b.column(0).to_pylist(), values(b.column(1)), strict=True):
                 if k not in held:
                     held[k] = np.zeros(CHUNK, np.uint32)
                 held[k] += np.frombuffer(zlib.decompress(packed), np.uint16)
@@ -146,7 +146,7 @@ def _leading(docs: DataFrame, width: int, share: int, frequent) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             nodes, sizes, cold, hot, cuts, raws = [], [], [], [], [], []
-            for t in b.column(1).to_pylist():
+            for t in values(b.column(1)):
                 found = shingles(t, width)
                 n = len(found)
                 node = node_of(found) if n else None
@@ -158,7 +158,7 @@ def _leading(docs: DataFrame, width: int, share: int, frequent) -> DataFrame:
                     cuts.append(None)
                     raws.append(None)
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(node)
                 k = n - -(-share * n // 100) + 1
                 at = found & (SLOTS - 1)
@@ -205,7 +205,7 @@ def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             names, found = [], []
-            for t in b.column(1).to_pylist():
+            for t in values(b.column(1)):
                 raw = raw_of(t)
                 if words[(raw % size) >> 5] >> np.uint32(raw & 31) & 1 and raw not in seen:
                     seen.add(raw)

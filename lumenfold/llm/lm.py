@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import values, written
 
 END = "\n"  # the end token; no word holds white space
 MOST_HELD = 1_000_000
@@ -47,7 +47,7 @@ def _count_words(batches):
 
     end = END.encode()
     for b in batches:
-        for t in b.column(0).to_pylist():
+        for t in values(b.column(0)):
             held.update(words_of(t))
             held[end] += 1
             if len(held) > MOST_HELD:
@@ -118,7 +118,7 @@ def _count_longer(held):
                 waiting += len(codes)
 
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t in values(b.column(0)):
                 streams.extend(map(vocabulary.get, words_of(t), repeat(-1)))
                 streams += (end, -1)
                 if len(streams) > 500_000:
@@ -284,7 +284,7 @@ def lm_scores(
         p1 = machine.log_p1
         for b in batches:
             columns: list[list] = [[], [], [], [], []]
-            for t in b.column(0).to_pylist():
+            for t in values(b.column(0)):
                 words = words_of(t)
                 ids = list(map(vocabulary.get, words, repeat(-1)))
                 rare = b" ".join([w for w, i in zip(words, ids, strict=True) if i < 0]).decode("utf-8", "surrogatepass")

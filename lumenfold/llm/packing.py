@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import values
 from .tokens import encoder
 
 PIECES = (
@@ -206,7 +207,7 @@ def pack(
         packer = Packer(TaskContext.get().partitionId() << 32, capacity, group_windows)
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(values(b.column(0)), values(b.column(1)), strict=True):
                 rows += packer.add(doc_id, one.ids(text) + end)
                 if len(rows) > 20_000:
                     yield batch(rows)

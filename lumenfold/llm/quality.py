@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import values, written
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Hash buckets of the three models: triples of word shapes, word pairs and words.  They are few, so that
@@ -25,7 +25,7 @@ SHAPES, PAIRS, WORDS = 4096, 1024, 1024
 BUCKETS = SHAPES + PAIRS + WORDS
 #: Pseudo-counts of the raw model in each target model: what has not been labelled is taken as raw.
 PRIORS = (20 * 512, 20 * PAIRS, 20 * WORDS)
-MOST_HELD = 400_000
+MOST_HELD = 150_000
 REPEAT, EDGE = 3, 4
 
 
@@ -82,7 +82,7 @@ def _counted(batches):
     held: dict[int, np.ndarray] = {}
     tokens = _Tokens()
     for b in batches:
-        for text, group in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for text, group in zip(values(b.column(0)), values(b.column(1)), strict=True):
             if group not in held:
                 held[group] = np.zeros(BUCKETS, np.int64)
             held[group] += np.bincount(features(text, tokens), minlength=BUCKETS)
@@ -153,10 +153,13 @@ def log_weights(
         at = None
         for b in batches:
             at = b.schema.get_field_index(text_col) if at is None else at
-            found = [features(t or "", tokens) for t in b.column(at).to_pylist()]
-            weights = [float(table[x].sum()) + allowance * len(x) for x in found]
+            sizes, weights = [], []
+            for t in values(b.column(at)):
+                x = features(t or "", tokens)
+                sizes.append(len(x))
+                weights.append(float(table[x].sum()) + allowance * len(x))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([len(x) for x in found], pa.int64()), pa.array(weights, pa.float64())],
+                [*b.columns, pa.array(sizes, pa.int64()), pa.array(weights, pa.float64())],
                 names=[*b.schema.names, "_n", "_weight"],
             )
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, values
 
 # Letters and numbers of the alphabet of the shortcut.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿŒœ"
@@ -31,7 +31,7 @@ BYTE_PIECES = re.compile(
     f"{ENDINGS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\\s{LETTERS}{NUMBERS}]+|\\s+(?!\\S)|\\s+"
 )
 WORD_PIECES = re.compile(f"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
-MOST_PIECES = 1_000_000
+MOST_PIECES = 400_000
 
 
 class Encoder:
@@ -146,7 +146,7 @@ def token_counts(
     def encode(batches):
         one = encoder(tokenizer_path, kind, "count")
         for b in batches:
-            counts = [one.count(t) for t in b.column(1).to_pylist()]
+            counts = [one.count(t) for t in values(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
     cache.add(missing.mapInArrow(encode, "digest binary, n_tokens long"), version)
