@@ -135,8 +135,8 @@ def decontaminate(
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The rows of `docs` that hold no benchmark window, with their columns unchanged."""
-    hits = contamination_hits(docs, benchmark, width=width).select("_id", "_key").distinct()
-    keyed = docs.withColumn("_dk", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return keyed.join(
-        hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_dk") == F.col("_key")), "left_anti"
-    ).select(*docs.columns)
+    hits = contamination_hits(docs, benchmark, width=width)
+    hits = hits.select(F.col("_id").alias("__hit_id"), F.col("_key").alias("__hit_key")).distinct()
+    keyed = docs.withColumn("__doc_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("__hit_id")) & (F.col("__doc_key") == F.col("__hit_key"))
+    return keyed.join(hits, same, "left_anti").select(*docs.columns)
