@@ -1,31 +1,31 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Smoothed n-grams become states.  A state has an arc for each kept continuation and a
-failure arc, weighted by the backoff mass, to the state of its longest shorter suffix;
-a text is scored in one left-to-right traversal that carries the state and adds up
-log10 probabilities.
-
-Kept n-grams are those whose share of the training tokens is at least a threshold,
-at every input size: at most 1/threshold of them exist, which bounds the broadcast.
-The words below the threshold keep their exact counts in a table; a text's rare words
-are joined to it, and since they only leave the automaton by failure arcs, their
-log-probabilities are added afterwards.
+Smoothed n-grams become states.  A state has an arc for each continuation and a failure
+arc, weighted by the backoff mass, to the state of its longest shorter suffix; a text is
+scored left to right by its arcs and failure arcs.
+
+Every n-gram of the training rows is in the model, so it grows with the input and no
+task holds it: it is sharded by the hash of its contexts.  Texts form blocks; a block
+asks the shards for its own n-grams, with their counts in its training texts, the shards
+add up the blocks' counts, and the block scores its texts by the part of the automaton
+that it was told.  N-grams are known by 60 bits of each word's hash, mixed to 64 bits
+of the context and 40 bits of the continuation.
+
+`Automaton` is the same model in one process.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import repeat
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import values, written
+from .common import partitions, values, written
 
 END = "\n"  # the end token; no word holds white space
-MOST_HELD = 1_000_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -33,28 +33,6 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _count_words(batches):
-    held: Counter = Counter()
-
-    def flush():
-        names, counts = list(held), list(held.values())
-        held.clear()
-        for i in range(0, len(names), 100_000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[i : i + 100_000], pa.binary()).cast(pa.string()), pa.array(counts[i : i + 100_000], pa.int64())],
-                names=["word", "c"],
-            )
-
-    end = END.encode()
-    for b in batches:
-        for t in values(b.column(0)):
-            held.update(words_of(t))
-            held[end] += 1
-            if len(held) > MOST_HELD:
-                yield from flush()
-    yield from flush()
-
-
 class Grams:
     """Kept n-grams by level: level 1 are words; an entry above is (context entry below, word)."""
 
@@ -69,70 +47,6 @@ class Grams:
         self.codes.append(codes[order])
         self.counts.append(counts[order])
 
-    def vocabulary(self) -> dict[bytes, int]:
-        return {w.encode(): i for i, w in enumerate(self.words)}
-
-    def longer(self, ids: np.ndarray) -> np.ndarray:
-        """Codes of the candidate n-grams one level up that occur in a stream of word ids (-1: none)."""
-        entry = ids
-        for codes in self.codes[1:]:
-            entry = self._step(entry, ids, codes)
-        ok = (entry[:-1] >= 0) & (entry[1:] >= 0)
-        return entry[:-1][ok] * self.size + ids[1:][ok]
-
-    def _step(self, entry, ids, codes):
-        """The kept entry that ends at each place, one level up."""
-        out = np.full(len(ids), -1, np.int64)
-        if len(codes) and len(ids) > 1:
-            code = entry[:-1] * self.size + ids[1:]
-            at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-            ok = (entry[:-1] >= 0) & (ids[1:] >= 0) & (codes[at] == code)
-            out[1:][ok] = at[ok]
-        return out
-
-
-def _count_longer(held):
-    """Local counts of the next level's n-grams over a task's texts."""
-
-    def run(batches):
-        grams, vocabulary = _opened(held)
-        end = vocabulary.get(END.encode(), -1)
-        parts: list[np.ndarray] = []
-        streams: list[int] = []
-        waiting = 0
-
-        def counted():
-            codes, counts = np.unique(np.concatenate(parts), return_counts=True)
-            parts.clear()
-            for i in range(0, len(codes), 200_000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(codes[i : i + 200_000]), pa.array(counts[i : i + 200_000].astype(np.int64))], names=["code", "c"]
-                )
-
-        def cut():
-            nonlocal waiting
-            codes = grams.longer(np.array(streams, dtype=np.int64))
-            streams.clear()
-            if len(codes):
-                parts.append(codes)
-                waiting += len(codes)
-
-        for b in batches:
-            for t in values(b.column(0)):
-                streams.extend(map(vocabulary.get, words_of(t), repeat(-1)))
-                streams += (end, -1)
-                if len(streams) > 500_000:
-                    cut()
-            if waiting > 8_000_000:
-                yield from counted()
-                waiting = 0
-        if streams:
-            cut()
-        if parts:
-            yield from counted()
-
-    return run
-
 
 class Automaton:
     """States by number, 0 the root; arcs, failure arcs and their log10 weights."""
@@ -205,33 +119,266 @@ class Automaton:
         return total
 
 
-_OPEN: dict = {}
+# ---- the model in shards -----------------------------------------------------------------
+
+DISCOUNT = 0.5
+MULTIPLIER, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+SALT = np.uint64(15)  # a word is 60 bits of its hash; the rest deals out the continuations of a common word
+CONTINUED = np.uint64((1 << 40) - 1)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(32))
+
 
+def _packed(a: np.ndarray, width: int) -> bytes:
+    """The low bytes of whole numbers, byte by byte: the shuffle's compression drops the empty ones."""
+    return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-def _opened(held):
-    """The model of a broadcast, opened once per process."""
-    if held.id not in _OPEN:
-        _OPEN.clear()
-        words, counts, levels, totals = held.value
-        grams = Grams(words.decode().split(" ") if words else [], counts)
-        for codes, c in levels:
-            grams.add(codes, c)
-        _OPEN[held.id] = (grams, grams.vocabulary()) if totals is None else (Automaton(grams, *totals), grams.vocabulary())
-    return _OPEN[held.id]
 
+def _unpacked(body: bytes, widths: tuple) -> list[np.ndarray]:
+    n, at, out = len(body) // sum(widths), 0, []
+    for width in widths:
+        found = np.zeros((n, 8), np.uint8)
+        found[:, :width] = np.frombuffer(body, np.uint8, n * width, at).reshape(width, n).T
+        out.append(found.view("<u8").reshape(n))
+        at += n * width
+    return out
 
-class _Held:
-    def __init__(self, spark, grams: Grams, totals=None):
-        levels = list(zip(grams.codes[1:], grams.counts[1:], strict=True))
-        self._b = spark.sparkContext.broadcast((" ".join(grams.words).encode(), grams.counts[0], levels, totals))
-        self.id = f"{spark.sparkContext.applicationId}-{self._b._jbroadcast.id()}"
 
-    def __getstate__(self):
-        return {"_b": self._b, "id": self.id}
+ASKED, TOLD = (8, 5, 5), {1: (5, 5), 2: (5,), 3: (5, 5, 5)}
 
-    @property
-    def value(self):
-        return self._b.value
+
+def _ask_body(context, continued, counts) -> bytes:
+    return _packed(np.diff(context, prepend=np.uint64(0)), 8) + _packed(continued, 5) + _packed(counts, 5)
+
+
+def _asked(body: bytes) -> tuple:
+    steps, continued, counts = _unpacked(body, ASKED)
+    return np.cumsum(steps, dtype=np.uint64), continued, counts.astype(np.int64)
+
+
+def _grouped(context, continued) -> tuple:
+    """Order by (context, continued), the first places of each pair in it, and each row's pair."""
+    order = np.lexsort((continued, context))
+    x, y = context[order], continued[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    pair = np.empty(len(order), np.int64)
+    pair[order] = np.cumsum(new) - 1
+    return x[new], y[new], pair
+
+
+class Block:
+    """Some texts as numbers of the block's own words, and their n-grams as hashes."""
+
+    def __init__(self, row: dict):
+        self.id, self.held_out = row["block"], np.array(row["h"], bool)
+        self.lengths = np.array(row["n"], np.int64)
+        self.names = np.frombuffer(row["names"], "<u8")
+        self.stream = _unpacked(zlib.decompress(row["stream"]), (4,))[0].astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.place = np.arange(len(self.stream)) - np.repeat(self.starts, self.lengths)
+        self.train = np.repeat(~self.held_out, self.lengths)
+
+    def grams(self, k: int) -> tuple:
+        """(positions, contexts, continuations, each position's pair) of the n-grams of length k."""
+        if k == 1:
+            at = np.arange(len(self.stream))
+            x, y, pair = _grouped(self.names, np.zeros(len(self.names), np.uint64))
+            return at, x, y, pair[self.stream]
+        at = np.flatnonzero(self.place >= k - 1)
+        continued = (_mix(self.names) & CONTINUED)[self.stream[at]]
+        context = self.names[self.stream[at - k + 1]]
+        if k == 2:
+            context = (context | (continued & SALT)) * np.uint64(MULTIPLIER)
+        for j in range(k - 2, 0, -1):
+            context = _mix(context * np.uint64(MULTIPLIER) + self.names[self.stream[at - j]])
+        return (at, *_grouped(context, continued))
+
+
+def _shard_of(context: np.ndarray, shards: int) -> np.ndarray:
+    """Ranges of hashes, so that what is sorted by context is sorted by shard."""
+    return ((context >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+
+
+def _cuts(context: np.ndarray, shards: int):
+    """(shard, start, end) of the shards that sorted contexts fall in."""
+    found = _shard_of(context, shards)
+    first = np.flatnonzero(np.diff(found, prepend=np.uint64(shards)))
+    for s, e in zip(first, [*first[1:], len(found)], strict=True):
+        yield int(found[s]), s, e
+
+
+ASKS = "shard long, block long, body binary"
+ANSWERS = "level int, block long, shard long, body binary, tokens long, words long"
+
+
+def _blocks_of(most: int):
+    """Texts to blocks of about `most` tokens."""
+    from xxhash import xxh3_64_intdigest
+
+    class Numbers(dict):
+        def __missing__(self, word):
+            self[word] = n = len(self)
+            return n
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 33
+        numbers, streams, ids, held, lengths, size = Numbers(), [], [], [], [], 0
+
+        def closed():
+            nonlocal numbers, size, block
+            names = np.fromiter(map(xxh3_64_intdigest, numbers), np.uint64, len(numbers)) & ~SALT
+            stream = zlib.compress(_packed(np.concatenate(streams), 4), 1)
+            cells = [[block], [list(ids)], [list(held)], [list(lengths)], [names.astype("<u8").tobytes()], [stream], [size]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=["block", "i", "h", "n", "names", "stream", "size"]
+            )
+            for x in (streams, ids, held, lengths):
+                x.clear()
+            numbers, size, block = Numbers(), 0, block + 1
+            return out
+
+        end = END.encode()
+        for b in batches:
+            for t, i, h in zip(values(b.column(0)), values(b.column(1)), values(b.column(2)), strict=True):
+                words = words_of(t)
+                words.append(end)
+                streams.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)).astype(np.uint32))
+                ids.append(i)
+                held.append(h)
+                lengths.append(len(words))
+                size += len(words)
+                if size >= most:
+                    yield closed()
+        if ids:
+            yield closed()
+
+    return run
+
+
+def _rows_of(batches):
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
+
+
+def _asks(k: int, shards: int):
+    """A block's distinct n-grams of length k with their counts in its training texts, by shard."""
+
+    def run(batches):
+        for row in _rows_of(batches):
+            block = Block(row)
+            at, context, continued, pair = block.grams(k)
+            if not len(at):
+                continue
+            counts = np.bincount(pair[block.train[at]], minlength=len(context))
+            cells = [(n, block.id, _ask_body(context[s:e], continued[s:e], counts[s:e])) for n, s, e in _cuts(context, shards)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), t) for c, t in zip(zip(*cells, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)],
+                names=["shard", "block", "body"],
+            )
+
+    return run
+
+
+def _told(k: int, shards: int):
+    """A shard's exact counts, given back to each block in the order in which it asked.
+
+    Level 1 tells a word's count and its distinct followers, level 2 the count, longer
+    ones the count, the context's count and its distinct followers.  Level 2 also gives the
+    followers that it sees to the words' shards, as asks of block -1.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        blocks = table.column("block").to_pylist()
+        parts = [_asked(x.as_py()) for x in table.column("body")]
+        context, continued, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        sizes = [len(x[0]) for x in parts]
+        del parts
+        if k == 1:
+            more = np.repeat(np.array(blocks) < 0, sizes)  # followers, not counts
+        x, _, pair = _grouped(context, continued)
+        rows, tokens, words = [], 0, 0
+        if k == 1:
+            seen = np.bincount(pair, np.where(more, 0, counts), len(x)).astype(np.int64)
+            after = np.bincount(pair, np.where(more, counts, 0), len(x)).astype(np.int64)
+            tokens, words = int(seen.sum()), int((seen > 0).sum())
+            tell = [seen, after]
+        else:
+            seen = np.bincount(pair, counts, len(x)).astype(np.int64)
+            first = np.flatnonzero(np.diff(x, prepend=~x[:1]))
+            after = np.add.reduceat((seen > 0).astype(np.int64), first)
+            if k == 2:
+                tell = [seen]
+                word = (x[first] * np.uint64(INVERSE)) & ~SALT
+                found, at = np.unique(word, return_inverse=True)
+                after = np.bincount(at, after, len(found)).astype(np.int64)
+                zero = np.zeros(len(found), np.uint64)
+                rows += [(0, -1, n, _ask_body(found[s:e], zero[s:e], after[s:e])) for n, s, e in _cuts(found, shards)]
+            else:
+                run_of = np.repeat(np.arange(len(first)), np.diff(first, append=len(x)))
+                tell = [seen, np.add.reduceat(seen, first)[run_of], after[run_of]]
+        at = 0
+        for block, size in zip(blocks, sizes, strict=True):
+            if block >= 0:
+                mine = pair[at : at + size]
+                rows.append((k, block, shard, b"".join(_packed(t[mine], 5) for t in tell)))
+            at += size
+        rows = [(*r, 0, 0) for r in rows]
+        rows.append((-1, -1, shard, b"", tokens, words))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+        names = [x.split()[0] for x in ANSWERS.split(", ")]
+        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return run
+
+
+def _scored(order: int, tokens: int, words: int):
+    """A block's texts, scored by the arcs and failure weights that the shards told it."""
+    unit = float(tokens) + 0.1 * (words + 1)
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        row = blocks.to_pylist()[0]
+        block = Block(row)
+        level, shard, bodies = answers.column("level").to_numpy(), answers.column("shard").to_numpy(), answers.column("body")
+
+        def told(k):
+            widths = TOLD[min(k, 3)]
+            mine = np.flatnonzero(level == k)
+            mine = mine[np.argsort(shard[mine])]
+            parts = [_unpacked(bodies[int(i)].as_py(), widths) for i in mine]
+            return [np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True)]
+
+        _, _, _, pair = block.grams(1)
+        count, after = (x[pair] for x in told(1))
+        p = (count + 0.1) / unit
+        known = np.add.reduceat((count > 0).astype(np.int64), block.starts)
+        base = np.add.reduceat(np.log10(p), block.starts)
+        for k in range(2, order + 1):
+            at, _, _, pair = block.grams(k)
+            if not len(at):
+                break
+            if k == 2:
+                seen, whole, followers = told(2)[0][pair], count[at - 1], after[at - 1]
+            else:
+                seen, whole, followers = (x[pair] for x in told(k))
+            ok = whole > 0
+            at, seen, whole, followers = at[ok], seen[ok], whole[ok], followers[ok]
+            # the arc, or the failure arc's mass alone where there is none
+            p[at] = np.maximum(seen - DISCOUNT, 0) / whole + DISCOUNT * followers / whole * p[at]
+        score = np.add.reduceat(np.log10(p), block.starts)
+        cells = [row["i"], row["h"], row["n"], known, base, score]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=["i", "h", "n", "known", "base", "score"])
+
+    return run
 
 
 def lm_scores(
@@ -239,9 +386,9 @@ def lm_scores(
     id_col: str = "doc_id",
     text_col: str = "text",
     order: int = 3,
-    word_share: float = 5e-7,
-    gram_share: float = 2e-6,
     folds: int = 10,
+    block_tokens: int = 1_000_000,
+    shard_tokens: int = 1_500_000,
 ) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -249,77 +396,47 @@ def lm_scores(
     is its words and one end token; null and empty texts are the end token alone.  A null
     id counts as the empty text (held out).  Repeated rows train and are scored each.
     Without training rows every probability is that of one unseen token, 0.1/0.1 = 1.
-    An empty table gives no rows; extra columns are ignored.
+    An empty table gives no rows; extra columns are ignored.  Every n-gram of the training
+    rows counts, single ones too.  `block_tokens` and `shard_tokens` only steer the work.
     """
     spark = docs.sparkSession
     out_rows = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
     rows = docs.select(
         F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(id_col).cast("long").alias("i"), out_rows.alias("h")
     )
-    train = rows.where(~F.col("h")).select("t")
-
-    local = train.mapInArrow(_count_words, "word string, c long")
-    counts = written(local.groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
-    tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # at most 1/word_share words
-    kept = counts.where(F.col("c") >= F.lit(word_share * tokens)).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    grams = Grams(kept["word"].tolist(), kept["c"].to_numpy(np.int64))
-    for _ in range(order - 1):
-        held = _Held(spark, grams)
-        found = train.mapInArrow(_count_longer(held), "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
-        # at most 1/gram_share n-grams of a length; a single occurrence teaches nothing after the discount
-        more = found.where(F.col("c") >= F.lit(max(2.0, gram_share * tokens))).toPandas()
-        grams.add(more["code"].to_numpy(np.int64), more["c"].to_numpy(np.int64))
-    held = _Held(spark, grams, (int(tokens), int(distinct)))
-
-    names = ["row", "i", "h", "n", "base", "score", "rare"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.string()]
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 33
-        machine, vocabulary = _opened(held)
-        end = vocabulary.get(END.encode(), -1)
-        p1 = machine.log_p1
-        for b in batches:
-            columns: list[list] = [[], [], [], [], []]
-            for t in values(b.column(0)):
-                words = words_of(t)
-                ids = list(map(vocabulary.get, words, repeat(-1)))
-                rare = b" ".join([w for w, i in zip(words, ids, strict=True) if i < 0]).decode("utf-8", "surrogatepass")
-                if end >= 0:
-                    ids.append(end)
-                else:
-                    rare = f"{rare} {END}" if rare else END
-                    ids.append(-1)
-                row += 1
-                known = [i for i in ids if i >= 0]
-                for c, x in zip(columns, (row, len(ids), sum(map(p1.__getitem__, known)), machine.score(ids), rare), strict=True):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(columns[0], kinds[0]), b.column(1), b.column(2), *(pa.array(c, k) for c, k in zip(columns[1:], kinds[3:], strict=True)),
-                ],
-                names=names,
-            )
-
-    scored = rows.mapInArrow(run, "row long, i long, h boolean, n long, base double, score double, rare string")
-    scored = written(scored, "lm-scores")
-    unit = float(tokens) + 0.1 * (distinct + 1)
-    rare = scored.where(F.col("rare") != "").select("row", F.explode(F.split("rare", " ")).alias("word"))
-    few = counts.where(F.col("c") < F.lit(word_share * tokens))
-    rare = rare.join(few, "word", "left").groupBy("row").agg(
-        F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(unit))).alias("log"),
-        F.sum(F.when(F.col("c").isNull(), 1).otherwise(0)).alias("new"),
+    kinds = "block long, i array<long>, h array<boolean>, n array<long>, names binary, stream binary, size long"
+    blocks = written(rows.mapInArrow(_blocks_of(block_tokens), kinds), "lm-blocks")
+    size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shards = max(partitions(spark), -(-size // shard_tokens))
+
+    def told(k, more=None):
+        asks = blocks.mapInArrow(_asks(k, shards), ASKS)
+        if more is not None:
+            asks = asks.unionAll(more)
+        return asks.groupBy("shard").applyInArrow(_told(k, shards), ANSWERS)
+
+    followers, answers = None, []
+    if order > 1:
+        pairs = written(told(2), "lm-pairs")
+        followers = pairs.where("level = 0").select("shard", "block", "body")
+        answers.append(pairs)
+    single = written(told(1, followers), "lm-words")
+    answers.append(single)
+    tokens, words = single.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    answers += [told(k) for k in range(3, order + 1)]
+    every = answers[0]
+    for x in answers[1:]:
+        every = every.unionAll(x)
+    every = every.where("level > 0").select("block", "level", "shard", "body")
+    scored = blocks.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(
+        _scored(order, int(tokens), int(words)), "i long, h boolean, n long, known long, base double, score double"
     )
-    log = F.coalesce("log", F.lit(0.0))
-    return scored.drop("rare").join(rare, "row", "left").select(
+    return scored.select(
         F.col("i").alias(id_col),
         F.col("h").alias("held_out"),
         F.col("n").alias("n_tokens"),
-        (F.col("n") - F.coalesce("new", F.lit(0))).cast("long").alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + log).alias("base_score"),
-        (F.col("score") + log).alias("score"),
+        F.col("base").alias("base_score"),
+        "score",
     )

@@ -253,6 +253,41 @@ def test_lm_odd_rows(spark, odd):
     assert alone.train_tokens == 0 and abs(alone.base_score) < 1e-9
 
 
+def whole_model_scores(rows, order=3):
+    """Scores of a model that holds every n-gram, in plain Python."""
+    cut = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0}
+    c, after = Counter(), defaultdict(set)
+    for i, t in rows:
+        if i not in held:
+            w = cut(t)
+            for k in range(1, order + 1):
+                for j in range(len(w) - k + 1):
+                    c[tuple(w[j : j + k])] += 1
+                    after[tuple(w[j : j + k - 1])].add(w[j + k - 1])
+    tokens, words = sum(n for g, n in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+
+    def p(g):
+        if len(g) == 1:
+            return (c[g] + 0.1) / (tokens + 0.1 * (words + 1))
+        if not c[g[:-1]]:
+            return p(g[1:])
+        return max(c[g] - 0.5, 0) / c[g[:-1]] + 0.5 * len(after[g[:-1]]) / c[g[:-1]] * p(g[1:])
+
+    return {i: sum(math.log10(p(tuple(w[max(0, j - order + 1) : j + 1]))) for j in range(len(w))) for i, t in rows for w in [cut(t)]}
+
+
+@pytest.mark.parametrize("steer", [{}, {"block_tokens": 300, "shard_tokens": 100}, {"order": 4}, {"order": 2}, {"order": 1}])
+def test_lm_holds_every_ngram(spark, steer):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, int(rng.integers(0, 60))) if x < 10**6)) for i in range(200)]
+    rows += [(i, "a text of words that occur in no other row of this small table") for i in (900, 901)]
+    want = whole_model_scores(rows, steer.get("order", 3))
+    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **steer).collect()
+    assert len(got) == len(rows)
+    assert all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-9) for r in got)
+
+
 # ---- Jaccard join
 
 def brute_components(rows):
