@@ -7,7 +7,7 @@
    within the radius of a pivot form its Voronoi region and are linked with it; a
    node without such a pivot is a region of its own.
 4. Regions join recursively: only regions of different components that share a shingle
-   are compared, by their pivots.  By the triangle inequality two regions can hold a
+   are compared, by their pivots, or if both have one member by these.  By the triangle inequality two regions can hold a
    link only if their pivots' distance is at most the sum of their radii and the join
    radius; then the boundary members inside that window, and no others, are replicated
    to blocks of the other region and compared there.
@@ -300,20 +300,21 @@ class Join:
         )
         region = written(region, "jaccard-regions")
         extent = region.join(self.nodes.select("node", "n"), "node").groupBy("pivot").agg(
-            F.count("*").alias("size"), F.max("d").alias("r"), F.min("n").alias("lo"), F.max("n").alias("hi")
-        )
+            F.count("*").alias("size"), F.max("d").alias("r"), F.min("n").alias("lo"), F.max("n").alias("hi"),
+            F.min("node").alias("only"),  # of a region of one; a pivot may be a member of another region
+        )
 
         # regions of different components that share a leading shingle, with sizes that allow a link
         met = self.groups.join(region, "node").select("s", "pivot", "component").distinct()
         mixed = met.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("s")
         met = met.join(mixed, "s", "left_semi").join(extent, "pivot")
-        side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("component", "size", "r", "lo", "hi")]
+        side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("component", "size", "r", "lo", "hi", "only")]
         left, right = met.select("s", F.col("pivot").alias("p"), *side("p")), met.select("s", F.col("pivot").alias("q"), *side("q"))
         meet = (
             (F.col("p") < F.col("q")) & (F.col("component_p") != F.col("component_q"))
             & (self.share * F.col("lo_p") <= 100 * F.col("hi_q")) & (self.share * F.col("lo_q") <= 100 * F.col("hi_p"))
         )
-        facts = [f"{c}_{k}" for c in ("size", "r", "lo", "hi") for k in ("p", "q")]
+        facts = [f"{c}_{k}" for c in ("size", "r", "lo", "hi", "only") for k in ("p", "q")]
         between = left.join(right, "s").where(meet)
         between = between.groupBy("p", "q", *facts).agg(F.count("*").alias("shared"))
         # two nodes share that many leading shingles at least, whichever of them ends first
@@ -324,7 +325,7 @@ class Join:
         small = F.col("size_p") * F.col("size_q") <= self.block
 
         members = region.select(F.col("pivot").alias("m"), "node", "d")
-        more = self.possible(between.where(single).select(F.col("p").alias("a"), F.col("q").alias("b")))
+        more = self.possible(between.where(single).select(F.col("only_p").alias("a"), F.col("only_q").alias("b")))
         # small regions meet member by member; large ones by their pivots first
         open_ = between.where(~single & small).select("p", "q", "size_p", "size_q", F.lit(0.0).alias("apart"))
         large = between.where(~small)

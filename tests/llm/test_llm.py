@@ -341,6 +341,20 @@ def test_jaccard_chains_of_near_copies(spark, steer):
     assert Counter(map(tuple, jaccard.jaccard_components(d, **steer).collect())) == brute_components(rows)
 
 
+@pytest.mark.parametrize("steer", [{}, {"block": 1, "least": 1}])
+def test_jaccard_drifting_families(spark, steer):
+    rows = []
+    for family in range(500):
+        rng = np.random.default_rng(family)
+        words = [f"f{family}_{i}" for i in range(int(rng.integers(40, 90)))]
+        for _ in range(int(rng.integers(4, 12))):
+            rows.append((len(rows), " ".join(words)))
+            for _ in range(int(rng.integers(1, 3))):
+                words[int(rng.integers(len(words)))] = f"f{family}_x{int(rng.integers(10**6))}"
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(map(tuple, jaccard.jaccard_components(d, **steer).collect())) == brute_components(rows)
+
+
 def test_jaccard_odd_rows(spark, odd):
     got = Counter(map(tuple, jaccard.jaccard_components(odd).collect()))
     assert got == brute_components([(r[0], r[1]) for r in ODD])
