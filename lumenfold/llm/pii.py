@@ -3,8 +3,8 @@
 The tagger is trained here, in numpy, on a generated table of labelled spans.  A text
 is cut into overlapping windows; each character's tag comes from the window in which
 it is furthest from an edge, so neighbouring windows agree on one global tag sequence.
-All kinds hold a digit or an @, so a window without either is all outside and is not
-decoded; an added span must hold one.
+All kinds hold a digit or an @, so windows are decoded from those on, as far as the
+tagged spans reach; an added span must hold one.
 """
 
 from __future__ import annotations
@@ -313,6 +313,33 @@ def reconciled(length: int, starts: list[int], tags: np.ndarray) -> list[tuple[i
     return spans
 
 
+def decoded(model: tuple, texts: list[str], batch_windows: int) -> dict[int, tuple[list[int], list]]:
+    """Per text with a digit or an @: starts and tags of its windows.
+
+    Where a tagged span touches the edge of what is decoded, the next window is too, until the
+    span ends: spans that hold a digit or an @ are those that all windows would give.
+    """
+    quarter = (WINDOW - STRIDE) // 2
+    held: dict[int, dict] = {}
+    wanted = [(r, s) for r, t in enumerate(texts) for s in window_starts(t)]
+    while wanted:
+        more = set()
+        for i in range(0, len(wanted), batch_windows):
+            part = wanted[i : i + batch_windows]
+            ids = np.zeros((len(part), WINDOW), np.int64)
+            for j, (r, s) in enumerate(part):
+                piece = encoded(texts[r][s : s + WINDOW])
+                ids[j, : len(piece)] = piece
+            for (r, s), row in zip(part, tags_of(model, ids), strict=True):
+                held.setdefault(r, {})[s] = row
+                if s and row[quarter]:
+                    more.add((r, s - STRIDE))
+                if s + WINDOW < len(texts[r]) and row[WINDOW - quarter - 1]:
+                    more.add((r, s + STRIDE))
+        wanted = sorted((r, s) for r, s in more if s not in held[r])
+    return {r: (sorted(x), [x[s] for s in sorted(x)]) for r, x in held.items()}
+
+
 PLAUSIBLE = {
     "email": re.compile(r"[\w.%+-]+\s?@\s?[\w-]+(\.[\w-]+)+"),
     "ip": re.compile(r"[0-9]{1,3}(\.[0-9]{1,3}){3}"),
@@ -360,24 +387,11 @@ def find_personal_data(
         for b in batches:
             texts = b.column(1).to_pylist()
             bases = [base_spans(t) for t in texts]
-            wanted, starts = [], {}
-            for r, t in enumerate(texts):
-                if at := window_starts(t):
-                    starts[r] = at
-                    wanted += [(r, s) for s in at]
-            tags: dict[int, list] = {}
-            for i in range(0, len(wanted), batch_windows):
-                part = wanted[i : i + batch_windows]
-                ids = np.zeros((len(part), WINDOW), np.int64)
-                for j, (r, s) in enumerate(part):
-                    piece = encoded(texts[r][s : s + WINDOW])
-                    ids[j, : len(piece)] = piece
-                for (r, _), row in zip(part, tags_of(model, ids), strict=True):
-                    tags.setdefault(r, []).append(row)
+            tags = decoded(model, texts, batch_windows)
             columns: list[list] = [[] for _ in range(7)]
             for r, t in enumerate(texts):
                 base = bases[r]
-                more = added_spans(t, base, reconciled(len(t), starts[r], tags[r])) if r in starts else []
+                more = added_spans(t, base, reconciled(len(t), *tags[r])) if r in tags else []
                 for k in range(4):
                     columns[k].append(sum(x[0] == k for x in base))
                 columns[4].append(hashlib.sha256(_joined(base).encode()).hexdigest())

@@ -400,6 +400,28 @@ def test_windows_cover_every_trigger():
             assert 0 <= s < e <= n
 
 
+def test_spans_are_those_of_all_windows(spark):
+    model = pii.trained_tagger()
+    rng = np.random.default_rng(3)
+    parts = ["th", "er", "in", "on", "an", "re", "sch", "ou", "ti", "ing", "ha"]
+    word = lambda k=2: "".join(parts[int(i)] for i in rng.integers(0, len(parts), k))
+    texts = []
+    for i in range(300):
+        found = [f"{word()} @ mail.example.com", f"{word(3)}_{word(3)}_{word(3)} @ post.example.com", f"{word(3)} @ example.{word(4)}.{word(4)}.example.com"]
+        texts.append(" ".join(word() for _ in range(20)) + " " * (1 + i % 32) + found[i % 3] + " " + " ".join(word() for _ in range(15)))
+    want = {}
+    for r, t in enumerate(texts):
+        starts = list(range(0, len(t) - pii.WINDOW + pii.STRIDE, pii.STRIDE))
+        ids = np.zeros((len(starts), pii.WINDOW), np.int64)
+        for j, s in enumerate(starts):
+            ids[j, : len(t[s : s + pii.WINDOW])] = pii.encoded(t[s : s + pii.WINDOW])
+        base = pii.base_spans(t)
+        want[r] = pii._joined([*base, *pii.added_spans(t, base, pii.reconciled(len(t), starts, pii.tags_of(model, ids)))])
+    got = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sum(x != "" for x in want.values()) > 20
+    assert {r.doc_id: r.spans for r in got} == want
+
+
 def test_personal_data_rows(spark, odd):
     rows = pii.find_personal_data(odd).collect()
     assert len(rows) == len(ODD)
