@@ -145,9 +145,22 @@ class Packer:
         return rows
 
     def close(self) -> list[tuple]:
-        """The rest: whole windows, then sequences of falling powers of two, which need no padding."""
+        """The rest: whole windows as in a group, then sequences of falling powers of two, which need no padding."""
         rows, parts, size = [], [], self.capacity
-        left = self.held
+        left = self.held % self.capacity
+        if room := self.held - left:
+            front, items = [], self.items
+            while room:
+                doc_id, ids, start, total, length = items[len(front)]
+                take = min(room, length)
+                front.append((doc_id, ids, start, total, take))
+                room -= take
+            rest = items[len(front) :]
+            if take < length:
+                rest = [(doc_id, ids, start + take, total, length - take), *rest]
+            self.items = front
+            rows += self._flush()
+            self.items = rest
         while left:
             while size > left:
                 size //= 2

@@ -106,6 +106,25 @@ def test_differencing_balances_and_the_count_rises():
 
 # ---- tokens
 
+def test_differencing_packs_the_rest_of_a_task():
+    packer = packing.Packer(0, 4096, 24)
+    sizes = [3000, 3000, 1096, 1096, 5000, 3192, 300]
+    rows = [r for i, n in enumerate(sizes) for r in packer.add(i, bytes(4 * n))] + packer.close()
+    windows, pieces = defaultdict(int), defaultdict(list)
+    for doc, start, length, _, total, sequence, offset, capacity in rows:
+        assert offset == windows[sequence] and total == sizes[doc]
+        windows[sequence] += length
+        pieces[doc].append((start, length))
+    assert [windows[k] for k in sorted(windows)] == [4096] * 4 + [256, 32, 8, 4]
+    assert all(sorted(pieces[i]) == [(0, sizes[i])] for i in range(4))  # whole in its window: nothing to cut
+    for i, n in enumerate(sizes):
+        at = 0
+        for start, length in sorted(pieces[i]):
+            assert start == at
+            at += length
+        assert at == n
+
+
 @pytest.mark.parametrize("file,kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
 def test_pieces_give_the_librarys_ids(docs, file, kind):
     one = tokens.Encoder(queries.tokenizer_file(file), kind)
