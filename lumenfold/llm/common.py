@@ -54,3 +54,8 @@ def values(column, size: int = 256):
     """A column of an Arrow batch as Python values, a few at a time: long texts are not all held at once."""
     for i in range(0, len(column), size):
         yield from column.slice(i, size).to_pylist()
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, to be taken apart again: no helper column can clash with them, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])

@@ -3,18 +3,19 @@
 1. Documents with the same shingle set are one node.
 2. A pair within the radius shares a shingle among the first ones of both sets in one
    global order (frequent shingles last), so nodes meet by those shingles only.
-3. Each shingle's nodes are compared with one pivot, the most central of them.  Nodes
-   within the radius of a pivot form its Voronoi region and are linked with it; a
-   node without such a pivot is a region of its own.
-4. Regions join recursively: only regions of different components that share a shingle
-   are compared, by their pivots, or if both have one member by these.  By the triangle inequality two regions can hold a
-   link only if their pivots' distance is at most the sum of their radii and the join
-   radius; then the boundary members inside that window, and no others, are replicated
-   to blocks of the other region and compared there.
-5. Components of the links are found by label propagation with pointer jumping.
-
-Every comparison is first bounded by the shared leading shingles, which decides most
-pairs without their sets; the rest are verified on whole sets.
+3. Each shingle's nodes take the most central of them as their pivot.  A pivot's region
+   are the nodes of its shingles, each with its distance from the pivot; those within the
+   radius are linked with it.  Two nodes that share a leading shingle share a region.
+4. Regions of one component are done.  The others are joined recursively: a region of
+   many nodes takes pivots of its own, its nodes go to the nearest (a Voronoi region) and
+   by the triangle inequality to each other region that may hold a node within the radius
+   of them, until a region fits a task.  A region that its pivots do not part is dealt
+   into blocks, and every two blocks meet.
+5. In a task, pairs of different components inside the triangle window of their
+   distances from the pivot are bounded by the shared leading shingles.  Few survivors
+   leave as pairs; where there are many, their nodes meet once more with their whole sets
+   and give one link for each two components that have any: no task lists all pairs.
+6. Components of the links are found by label propagation with pointer jumping.
 """
 
 from __future__ import annotations
@@ -22,12 +23,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import values, written
+from .common import partitions, values, whole_row, written
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -85,14 +85,14 @@ def _frequent(docs: DataFrame, width: int, least: int) -> np.ndarray:
     """
 
     def run(batches):
-        held = np.zeros(SLOTS, np.uint16)
+        held = np.zeros(SLOTS, np.uint32)
         waiting: list[np.ndarray] = []
         size = 0
         seen: set[int] = set()
 
         def add():
             at, n = np.unique(np.concatenate(waiting) & (SLOTS - 1), return_counts=True)
-            held[at] = np.minimum(held[at].astype(np.int64) + n, 65_535).astype(np.uint16)
+            held[at] += n.astype(np.uint32)
             waiting.clear()
 
         for b in batches:
@@ -122,19 +122,20 @@ def _frequent(docs: DataFrame, width: int, least: int) -> np.ndarray:
         for b in batches:
             for k, packed in zip(b.column(0).to_pylist(), values(b.column(1)), strict=True):
                 if k not in held:
-                    held[k] = np.zeros(CHUNK, np.uint32)
-                held[k] += np.frombuffer(zlib.decompress(packed), np.uint16)
+                    held[k] = np.zeros(CHUNK, np.uint64)
+                held[k] += np.frombuffer(zlib.decompress(packed), np.uint32)
         for k, counts in held.items():
-            packed = zlib.compress(np.minimum(counts, 65_535).astype(np.uint16).tobytes(), 1)
+            packed = zlib.compress(counts.tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([packed], pa.binary())], names=["chunk", "counts"])
 
     kind = "chunk long, counts binary"
     local = docs.mapInArrow(run, kind).repartition("chunk").mapInArrow(summed, kind)
-    total = np.zeros((SLOTS // CHUNK, CHUNK), np.uint16)
+    total = np.zeros((SLOTS // CHUNK, CHUNK), np.uint64)
     for r in local.toLocalIterator():  # SLOTS / CHUNK rows, whatever the input
-        total[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint16)
+        total[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
     total = total.reshape(-1)
     load = float(total.mean())
+    # the bar rises with the slots' mean, so a shingle that comes early has few texts above it at any size
     return np.packbits(total >= load + 6 * np.sqrt(load) + least)
 
 
@@ -178,37 +179,55 @@ def _leading(docs: DataFrame, width: int, share: int, frequent) -> DataFrame:
     return docs.mapInArrow(run, "id long, node long, n long, cold array<long>, hot array<long>, cut long, raw long")
 
 
-class Bits:
-    """Text digests as a bitmap of fixed size: it may hold strangers, but misses none."""
+MOST_BITS = 1 << 28
 
-    SIZE = 1 << 25
 
-    def __init__(self, spark: SparkSession, wanted: DataFrame):
-        at = F.pmod(F.col("raw"), F.lit(self.SIZE))
-        found = (
-            wanted.groupBy(F.shiftright(at, 5).alias("w"))
-            .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(raw, {self.SIZE}) & 31 as int))")).alias("b"))
-            .toPandas()  # at most SIZE / 32 rows, whatever the input
-        )
-        words = np.zeros(self.SIZE // 32, np.uint32)
-        words[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).astype(np.uint32)
-        self.held = spark.sparkContext.broadcast(words)
+def _bits(wanted: DataFrame, size: int) -> np.ndarray:
+    """Text digests as a bitmap: it may hold strangers, but misses none."""
+    at = F.pmod(F.col("raw"), F.lit(size))
+    found = (
+        wanted.groupBy(F.shiftright(at, 5).alias("w"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(raw, {size}) & 31 as int))")).alias("b"))
+        .toPandas()  # at most size / 32 rows
+    )
+    words = np.zeros(size // 32, np.uint32)
+    words[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).astype(np.uint32)
+    return words
 
 
-def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """(node, set) of the texts whose digest, raw, is wanted, and of a few others; no other text is cut into shingles."""
-    bits = Bits(docs.sparkSession, wanted).held
-    size = Bits.SIZE
+def _sets(docs: DataFrame, width: int, wanted: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """(node, set) of the texts whose digest, raw, is wanted, and of a few others; few other texts are cut into shingles.
+
+    The digests go out as a bitmap of 16 bits each; beyond `most_bits` the texts' own digests are joined with them.
+    """
+    wanted = wanted.distinct()
+    size = 1 << 22
+    n = wanted.count()
+    while size < 16 * n and size <= most_bits:
+        size *= 2
+    bits = None
+    if size <= most_bits:
+        bits = docs.sparkSession.sparkContext.broadcast(_bits(wanted, size))
+    else:
+        names = docs.columns
+
+        def keyed(batches):
+            for b in batches:
+                raws = [raw_of(t) for t in values(b.column(1))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raws, pa.int64())], names=["i", "t", "raw"])
+
+        docs = docs.mapInArrow(keyed, "i long, t string, raw long").join(wanted, "raw", "left_semi").select("i", "t").toDF(*names)
 
     def run(batches):
-        words = bits.value
+        words = None if bits is None else bits.value
         seen: set[int] = set()
         for b in batches:
             names, found = [], []
             for t in values(b.column(1)):
                 raw = raw_of(t)
-                if words[(raw % size) >> 5] >> np.uint32(raw & 31) & 1 and raw not in seen:
-                    seen.add(raw)
+                if raw not in seen and (words is None or words[(raw % size) >> 5] >> np.uint32(raw & 31) & 1):
+                    if len(seen) < 200_000:
+                        seen.add(raw)
                     x = shingles(t, width)
                     if len(x):
                         names.append(node_of(x))
@@ -220,9 +239,161 @@ def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
 
 
+# ---- cells: the nodes that meet in a task ------------------------------------------------
+
+
+def cells_of(batches):
+    """Tables of one cell each, from batches sorted by their first column."""
+    held, name = [], None
+    for b in batches:
+        c = b.column(0).to_numpy()
+        cuts = (np.flatnonzero(np.diff(c)) + 1).tolist()
+        for s, e in zip([0, *cuts], [*cuts, len(c)], strict=True):
+            if s < e and c[s] != name:
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, name = [], c[s]
+            if s < e:
+                held.append(b.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A list column's values, and each value's row."""
+    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
+    sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in column.chunks])
+    return np.concatenate(parts), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def overlaps(tokens: np.ndarray, row: np.ndarray, m: int) -> np.ndarray:
+    """How many tokens every two of m rows share; a row's tokens are distinct.
+
+    Tokens of few rows add their pairs one by one, those of many by matrix products.
+    """
+    out = np.zeros((m, m), np.int32)
+    if not len(tokens):
+        return out
+    order = np.argsort(tokens, kind="stable")
+    t, r = tokens[order], row[order]
+    first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    held = np.diff(first, append=len(t))
+    few = max(8, m // 16)
+    flat = out.reshape(-1)
+    for d in np.unique(held[(held > 1) & (held <= few)]).tolist():
+        rows = r[first[held == d][:, None] + np.arange(d)]
+        i, j = np.triu_indices(d, 1)
+        step = max(1, 1_000_000 // len(i))
+        for c in range(0, len(rows), step):
+            part = rows[c : c + step]
+            np.add.at(flat, (part[:, i] * m + part[:, j]).reshape(-1), 1)
+    many = np.flatnonzero(held > few)
+    for c in range(0, len(many), 2048):
+        part = many[c : c + 2048]
+        some = np.zeros((len(part), m), np.float32)
+        at = np.repeat(np.arange(len(part)), held[part])
+        some[at, r[np.concatenate([np.arange(first[k], first[k] + held[k]) for k in part])]] = 1
+        out += np.triu((some.T @ some).astype(np.int32), 1)
+    return out + out.T
+
+
+def _compare(share: int, radius: float, most: int):
+    """Pairs of a cell that the bounds allow; beyond `most` a node, the nodes that have any."""
+
+    def one(cell: pa.Table):
+        get = lambda c: cell.column(c).to_numpy()
+        node, comp, side, d = get("node"), get("component"), get("side"), get("d")
+        n, k, late, at = get("n"), get("k"), get("late").astype(np.int64), get("at")
+        m = len(node)
+        both = overlaps(*_flat(cell.column("shared")), m)
+        ok = np.zeros((m, m), bool)
+        for s in range(0, m, 256):
+            x = slice(s, min(s + 256, m))
+            col = lambda v: v[x, None]
+            b = both[x]
+            first = (col(late) < late) | ((col(late) == late) & (col(at) <= at))
+            most_ = np.minimum(np.minimum(b + np.where(first, col(n - k), n - k), col(n)), n)
+            here = (b > 0) & (100 * most_ >= share * (col(n) + n - most_)) & (col(comp) != comp)
+            here &= (col(side) != side) | (col(side) == 0)
+            # the triangle window; a distance that is not known is NaN and decides nothing
+            here &= ~(np.abs(col(d) - d) > radius + 1e-9)
+            here &= np.arange(m) > np.arange(x.start, x.stop)[:, None]
+            ok[x] = here
+        i, j = np.nonzero(ok)
+        return node, n, i, j
+
+    def run(batches):
+        names = ["a", "b", "n_a", "n_b", "cell"]
+        out: list[list] = [[], [], [], [], []]
+        for cell in cells_of(batches):
+            if cell.num_rows < 2:
+                continue
+            node, n, i, j = one(cell)
+            if len(i) > max(most * len(node), 32):
+                busy = np.unique(np.concatenate([i, j]))
+                part = [node[busy], node[busy], n[busy], n[busy], np.full(len(busy), cell.column("cell")[0].as_py())]
+            else:
+                low = node[i] < node[j]
+                i, j = np.where(low, i, j), np.where(low, j, i)
+                part = [node[i], node[j], n[i], n[j], np.full(len(i), -1)]
+            for o, p in zip(out, part, strict=True):
+                o.append(p)
+            if sum(map(len, out[0])) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), pa.int64()) for o in out], names=names)
+                out = [[], [], [], [], []]
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), pa.int64()) for o in out], names=names)
+
+    return run
+
+
+def spanning(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[int]:
+    """Places of links (i, j) that join labels not joined by those before."""
+    pair, place = np.unique(np.sort(np.stack([labels[i], labels[j]], 1), axis=1), axis=0, return_index=True)
+    up: dict[int, int] = {}
+
+    def root(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    out = []
+    for (x, y), at in zip(pair.tolist(), place.tolist(), strict=True):
+        x, y = root(x), root(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append(at)
+    return out
+
+
+def _linked(share: int):
+    """A cell's links by whole sets, one for each two components that it joins."""
+
+    def run(batches):
+        for cell in cells_of(batches):
+            node, comp, side = (cell.column(c).to_numpy() for c in ("node", "component", "side"))
+            m = len(node)
+            both = overlaps(*_flat(cell.column("set")), m)
+            n = np.concatenate([np.diff(c.offsets.to_numpy()) for c in cell.column("set").chunks]).astype(np.int64)
+            ok = np.zeros((m, m), bool)
+            for s in range(0, m, 256):
+                x = slice(s, min(s + 256, m))
+                b = both[x].astype(np.int64)
+                here = (100 * b >= share * (n[x, None] + n - b)) & (comp[x, None] != comp)
+                here &= (side[x, None] != side) | (side[x, None] == 0)
+                ok[x] = here & (np.arange(m) > np.arange(x.start, x.stop)[:, None])
+            i, j = np.nonzero(ok)
+            if len(i):
+                at = spanning(comp, i, j)
+                yield pa.RecordBatch.from_arrays([pa.array(node[i[at]], pa.int64()), pa.array(node[j[at]], pa.int64())], names=["a", "b"])
+
+    return run
+
+
 class Join:
-    def __init__(self, docs: DataFrame, width: int, share: int, least: int, block: int):
-        self.spark, self.docs, self.width, self.share, self.block = docs.sparkSession, docs, width, share, block
+    def __init__(self, docs: DataFrame, width: int, share: int, least: int, cell_nodes: int, cell_weight: int):
+        self.spark, self.docs, self.width, self.share = docs.sparkSession, docs, width, share
+        self.cell_nodes, self.cell_weight, self.radius = cell_nodes, cell_weight, 1 - share / 100
         late = self.spark.sparkContext.broadcast(_frequent(docs, width, least))
         self.rows = written(_leading(docs, width, share, late), "jaccard-rows")
         self._meet()
@@ -231,7 +402,7 @@ class Join:
         """`groups` (shingle, node): leading shingles of two nodes at least; `nodes`: what bounds need."""
         first = self.rows.where(F.col("cut").isNotNull())
         cold = first.select(F.explode("cold").alias("s"), "node")
-        # no shingle that comes early is frequent, so a window holds few of the rows
+        # no shingle that comes early has many more nodes than the mean slot, so a window holds few of the rows
         each = Window.partitionBy("s")
         cold = cold.select("s", "node", F.min("node").over(each).alias("a"), F.max("node").over(each).alias("b"))
         cold = cold.where(F.col("a") != F.col("b")).select("s", "node")
@@ -247,13 +418,13 @@ class Join:
         lists = self.groups.groupBy("node").agg(F.collect_list("s").alias("shared"))
         self.nodes = written(lists.join(facts, "node"), "jaccard-nodes")
 
-    def star_pairs(self) -> DataFrame:
-        """(a, b): each node with the most central node, b, of each of its groups."""
+    def stars(self) -> DataFrame:
+        """(pivot, node): the most central node of each shingle, and all nodes of its shingles."""
         sizes = self.groups.groupBy("s").agg(F.count("*").alias("c"))
         central = self.groups.join(sizes, "s").groupBy("node").agg(F.sum("c").alias("c"))
         ranked = self.groups.join(central, "node")
-        pivots = ranked.groupBy("s").agg(F.max(F.struct("c", "node")).alias("p")).select("s", F.col("p.node").alias("b"))
-        return self.groups.join(pivots, "s").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
+        pivots = ranked.groupBy("s").agg(F.max(F.struct("c", "node")).alias("p")).select("s", F.col("p.node").alias("pivot"))
+        return written(self.groups.join(pivots, "s").select("pivot", "node").distinct(), "jaccard-stars")
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose bound allows the similarity: shared leading shingles and what may follow them."""
@@ -284,130 +455,120 @@ class Join:
 
     def run(self) -> DataFrame:
         """(node, component): nodes with links only; a component's name is its smallest node."""
-        radius = 1 - self.share / 100
-        found = self.verified(self.possible(self.star_pairs()))
-        links = found.where(self.linked())
-        labels = components(links.select("a", "b"))
-
-        # Voronoi regions: a node's nearest pivot within the radius, else itself
-        near = links.groupBy("a").agg(F.min(F.struct(self.distance().alias("d"), F.col("b").alias("p"))).alias("h"))
-        region = self.nodes.select("node").join(near.select(F.col("a").alias("node"), "h"), "node", "left")
-        region = region.join(labels, "node", "left").select(
-            "node",
-            F.coalesce("h.p", "node").alias("pivot"),
-            F.coalesce("h.d", F.lit(0.0)).alias("d"),
-            F.coalesce("component", "node").alias("component"),
-        )
-        region = written(region, "jaccard-regions")
-        extent = region.join(self.nodes.select("node", "n"), "node").groupBy("pivot").agg(
-            F.count("*").alias("size"), F.max("d").alias("r"), F.min("n").alias("lo"), F.max("n").alias("hi"),
-            F.min("node").alias("only"),  # of a region of one; a pivot may be a member of another region
+        stars = self.stars()
+        pairs = stars.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        found = self.verified(self.possible(pairs))
+        links = found.where(self.linked()).select("a", "b")
+        labels = components(links)
+        facts = self.nodes.select("node", "n").join(labels, "node", "left")
+        facts = facts.select("node", "n", F.coalesce("component", "node").alias("component"))
+        met = stars.join(facts, "node")
+        mixed = met.groupBy("pivot").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("pivot")
+        apart = found.select(F.col("a").alias("node"), F.col("b").alias("pivot"), self.distance().alias("d"))
+        apart = met.join(mixed, "pivot", "left_semi").join(apart, ["node", "pivot"], "left")
+        cells = apart.select(
+            F.xxhash64("pivot").alias("cell"), "node", "component", "n", F.lit(0).alias("side"),
+            F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.coalesce("d", F.lit(float("nan")))).alias("d"),
         )
+        cells, more = self.parted(written(cells, "jaccard-cells"))
+        links = links.unionAll(more) if more is not None else links
+        return components(links.unionAll(self.compared(cells)))
 
-        # regions of different components that share a leading shingle, with sizes that allow a link
-        met = self.groups.join(region, "node").select("s", "pivot", "component").distinct()
-        mixed = met.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("s")
-        met = met.join(mixed, "s", "left_semi").join(extent, "pivot")
-        side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("component", "size", "r", "lo", "hi", "only")]
-        left, right = met.select("s", F.col("pivot").alias("p"), *side("p")), met.select("s", F.col("pivot").alias("q"), *side("q"))
-        meet = (
-            (F.col("p") < F.col("q")) & (F.col("component_p") != F.col("component_q"))
-            & (self.share * F.col("lo_p") <= 100 * F.col("hi_q")) & (self.share * F.col("lo_q") <= 100 * F.col("hi_p"))
-        )
-        facts = [f"{c}_{k}" for c in ("size", "r", "lo", "hi", "only") for k in ("p", "q")]
-        between = left.join(right, "s").where(meet)
-        between = between.groupBy("p", "q", *facts).agg(F.count("*").alias("shared"))
-        # two nodes share that many leading shingles at least, whichever of them ends first
-        least = F.ceil(self.share * (F.col("lo_p") + F.col("lo_q")) / F.lit(100 + self.share)) - F.ceil(self.share * F.greatest("lo_p", "lo_q") / 100) + 1
-        single = (F.col("size_p") == 1) & (F.col("size_q") == 1)
-        between = written(between.where(~single | (F.col("shared") >= least)), "jaccard-between")
-        single = (F.col("size_p") == 1) & (F.col("size_q") == 1)
-        small = F.col("size_p") * F.col("size_q") <= self.block
-
-        members = region.select(F.col("pivot").alias("m"), "node", "d")
-        more = self.possible(between.where(single).select(F.col("only_p").alias("a"), F.col("only_q").alias("b")))
-        # small regions meet member by member; large ones by their pivots first
-        open_ = between.where(~single & small).select("p", "q", "size_p", "size_q", F.lit(0.0).alias("apart"))
-        large = between.where(~small)
-        if large.take(1):
-            ends = large.select(F.col("p").alias("a"), F.col("q").alias("b"), "r_p", "r_q")
-            # pivots whose sizes put them further apart than the window cannot hold a link
-            window = F.lit(100.0) * (1 - F.least(F.lit(1.0), F.col("r_p") + F.col("r_q") + radius))
-            exact = self.verified(self._windowed(ends, window).select("a", "b", "n_a", "n_b"))
-            apart = exact.select(F.col("a").alias("p"), F.col("b").alias("q"), self.distance().alias("apart"))
-            near_ = large.join(apart, ["p", "q"]).where(F.col("apart") <= F.col("r_p") + F.col("r_q") + radius + 1e-9)
-            open_ = open_.unionAll(near_.select("p", "q", "size_p", "size_q", "apart"))
-        more = more.unionAll(self.blocks(open_, members, radius))
-        more = self.verified(more.dropDuplicates(["a", "b"])).where(self.linked())
-        return components(links.select("a", "b").unionAll(more.select("a", "b")))
-
-    BLOCK = 256
-
-    def blocks(self, pairs: DataFrame, members: DataFrame, radius: float) -> DataFrame:
-        """(a, b, n_a, n_b): member pairs of region pairs (p, q) that the bounds allow.
-
-        The larger region of a pair is dealt into blocks of its members; each member of the
-        smaller one that the window lets in is replicated to those blocks, itself dealt into
-        blocks: a task holds two blocks, and only pairs that pass leave it.
-        d(a, b) >= apart - d_a - d_b, so a link needs d_a + d_b >= apart - radius.
-        """
-        swap = F.col("size_p") < F.col("size_q")
-        pairs = pairs.select(
-            F.when(swap, F.col("q")).otherwise(F.col("p")).alias("big"), F.when(swap, F.col("p")).otherwise(F.col("q")).alias("little"), "apart"
-        )
-        facts = members.join(self.nodes.select("node", "shared", "n", "k", "cut"), "node")
-        guests = pairs.join(facts.withColumnRenamed("m", "little"), "little").groupBy("big", "node").agg(
-            F.first("shared").alias("shared"), F.first("n").alias("n"), F.first("k").alias("k"), F.first("cut").alias("cut"),
-            # the least distance from the big region's pivot that a member must have to meet this guest
-            F.min(F.col("apart") - F.col("d") - radius).alias("d"),
-        )
-        hosts = pairs.select("big").distinct().join(facts.withColumnRenamed("m", "big"), "big")
-        n_hosts = hosts.groupBy("big").agg(F.ceil(F.count("*") / self.BLOCK).cast("int").alias("nh"))
-        n_guests = guests.groupBy("big").agg(F.ceil(F.count("*") / self.BLOCK).cast("int").alias("ng"))
-        grid = n_hosts.join(n_guests, "big")
-        deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n).cast("long")).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        cols = ["big", "i", "j", "node", "d", "shared", "n", "k", F.col("cut.late").alias("late"), F.col("cut.at").alias("at")]
-        hosts = hosts.join(grid, "big").withColumn("i", deal("nh")).withColumn("j", every("ng")).select(*cols)
-        guests = guests.join(grid, "big").withColumn("j", deal("ng")).withColumn("i", every("nh")).select(*cols)
-        share = self.share
-
-        def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            if not len(x) or not len(y):
-                return pd.DataFrame({"a": [], "b": [], "n_a": [], "n_b": []}, dtype="int64")
-            tokens, at = np.unique(np.concatenate([*x["shared"], *y["shared"]]), return_inverse=True)
-            row = np.repeat(np.arange(len(x) + len(y)), [len(v) for v in [*x["shared"], *y["shared"]]])
-            both = np.zeros((len(x), len(y)), np.float32)
-            for c in range(0, len(tokens), 4096):
-                part = (at >= c) & (at < c + 4096)
-                some = np.zeros((len(x) + len(y), 4096), np.float32)
-                some[row[part], at[part] - c] = 1
-                both += some[: len(x)] @ some[len(x) :].T
-            nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :]
-            lx, ly = x["late"].to_numpy().astype(np.int64)[:, None], y["late"].to_numpy().astype(np.int64)[None, :]
-            ax, ay = x["at"].to_numpy()[:, None], y["at"].to_numpy()[None, :]
-            first = (lx < ly) | ((lx == ly) & (ax <= ay))
-            rest = np.where(first, nx - x["k"].to_numpy()[:, None], ny - y["k"].to_numpy()[None, :])
-            most = np.minimum(np.minimum(both + rest, nx), ny)
-            ok = (100 * most >= share * (nx + ny - most)) & (x["d"].to_numpy()[:, None] + 1e-9 >= y["d"].to_numpy()[None, :])
-            ok &= x["node"].to_numpy()[:, None] != y["node"].to_numpy()[None, :]
-            i, j = np.nonzero(ok)
-            a, b = x["node"].to_numpy()[i], y["node"].to_numpy()[j]
-            na, nb = x["n"].to_numpy()[i], y["n"].to_numpy()[j]
-            low = a < b
-            return pd.DataFrame({"a": np.where(low, a, b), "b": np.where(low, b, a), "n_a": np.where(low, na, nb), "n_b": np.where(low, nb, na)})
+    PIVOTS = 16
 
-        # new names for one side's columns, as both sides come from one table
-        guests = guests.toDF(*guests.columns)
-        hosts = hosts.toDF(*hosts.columns)
-        return hosts.groupBy("big", "i", "j").cogroup(guests.groupBy("big", "i", "j")).applyInPandas(compare, "a long, b long, n_a long, n_b long")
+    def parted(self, cells: DataFrame, levels: int = 6):
+        """The cells, those too large for a task parted recursively, and the links seen on the way.
+
+        A large cell takes about PIVOTS of its nodes as pivots.  A node is at home with the nearest, and a guest
+        of each other pivot p with d(node, p) <= r_p + radius and d(node, p) <= d(node, home) + 2 * radius: no
+        other region can hold a link of it.  Guests of one region do not meet there, as they do at home.
+        """
+        parts, links = [], None
+        for level in range(levels + 1):
+            sizes = cells.groupBy("cell").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+            large = written(sizes.where((F.col("m") > self.cell_nodes) | (F.col("w") > self.cell_weight)), "jaccard-large")
+            if not large.take(1):
+                return self._union([*parts, cells]), links
+            parts.append(cells.join(large.select("cell"), "cell", "left_anti"))
+            cells = cells.join(large, "cell").withColumn("was", F.col("m")).drop("m", "w")
+            if level == levels:
+                break
+            # large cells hold more than `cell_nodes` nodes or very long ones; one pivot at least
+            draw = F.pmod(F.xxhash64("node", F.lit(level)), F.greatest(F.floor(F.col("was") / self.PIVOTS), F.lit(1))) == 0
+            pivots = cells.where(draw).select("cell", "node").unionAll(cells.groupBy("cell").agg(F.min("node").alias("node")))
+            pivots = written(pivots.distinct().select("cell", F.col("node").alias("pivot")), "jaccard-pivots")
+            reach = cells.join(pivots, "cell")
+            seen = self.verified(self._sized(reach.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()))
+            new = seen.where(self.linked()).select("a", "b")
+            links = new if links is None else links.unionAll(new)
+            seen = seen.select(F.col("a").alias("node"), F.col("b").alias("pivot"), self.distance().alias("e"))
+            reach = reach.join(seen, ["node", "pivot"], "left")
+            reach = reach.withColumn("e", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("e")))
+            reach = written(reach.select("cell", "node", "component", "n", "was", "pivot", "e"), "jaccard-reach")
+            home = reach.groupBy("cell", "node").agg(F.min(F.struct("e", "pivot")).alias("h")).select("cell", "node", F.col("h.e").alias("near"), F.col("h.pivot").alias("home"))
+            far = home.groupBy("cell", F.col("home").alias("pivot")).agg(F.max("near").alias("r"))
+            reach = reach.join(home, ["cell", "node"]).join(far, ["cell", "pivot"])
+            inside = (F.col("e") <= F.col("r") + self.radius + 1e-9) & (F.col("e") <= F.col("near") + 2 * self.radius + 1e-9)
+            reach = reach.where((F.col("pivot") == F.col("home")) | inside)
+            cells = reach.select(
+                F.xxhash64("cell", "pivot").alias("cell"), "node", "component", "n",
+                F.when(F.col("pivot") == F.col("home"), 0).otherwise(1).alias("side"), F.col("e").alias("d"), "was",
+            )
+            # a region of nearly all nodes of its cell would only be parted again in vain
+            share = cells.groupBy("cell").agg(F.count("*").alias("m"), F.max("was").alias("x"), F.sum("n").alias("w"))
+            vain = share.where((F.col("m") > 0.7 * F.col("x")) & ((F.col("m") > self.cell_nodes) | (F.col("w") > self.cell_weight)))
+            cells = written(cells, "jaccard-cells")
+            vain = written(vain.select("cell"), "jaccard-vain")
+            parts.append(self.blocks(cells.join(vain, "cell", "left_semi").drop("was")))
+            cells = cells.join(vain, "cell", "left_anti").drop("was")
+        parts.append(self.blocks(cells.drop("was")))
+        return self._union(parts), links
 
-    def _windowed(self, ends: DataFrame, window) -> DataFrame:
+    @staticmethod
+    def _union(parts: list[DataFrame]) -> DataFrame:
+        names = ["cell", "node", "component", "n", "side", "d"]
+        out = parts[0].select(*names)
+        for x in parts[1:]:
+            out = out.unionAll(x.select(*names))
+        return out
+
+    def blocks(self, cells: DataFrame) -> DataFrame:
+        """Cells dealt into blocks of which a task holds two: every two blocks are a cell."""
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+        wanted = F.greatest(F.ceil(2.5 * F.col("m") / self.cell_nodes), F.ceil(2.5 * F.col("w") / self.cell_weight))
+        x = cells.join(sizes.select("cell", wanted.cast("int").alias("nb")), "cell")
+        x = x.withColumn("i", F.pmod(F.xxhash64("node", F.lit("block")), F.col("nb").cast("long")).cast("int"))
+        x = x.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        # in the cell of a block with itself guests keep their side; in others the blocks are the sides
+        side = F.when(F.col("i") == F.col("j"), F.col("side")).when(F.col("i") < F.col("j"), 1).otherwise(2)
+        return x.select(F.xxhash64("cell", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "node", "component", "n", side.alias("side"), "d")
+
+    def _in_cells(self, rows: DataFrame, n: int) -> DataFrame:
+        return rows.repartition(max(partitions(self.spark), n // 200_000), "cell").sortWithinPartitions("cell")
+
+    def compared(self, cells: DataFrame) -> DataFrame:
+        """(a, b): links between components."""
+        cells = written(cells, "jaccard-parts")
+        n = cells.count()
+        facts = self.nodes.select("node", "shared", "k", F.col("cut.late").alias("late"), F.col("cut.at").alias("at"))
+        rows = self._in_cells(cells.join(facts, "node").select("cell", "node", "component", "side", "d", "n", "k", "late", "at", "shared"), n)
+        found = rows.mapInArrow(_compare(self.share, self.radius, 4), "a long, b long, n_a long, n_b long, cell long")
+        found = written(found, "jaccard-open")
+        few = found.where("cell = -1").drop("cell").dropDuplicates(["a", "b"])
+        links = self.verified(few).where(self.linked()).select("a", "b")
+        many = found.where("cell <> -1").select("cell", F.col("a").alias("node"))
+        if not many.take(1):
+            return links
+        wanted = many.select("node").distinct().join(self.nodes.select("node", "raw"), "node").select("raw")
+        sets = _sets(self.docs, self.width, wanted)
+        many = many.join(cells.select("cell", "node", "component", "side"), ["cell", "node"])
+        rows = self._in_cells(many.join(sets, "node").select("cell", "node", "component", "side", "set"), n)
+        return links.unionAll(written(rows.mapInArrow(_linked(self.share), "a long, b long"), "jaccard-links"))
+
+    def _sized(self, pairs: DataFrame) -> DataFrame:
         n = self.nodes.select("node", "n")
-        x = ends.join(n.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
-        x = x.join(n.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-        most = F.least("n_a", "n_b")
-        return x.where(100 * most >= (window - 1e-6) * F.greatest("n_a", "n_b"))
+        x = pairs.join(n.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
+        return x.join(n.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b").select("a", "b", "n_a", "n_b")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -438,7 +599,8 @@ def jaccard_components(
     width: int = 5,
     share: int = 75,
     least: int = 12,
-    block: int = 64,
+    cell_nodes: int = 2048,
+    cell_weight: int = 4_000_000,
 ) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable by links, its own included).
 
@@ -447,11 +609,12 @@ def jaccard_components(
     when 100 * intersection >= share * union.  Rows without words (null, empty or blank
     texts) are linked with nothing: their component is their own id.  Rows of one set
     are one node, so repeated rows and copies share a component.  Null ids rank last.
-    An empty table gives no rows; extra columns are ignored.  `least` and `block` only steer
-    the work: the result is exact for any of them.
+    An empty table gives no rows; extra columns are ignored.  `least`, `cell_nodes` (nodes that
+    a task compares) and `cell_weight` (their shingles) only steer the work: the result is
+    exact for any of them.
     """
     source = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    join = Join(source, width, share, least, block)
+    join = Join(source, width, share, least, cell_nodes, cell_weight)
     labels = join.run()
     rows = join.rows.select("id", "node", "n")
     firsts = rows.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("first"))
@@ -466,7 +629,12 @@ def jaccard_components(
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id names their component, with the columns of `docs`; rows of null id stay."""
+    """The rows whose id names their component, with the columns of `docs`, which may have any names.
+
+    Rows of a null id stay, as do those without words and repeated rows of a staying id.
+    An empty table stays empty.
+    """
     found = jaccard_components(docs, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), whole_row(docs).alias("_row"))
+    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

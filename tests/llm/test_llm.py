@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import json
 import math
 import os
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import corpus_pipeline
-from lumenfold.llm import chat, decontam, exact_dedup, html_blocks, jaccard, lm, packing, pii, quality, queries, tokens
+from lumenfold.llm import chat, common, decontam, exact_dedup, html_blocks, jaccard, lm, packing, pii, quality, queries, tokens
 from oracle import assert_equal, connection
 
 FOLDER = "/root/testdata/sf0.001"
@@ -337,13 +338,13 @@ def brute_components(rows):
     return Counter((d, len(sets[i]), least.get(root(i)) if sets[i] else d) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("steer", [{}, {"block": 1, "least": 2}])
+@pytest.mark.parametrize("steer", [{}, {"cell_nodes": 8, "least": 2}])
 def test_jaccard_is_exact(spark, docs, steer):
     want = brute_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     assert Counter(map(tuple, jaccard.jaccard_components(docs, **steer).collect())) == want
 
 
-@pytest.mark.parametrize("steer", [{}, {"block": 1, "least": 1}])
+@pytest.mark.parametrize("steer", [{}, {"cell_nodes": 6, "least": 1}, {"cell_weight": 400}])
 def test_jaccard_chains_of_near_copies(spark, steer):
     rng = np.random.default_rng(7)
     base = [f"w{i}" for i in range(60)]
@@ -360,7 +361,7 @@ def test_jaccard_chains_of_near_copies(spark, steer):
     assert Counter(map(tuple, jaccard.jaccard_components(d, **steer).collect())) == brute_components(rows)
 
 
-@pytest.mark.parametrize("steer", [{}, {"block": 1, "least": 1}])
+@pytest.mark.parametrize("steer", [{}, {"cell_nodes": 6, "least": 1}, {"cell_weight": 400}])
 def test_jaccard_drifting_families(spark, steer):
     rows = []
     for family in range(500):
@@ -374,6 +375,59 @@ def test_jaccard_drifting_families(spark, steer):
     assert Counter(map(tuple, jaccard.jaccard_components(d, **steer).collect())) == brute_components(rows)
 
 
+def near_copies(n, edits, seed=3):
+    """n texts of 200 words, each with words of its own: neighbours of one base, most of them not of each other."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.choice(200, edits + int(rng.integers(0, 3)), replace=False):
+            w[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("edits,steer", [(3, {}), (4, {}), (4, {"cell_nodes": 40}), (7, {"cell_nodes": 40, "least": 1000})])
+def test_jaccard_one_large_group(spark, edits, steer):
+    rows = near_copies(300, edits)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(map(tuple, jaccard.jaccard_components(d, **steer).collect())) == brute_components(rows)
+
+
+def test_jaccard_rows_grow_with_the_group(spark, monkeypatch):
+    made = Counter()
+
+    def counted(df, name):
+        out = common.written(df, name)
+        made[name] += out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    sizes = []
+    for n in (150, 300):
+        made.clear()
+        d = spark.createDataFrame(near_copies(n, 4), "doc_id long, text string").repartition(4)
+        jaccard.jaccard_components(d).count()
+        sizes.append({k: v for k, v in made.items() if k.startswith("jaccard")})
+    assert all(sizes[1][k] <= 3 * max(v, 50) for k, v in sizes[0].items()), sizes
+
+
+def test_jaccard_sets_without_a_bitmap(spark):
+    d = spark.createDataFrame([(1, "a b c d e f"), (2, "p q r s t u"), (3, "a b c d e f")], "id long, t string")
+    wanted = spark.createDataFrame([(jaccard.raw_of("a b c d e f"),)], "raw long")
+    assert [len(r["set"]) for r in jaccard._sets(d, 5, wanted, most_bits=1).collect()] == [2]
+
+
+def test_overlaps_of_many_and_few():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, k, 40)) for k in [30, 60, 2000] * 40]
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    got = jaccard.overlaps(np.concatenate(sets), rows, len(sets))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        assert got[i, j] == got[j, i] == len(np.intersect1d(sets[i], sets[j]))
+
+
 def test_jaccard_odd_rows(spark, odd):
     got = Counter(map(tuple, jaccard.jaccard_components(odd).collect()))
     assert got == brute_components([(r[0], r[1]) for r in ODD])
