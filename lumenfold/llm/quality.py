@@ -118,12 +118,12 @@ def fit(
     Without target rows the log ratio is 0 everywhere.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # the labels' size: one small row each; the texts are not shuffled unless labels outgrow a broadcast
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("_l")).where(F.col("_l").isNotNull()).distinct()
     good = good.orderBy(F.xxhash64("_l"), "_l").limit(labelled_rows)
-    target = docs.join(F.broadcast(good), docs[id_col] == F.col("_l"), "left_semi")
-    positive = _totals(target.select(text, F.lit(1).cast("long"))).get(1, np.zeros(BUCKETS))
-    raw = _totals(docs.select(text, F.lit(0).cast("long"))).get(0, np.zeros(BUCKETS))
+    rows = docs.select(F.col(id_col).alias("_i"), text.alias("_t"))
+    target = rows.join(F.broadcast(good), F.col("_i") == F.col("_l"), "left_semi")  # `labelled_rows` ids at most
+    positive = _totals(target.select("_t", F.lit(1).cast("long"))).get(1, np.zeros(BUCKETS))
+    raw = _totals(rows.select("_t", F.lit(0).cast("long"))).get(0, np.zeros(BUCKETS))
     if not positive.sum():
         return np.zeros(BUCKETS)
     out = np.zeros(BUCKETS)
@@ -142,29 +142,41 @@ def gumbel(id_col: Column, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def log_weights(
-    docs: DataFrame, ratio: np.ndarray, text_col: str = "text", allowance: float = 0.0
-) -> DataFrame:
-    """(columns of `docs`, _n, _weight): feature count and log importance weight of the whole text."""
-    held = docs.sparkSession.sparkContext.broadcast(ratio)
+def _weighed(rows: DataFrame, ratio: np.ndarray, text_at: int, carry: int, features_told: int) -> DataFrame:
+    """The first `carry` columns of `rows`, _n and _weight: feature count and tempered log importance weight of the whole text."""
+    held = rows.sparkSession.sparkContext.broadcast(ratio)
+    names = rows.columns[:carry]
 
     def run(batches):
         tokens, table = _Tokens(), held.value
-        at = None
         for b in batches:
-            at = b.schema.get_field_index(text_col) if at is None else at
             sizes, weights = [], []
-            for t in values(b.column(at)):
+            for t in values(b.column(text_at)):
                 x = features(t or "", tokens)
                 sizes.append(len(x))
-                weights.append(float(table[x].sum()) + allowance * len(x))
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(sizes, pa.int64()), pa.array(weights, pa.float64())],
-                names=[*b.schema.names, "_n", "_weight"],
-            )
+                weights.append(float(table[x].sum()) * min(1.0, features_told / max(len(x), 1)))
+            columns = [*b.columns[:carry], pa.array(sizes, pa.int64()), pa.array(weights, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "_n", "_weight"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:carry])
+    return rows.mapInArrow(run, f"{schema}, _n long, _weight double")
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, _n long, _weight double")
+def _decided(docs, labels, carry, id_col, text_col, seed, margin, features_told, k, ratio):
+    """c0, c1, ... (the columns `carry` of `docs`), _n, _weight, _key, _kept: one pass over the texts, written."""
+    if ratio is None:
+        ratio = fit(docs, labels, id_col, text_col)
+    plain = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    columns = [plain(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    at = carry.index(text_col) if text_col in carry else len(carry) + 1
+    name = F.coalesce(plain(id_col).cast("string"), F.lit(""))
+    rows = docs.select(*columns, name.alias("_id"), *([] if at < len(carry) else [plain(text_col).alias("_t")]))
+    rows = _weighed(rows, ratio, at, len(carry) + 1, features_told)
+    rows = written(rows.withColumn("_key", F.col("_weight") + gumbel(F.col("_id"), seed)).drop("_id"), "quality-rows")
+    if k is None:
+        k = round(rows.agg(F.coalesce(F.sum(F.exp(F.least(F.lit(0.0), F.col("_weight") + F.lit(margin)))), F.lit(0.0))).first()[0])
+    least = kth_largest(rows.select("_key"), k)
+    return rows.withColumn("_kept", F.col("_key") >= F.lit(least))
 
 
 def resample(
@@ -173,39 +185,39 @@ def resample(
     id_col: str = "doc_id",
     text_col: str = "text",
     seed: int = 17,
-    margin: float = 12.0,
-    allowance: float = 0.05,
+    margin: float = 4.0,
+    features_told: int = 64,
     k: int | None = None,
     ratio: np.ndarray | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """The columns of `docs` and _n, _weight (log importance), _key (weight + noise), _kept.
-
-    The weight has an allowance of `allowance` nats a feature for the estimation error of
-    the target model, which else grows with a text's length.  The k rows of the largest
-    keys are kept.  k is the number of rows whose evidence against them is below `margin`
-    nats, unless it is given.  The k-th key is found as a
-    threshold from histograms of the keys, each inside one cell of the last, so no sort of
-    all rows meets in one task; rows that tie with it are kept.  A text without features
-    has weight 0.  Null texts are empty; null ids share one noise value; repeated rows are
-    decided each; an empty table keeps nothing.  Columns of `docs` may have any names but
-    these four.
+    """The columns `carry` of `docs` (all) and _n, _weight, _key (weight + noise), _kept.
+
+    The weight is the log ratio of the two models over a text's features, tempered: a text
+    of more than `features_told` features has the weight of so many of its average ones, as
+    neighbouring n-grams are no independent evidence; so the noise decides near the border
+    for texts of any length.  The k rows of the largest keys are kept.  Unless it is given, k
+    is the number of rows that rejection sampling by the weights would keep in expectation,
+    sum(min(1, exp(weight + margin))): `margin` nats against a text still keep it.  The k-th
+    key is found as a threshold from histograms of the keys, each inside one cell of the
+    last, so no sort of all rows meets in one task; rows that tie with it are kept.  A text
+    without features has weight 0.  Null texts are empty; null ids share one noise value;
+    repeated rows are decided each; an empty table keeps nothing.  Columns of `docs` may
+    have any names; those of the four names above stand beside the new ones.
     """
-    if ratio is None:
-        ratio = fit(docs, labels, id_col, text_col)
-    key = F.col("_weight") + gumbel(F.coalesce(F.col(id_col).cast("string"), F.lit("")), seed)
-    # keys only: the texts are scored again rather than written again
-    keys = log_weights(docs.select(id_col, text_col), ratio, text_col, allowance).select("_weight", key.alias("_key"))
-    keys = written(keys, "quality-keys")
-    if k is None:
-        k = keys.where(F.col("_weight") >= -margin).count()
-    least = kth_largest(keys.select("_key"), k)
-    scored = log_weights(docs, ratio, text_col, allowance).withColumn("_key", key)
-    return scored.withColumn("_kept", F.col("_key") >= F.lit(least))
+    carry = docs.columns if carry is None else carry
+    out = _decided(docs, labels, carry, id_col, text_col, seed, margin, features_told, k, ratio)
+    return out.toDF(*carry, "_n", "_weight", "_key", "_kept")
 
 
-def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that resampling keeps, with the columns of `docs`."""
-    return resample(docs, labels).where("_kept").select(*docs.columns)
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that resampling keeps, with the columns of `docs`, which may have any names.
+
+    Nulls, ties, repeated rows and empty tables are as in `resample`; without a good label
+    every weight is 0 and all rows stay.
+    """
+    out = _decided(docs, labels, docs.columns, id_col, text_col, 17, 4.0, 64, None, None)
+    return out.where("_kept").select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def kth_largest(keys: DataFrame, k: int, cells: int = 4096) -> float:

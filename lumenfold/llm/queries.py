@@ -37,8 +37,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = resample(docs, table(spark, sf_dir, "labels"))
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
     return found.select(
         "doc_id", F.col("_n").alias("n_features"), F.col("_weight").alias("log_weight"), F.col("_key").alias("gumbel_key"), F.col("_kept").alias("kept")
     )
