@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, values
+from .common import new_path, partitions, values, written
 
 # Letters and numbers of the alphabet of the shortcut.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿŒœ"
@@ -96,10 +96,15 @@ def tokenizer_version(path: str) -> str:
 
 
 class DigestCache:
-    """A Parquet table (digest, version, n_tokens) that only grows."""
+    """A Parquet table (digest, n_tokens) partitioned by tokenizer version, that only grows.
+
+    It lies at `path`, else where the session's spark.lumenfold.tokenCache says, so that
+    later runs find it; else it lives for one call.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or new_path(spark, "token-cache")
+        self.spark = spark
+        self.path = path or spark.conf.get("spark.lumenfold.tokenCache", None) or new_path(spark, "token-cache")
 
     def _exists(self) -> bool:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -108,12 +113,13 @@ class DigestCache:
     def counts(self, version: str) -> DataFrame | None:
         if not self._exists():
             return None
-        held = self.spark.read.schema("digest binary, version string, n_tokens long").parquet(self.path)
+        held = self.spark.read.schema("digest binary, n_tokens long, version string").parquet(self.path)
         # two jobs may have added the same digest at once
         return held.where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     def add(self, counts: DataFrame, version: str) -> None:
-        counts.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(self.path)
+        rows = counts.select("digest", "n_tokens", F.lit(version).alias("version"))
+        rows.write.mode("append").partitionBy("version").parquet(self.path)
 
 
 def token_counts(
@@ -128,7 +134,9 @@ def token_counts(
     """Per row: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     Null text counts as empty (0 bytes, 0 tokens); null ids and repeated rows are
-    kept row by row.  Only texts whose digest the cache lacks are encoded, each once;
+    kept row by row; equal texts share one cached count; an empty table gives no rows;
+    extra columns are ignored.  The counts of texts that a sample shows to be hot are
+    broadcast, so that no task holds all rows of one.  Only texts whose digest the cache lacks are encoded, each once;
     their counts are appended before the result is joined, so a second run over the
     same texts encodes nothing.
     """
@@ -150,9 +158,17 @@ def token_counts(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
     cache.add(missing.mapInArrow(encode, "digest binary, n_tokens long"), version)
-    out = rows.select("_id", "digest", F.octet_length("_text").cast("long").alias("n_bytes")).join(
-        cache.counts(version), "digest"
-    )
-    return out.select(
-        F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
-    )
+    counts = cache.counts(version)
+    slim = rows.select("_id", "digest", F.octet_length("_text").cast("long").alias("n_bytes"))
+    n = partitions(spark)
+    fraction = min(1.0, 64 * n / max(docs.count(), 1))
+    # 64 samples a partition are drawn, so that at most 4 n texts have 16 of them
+    hot = slim.sample(fraction, seed=11).groupBy("digest").agg(F.count("*").alias("c")).where("c >= 16").select("digest").collect()
+    hot = spark.createDataFrame([(r["digest"],) for r in hot], "digest binary")
+    few = written(counts.join(F.broadcast(hot), "digest"), "hot-counts").select("digest", F.col("n_tokens").alias("_hot"))
+    slim = slim.join(F.broadcast(few), "digest", "left")
+    # a hot row's count is there already: it goes anywhere
+    at = F.when(F.col("_hot").isNull(), F.col("digest")).otherwise(F.encode(F.concat_ws(" ", "_id", F.hex("digest")), "utf-8"))
+    out = slim.withColumn("_at", at).join(counts.withColumnRenamed("digest", "_at"), "_at", "left")
+    tokens = F.coalesce("_hot", "n_tokens")
+    return out.select(F.col("_id").alias(id_col), "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"))
