@@ -36,15 +36,18 @@ def chat_windows(
     role: str = "role",
     text: str = "text",
     target: str = "assistant",
+    tokens: str | None = None,
 ) -> DataFrame:
     """One row per window: conv_id, window, n_context, formatted, loss, n_tokens, over_budget.
 
     n_context: the leading turns that are repeated (system turn and history).  loss:
     [start, end) code-point spans of the target texts.  n_tokens counts a turn as its
-    words plus 4.  A window goes over the budget only if one turn with the system turn
+    words plus 4, or by the column `tokens` (a tokenizer's count; null is 0), so that the
+    budget holds in that tokenizer.  A window goes over the budget only if one turn with the system turn
     and the history does; it is kept whole and flagged.  Rows are taken by turn, then
     role and text; null turns come first, null texts and roles are empty; a null conv_id
-    is a conversation of its own.  Repeated rows are turns of their own.  A conversation
+    is a conversation of its own.  Repeated rows are turns of their own; rows that tie in turn, role
+    and text are equal, so their order does not matter.  A conversation
     without turns has no rows, so an empty table gives none.  Extra columns are ignored.
     """
     rows = conversations.select(
@@ -52,8 +55,10 @@ def chat_windows(
         F.col(turn).alias("_turn"),
         F.coalesce(F.col(role), F.lit("")).alias("_role"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
+        (F.lit(None) if tokens is None else F.coalesce(F.col(tokens), F.lit(0))).cast("int").alias("_tokens"),
     )
-    rows = rows.withColumn("_tokens", F.regexp_count("_text", F.lit(r"\S+")) + 4)
+    if tokens is None:
+        rows = rows.withColumn("_tokens", F.regexp_count("_text", F.lit(r"\S+")) + 4)
     by_turn = Window.partitionBy("_conv").orderBy("_turn", "_role", "_text")
     whole = Window.partitionBy("_conv")
     rows = rows.withColumn("_pos", F.row_number().over(by_turn))
@@ -125,7 +130,11 @@ def chat_windows(
 
 
 def read_back(windows: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """Per conversation, from the formatted windows alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """Per conversation, from the formatted windows alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    Null texts and roles come back empty; a null conversation id is one conversation; windows are
+    taken by number, and there are no two of one; an empty table gives no rows; extra columns are ignored.
+    """
     turns = F.split(F.col("formatted"), r"<\|im_end\|>\n")
     turns = F.slice(turns, F.col("n_context") + 1, F.size(turns) - 1 - F.col("n_context"))
     found = windows.select(
