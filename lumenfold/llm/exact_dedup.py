@@ -100,6 +100,10 @@ def exact_dedup(
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows that exact_dedup keeps, with the columns of `docs`."""
+    """The rows that exact_dedup keeps, with the columns of `docs`, which may have any names.
+
+    Null texts count as empty; a null id ranks last; of rows that tie in id and text one stays; an
+    empty table stays empty.
+    """
     runs = _runs(docs, id_col, text_col, keep, 64, 128, docs.columns)
     return runs.where("_kept").select("_row.*")
