@@ -74,3 +74,13 @@ def cubic_basis(x: Column, knots: list[float]) -> Column:
     """Truncated-power cubic spline terms: x, x^2, x^3 and (x - k)^3 above each knot."""
     above = [F.pow(F.greatest(x - F.lit(k), F.lit(0.0)), F.lit(3.0)) for k in knots]
     return F.array(x, F.pow(x, F.lit(2.0)), F.pow(x, F.lit(3.0)), *above)
+
+
+def bernstein_cubic(x: Column, low: float, high: float) -> Column:
+    """The cubic B-spline basis over one span [low, high] without its last term; linear beyond the ends."""
+    t = (x - F.lit(low)) / F.lit(high - low)
+    u = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    v, over = 1 - u, t - u
+    inside = [v * v * v, 3 * u * v * v, 3 * u * u * v]
+    slope = [-3 * v * v, 3 * v * (v - 2 * u), 3 * u * (2 * v - u)]
+    return F.array(*[b + over * s for b, s in zip(inside, slope, strict=True)])

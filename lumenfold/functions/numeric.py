@@ -126,3 +126,37 @@ def in_box(x: Column, low: float, high: float, y: Column, y_low: float, y_high:
     return (
         F.when(x.isNull() | y.isNull(), "missing").when(a & b, "inside").when(~a & b, "outside_x").when(a & ~b, "outside_y").otherwise("outside_both")
     )
+
+
+def compute_of(direct: Column, n: Column, d: Column) -> tuple[Column, Column]:
+    """(compute, origin): what was reported where it is above 0, else 6 N D where both are, else missing."""
+    built = (n > 0) & (d > 0)
+    value = F.when(direct > 0, direct).when(built, F.lit(6.0) * n * d)
+    return value, F.when(direct > 0, "REPORTED").when(built, "CONSTRUCTED_6ND").otherwise("MISSING")
+
+
+def quality_map(q: Column, kind: str, base: float, slope: float, low: float, high: float, grid: list[tuple[float, float]] = (), target: tuple[float, float] = (0.1, 0.6)) -> tuple[Column, Column, Column]:
+    """(mapped, status, usable) of a quality by identity, an affine map about `base` (which maps to the target's upper end) or steps; outside the support it is not usable."""
+    if kind == "step":
+        from ..operators.joins import step_lookup
+
+        mapped = F.when(q < low, F.lit(target[0])).when(q > high, F.lit(1.0)).otherwise(step_lookup(q, list(grid)))
+        status = F.when(q < low, "OUT_OF_SUPPORT_LOW").when(q > high, "OUT_OF_SUPPORT_HIGH")
+        status = status.when(mapped.between(*target), "IN_SUPPORT").when(mapped < target[0], "OUT_OF_SUPPORT_LOW").otherwise("OUT_OF_SUPPORT_HIGH")
+        return mapped, status, q.between(low, high) & mapped.between(*target)
+    mapped = q if kind == "identity" else F.lit(target[1]) + F.lit(slope) * (q - F.lit(base))
+    ok = q.between(low, high) & mapped.between(*target)
+    return mapped, F.when(ok, "IN_SUPPORT").when(mapped < target[0], "OUT_OF_SUPPORT_LOW").otherwise("OUT_OF_SUPPORT_HIGH"), ok
+
+
+def scenario_effect(mapped: Column, kind: str, share: float, ratio: float, strength: float, top: float = 0.6) -> tuple[Column, Column]:
+    """(added to the loss, factor on the tokens) of a mapped quality; a missing one has no effect."""
+    gain = F.lit(share * ratio * strength) * (mapped - F.lit(top))
+    if kind == "additive":
+        return F.coalesce(-gain, F.lit(0.0)), F.lit(1.0)
+    return F.lit(0.0), F.coalesce(F.exp(gain), F.lit(1.0))
+
+
+def log_bin(x: Column, per_decade: int) -> Column:
+    """The number of a value's equal bin of log10; NULL unless it is above 0."""
+    return F.when(x > 0, F.floor(F.log10(F.when(x > 0, x)) * per_decade).cast("long"))

@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lists import dot
+from .joins import as_of
+from .ordering import running
+
 # The frozen law and its support.
 LAW = {"e": 1.6898, "a": 0.35398, "alpha": 0.33998, "b": 1.24031, "beta": 0.27988}
 N_RANGE = (0.070542, 11.965825)
@@ -88,6 +92,67 @@ def solve(cases: DataFrame, law: dict = LAW) -> DataFrame:
 
 
 def equal_quantile(x: Column, levels: list[float]) -> Column:
-    """Ceil-index bridge onto sorted unique levels: F in (0, 1] -> level number ceil(k F)."""
+    """Ceil-index bridge onto sorted unique levels: F in (0, 1] -> level number ceil(k F), 1 for F = 0."""
     at = F.least(F.greatest(F.ceil(F.lit(len(levels)) * x).cast("int"), F.lit(1)), F.lit(len(levels)))
     return F.element_at(F.array(*[F.lit(float(v)) for v in sorted(levels)]), at)
+
+
+def quantile_bridge(points: DataFrame, value: str, support: DataFrame, support_value: str, levels: list[float]) -> DataFrame:
+    """points with f (the support's share at or below), level, status and usable: what lies outside the support has a level but is not usable."""
+    r = running(support.where(F.col(support_value).isNotNull()).withColumn("_one", F.lit(1).cast("long")), [], support_value, "_one")
+    steps = r.select(F.lit(0).alias("_all"), F.col(support_value).cast("double").alias("_s"), ((F.col("before") + F.col("w")) / F.col("total")).alias("f"))
+    ends = steps.agg(F.min("_s").alias("_low"), F.max("_s").alias("_high"))
+    x = points.withColumn("_all", F.lit(0)).withColumn("_point", F.col(value).cast("double"))
+    x = as_of(x, ["_all"], "_point", steps, "_s", "f").crossJoin(F.broadcast(ends))  # one row
+    status = F.when(F.col("_point") < F.col("_low"), "OUT_OF_SUPPORT_LOW").when(F.col("_point") > F.col("_high"), "OUT_OF_SUPPORT_HIGH").otherwise("IN_SUPPORT")
+    f = F.when(F.col("_point") < F.col("_low"), F.lit(0.0)).otherwise(F.col("f"))
+    k = len(levels)
+    x = x.withColumn("status", status).withColumn("usable", F.col("status") == "IN_SUPPORT").withColumn("f", f)
+    # a share that should be whole may lie a rounding error above
+    return x.withColumn("level", equal_quantile(F.round(k * F.col("f"), 9) / k, levels)).drop("_all", "_point", "_low", "_high")
+
+
+def sensitivity(n: Column, d: Column, budget: Column, context: Column, law: dict = LAW, eta: float = ETA) -> dict[str, Column]:
+    """Of an allocation: active constraints, KKT residual and multiplier in logs of N and D, the budget's residual, the marginal gain, and both elasticity terms.
+
+    A bound that holds takes its variable out of the projected gradient.  The marginal gain is
+    the central difference of the optimal loss over the budget, 1e-4 of it to each side.
+    """
+    unit = F.lit(1e18) * (F.lit(6.0) + F.lit(eta) * context)
+    cost = unit * n * d
+    en, ed = F.lit(law["alpha"] * law["a"]) * F.pow(n, F.lit(-law["alpha"])), F.lit(law["beta"] * law["b"]) * F.pow(d, F.lit(-law["beta"]))
+    low, high = n <= N_RANGE[0] * (1 + 1e-8), n >= N_RANGE[1] * (1 - 1e-8)
+    d_high = d >= D_MAX * (1 - 1e-8)
+    free_n, free_d = (~(low | high)).cast("double"), (~d_high).cast("double")
+    # the gradient of the loss is (-en, -ed), that of the cost (cost, cost)
+    free = free_n + free_d
+    mu = F.when(free > 0, (en * free_n + ed * free_d) / (cost * F.when(free > 0, free)))
+    pn, pd = free_n * (-en + mu * cost), free_d * (-ed + mu * cost)
+    loss = lambda m, k: F.lit(law["e"]) + F.lit(law["a"]) * F.pow(m, F.lit(-law["alpha"])) + F.lit(law["b"]) * F.pow(k, F.lit(-law["beta"]))
+    lo, hi = (loss(*optimum(budget * (1 + s * 1e-4), context, law, eta)) for s in (-1, 1))
+    return {
+        "active": F.concat_ws("|", F.when(F.abs(cost - budget) <= budget * 1e-9, "BUDGET_BINDING"), F.when(low, "N_LOWER"), F.when(high, "N_UPPER"), F.when(d_high, "D_UPPER")),
+        "kkt_residual": F.when(free > 0, F.sqrt(pn * pn + pd * pd)).otherwise(0.0),
+        "multiplier": mu,
+        "budget_residual": (cost - budget) / budget,
+        "marginal_gain": (lo - hi) / (2e-4 * budget),
+        "n_term": en,
+        "d_term": ed,
+    }
+
+
+def best_vertex(recipes: DataFrame, key: str, recipe: str, weights: list[float], largest: bool = False) -> DataFrame:
+    """The recipe that a linear loss over the hull of all recipes attains: key, loss, n_recipes, n_better and check.
+
+    A linear programme over a simplex attains a vertex; the check is its dual: the value is feasible
+    (no recipe lies beyond it), so no mixture does better.
+    """
+    w = F.array(*[F.lit(float(v)) for v in weights])
+    x = recipes.select(key, dot(w, F.slice(F.col(recipe), 1, len(weights))).alias("_g")).where(F.col("_g").isNotNull())
+    pick = F.max_by if largest else F.min_by
+    order = F.struct("_g", -F.col(key) if largest else F.col(key))
+    best = x.agg(pick(F.struct(F.col(key).alias("k"), "_g"), order).alias("_b"), F.count("*").alias("n_recipes"))
+    y = x.crossJoin(F.broadcast(best))  # one row
+    beyond = F.col("_g") > F.col("_b._g") + 1e-9 if largest else F.col("_g") < F.col("_b._g") - 1e-9
+    g = y.agg(F.first("_b.k").alias(key), F.first("_b._g").alias("loss"), F.first("n_recipes").alias("n_recipes"), F.count_if(beyond).alias("n_better"))
+    return g.withColumn("check", F.when(F.col("n_better") == 0, "LP_MATCH").otherwise("LP_REFINED"))

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import short_id
 from . import allocation
+from .ordering import null_safe_left, quantiles
 
 
 def reported_against_derived(df: DataFrame, by: list[str], reported: str, derived: Column, tolerance: float) -> DataFrame:
     """Ratio of a reported to a derived quantity: n, median and extremes, and rows inside the rounding tolerance."""
     ratio = F.when(derived > 0, F.col(reported) / F.when(derived > 0, derived))
     x = df.withColumn("_r", ratio)
-    return x.groupBy(*by).agg(
-        F.count("_r").alias("n"), F.percentile("_r", F.lit(0.5)).alias("median"), F.min("_r").alias("low"), F.max("_r").alias("high"),
-        F.count_if(F.abs(F.col("_r") - 1) <= tolerance).alias("n_close"),
-    )
+    g = x.groupBy(*by).agg(
+        F.count("_r").alias("n"), F.min("_r").alias("low"), F.max("_r").alias("high"), F.count_if(F.abs(F.col("_r") - 1) <= tolerance).alias("n_close")
+    )
+    return null_safe_left(g, quantiles(x, by, "_r", {"median": 0.5}), by)
 
 
 def date_fields(df: DataFrame, fields: list[str], today: str) -> DataFrame:

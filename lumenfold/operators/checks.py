@@ -46,6 +46,40 @@ def close(a: Column, b: Column, tolerance: float) -> Column:
     return F.coalesce(a.eqNullSafe(b) | both_nan | (F.abs(a - b) <= tolerance), F.lit(False))
 
 
+def compare_columns(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float = 0.0) -> DataFrame:
+    """A row per column of either side: both types, whether they agree, rows at equal keys, and how many are equal, by type.
+
+    Numbers compare within the tolerance (NaN equals NaN, NULL equals NULL), all else exactly; columns of one side have no counts.
+    """
+    types = [dict(left.dtypes), dict(right.dtypes)]
+    number = ("double", "float", "int", "bigint", "smallint", "tinyint")
+    names = [c for c in [*left.columns, *[c for c in right.columns if c not in types[0]]] if c not in keys]
+    both = [c for c in names if all(c in t for t in types)]
+    a = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_a{i}") for i, c in enumerate(both)])
+    b = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_b{i}") for i, c in enumerate(both)])
+    x = a.join(b, [f"_k{i}" for i in range(len(keys))])
+    aggs = [F.count("*").alias("n")]
+    for i, c in enumerate(both):
+        p, q = F.col(f"_a{i}"), F.col(f"_b{i}")
+        if all(t[c] in number or t[c].startswith("decimal") for t in types):
+            p, q = p.cast("double"), q.cast("double")
+            aggs += [F.count_if(close(p, q, tolerance)).alias(f"e{i}"), F.max(F.abs(p - q)).alias(f"m{i}")]
+        else:
+            same = p.eqNullSafe(q) if types[0][c] == types[1][c] else p.cast("string").eqNullSafe(q.cast("string"))
+            aggs += [F.count_if(same).alias(f"e{i}"), F.lit(None).cast("double").alias(f"m{i}")]
+    none = F.lit(None)
+    rows = [
+        F.struct(
+            F.lit(c).alias("column_name"), F.lit(types[0].get(c)).alias("type_left"), F.lit(types[1].get(c)).alias("type_right"),
+            F.lit(types[0].get(c) == types[1].get(c)).alias("same_type"),
+            (F.col("n") if c in both else none).cast("long").alias("n_rows"), (F.col(f"e{both.index(c)}") if c in both else none).cast("long").alias("n_equal"),
+            (F.col(f"m{both.index(c)}") if c in both else none).cast("double").alias("max_abs"),
+        )
+        for c in names
+    ]
+    return x.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
 def duplicate_audit(df: DataFrame, keys: list[str]) -> DataFrame:
     """rows, distinct_keys, duplicate_rows of candidate keys; NaN equals NaN, NULL equals NULL."""
     groups = df.groupBy(*keys).agg(F.count("*").alias("n"))

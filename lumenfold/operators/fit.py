@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lists import bernstein_cubic, one_hot
+from .evaluation import near_tie
+from .stats import conformal, spearman
+
 
 def gram(df: DataFrame, x: list[str], y: list[str], by: str | None = None) -> dict:
     """Sums of products of x and y columns, by fold if asked: {fold: (X'X, X'Y, Y'Y, n)}; one pass."""
@@ -115,9 +119,8 @@ def scaling_residual(n, d, loss):
 
 
 def fit_scaling(df: DataFrame, n: str, d: str, loss: str, starts: int = 16) -> DataFrame:
-    """start, the five parameters, sse and diagnostics: one task per start over the (small) cell table."""
-    cells = df.select(F.col(n).cast("double").alias("n"), F.col(d).cast("double").alias("d"), F.col(loss).cast("double").alias("y")).toPandas()
-    held = df.sparkSession.sparkContext.broadcast(cells.to_numpy())
+    """start, the five parameters, sse and diagnostics: one task per start over the cell table, whose size is checked."""
+    held = df.sparkSession.sparkContext.broadcast(cell_table(df, [n, d, loss]))
     low, high = SCALING_BOUNDS
     points = low + halton(starts, 5) * (high - low)
 
@@ -199,3 +202,183 @@ def one_standard_error(df: DataFrame, by: list[str], model: str, complexity: str
     best = df.groupBy(*by).agg(F.min_by(F.struct(mean, se), F.struct(F.col(mean), F.col(complexity), F.col(model))).alias("_b"))
     x = df.join(best, by).where(F.col(mean) <= F.col("_b")[mean] + F.col("_b")[se])
     return x.groupBy(*by).agg(F.min_by(model, F.struct(F.col(complexity), F.col(mean), F.col(model))).alias("chosen"))
+
+
+# ---- candidate ladders -------------------------------------------------------------------
+
+
+def ladder(df: DataFrame, target: str, specs: dict[str, list[str]], least: int = 4) -> DataFrame:
+    """candidate, n_fit, n_features, status, rmse, loo_rmse, half_width of least squares with intercept on each spec's complete cases.
+
+    One pass sums the products of all specs; a second has each row's leave-one-out residual
+    e / (1 - h), whose 95 % conformal order statistic is the half width.  A spec with too few
+    rows (fewer than `least`, or not more than its columns) or dependent columns has a status only.
+    """
+    ok = {k: _complete([target, *cols]) for k, cols in specs.items()}
+    aggs, at = [], {}
+    for i, (k, cols) in enumerate(specs.items()):
+        aggs.append(F.count_if(ok[k]).alias(f"n{i}"))
+        names = [None, *cols, target]
+        for a in range(len(names)):
+            for b in range(a, len(names)):
+                v = F.lit(1.0)
+                for c in (names[a], names[b]):
+                    v = v if c is None else v * F.col(c).cast("double")
+                at[k, a, b] = f"s{i}_{a}_{b}"
+                aggs.append(F.sum(F.when(ok[k], v)).alias(at[k, a, b]))
+    sums = df.agg(*aggs).first()  # one row
+    rows, status = [], []
+    for i, (k, cols) in enumerate(specs.items()):
+        n, p = sums[f"n{i}"], len(cols) + 1
+        g = np.array([[sums[at[k, min(a, b), max(a, b)]] or 0.0 for b in range(p + 1)] for a in range(p + 1)])
+        xx, xy = g[:p, :p], g[:p, p]
+        if n < least or n <= len(cols):
+            status.append((k, n, len(cols), "TOO_FEW"))
+            continue
+        scale = np.sqrt(np.maximum(np.diag(xx), 1e-300))
+        unit = xx / np.outer(scale, scale)
+        if np.linalg.matrix_rank(unit, hermitian=True) < p:
+            status.append((k, n, len(cols), "NOT_IDENTIFIABLE"))
+            continue
+        status.append((k, n, len(cols), "OK"))
+        inverse = np.linalg.inv(unit) / np.outer(scale, scale)
+        beta = inverse @ xy
+        x = [F.lit(1.0), *[F.col(c).cast("double") for c in cols]]
+        fitted = sum((F.lit(float(b)) * v for b, v in zip(beta, x, strict=True)), F.lit(0.0))
+        h = sum((F.lit(float(inverse[a, b])) * x[a] * x[b] for a in range(p) for b in range(p)), F.lit(0.0))
+        e = F.col(target).cast("double") - fitted
+        rows.append(F.when(ok[k], F.struct(F.lit(k).alias("candidate"), e.alias("e"), (e / F.greatest(1 - h, F.lit(1e-12))).alias("o"))))
+    spark = df.sparkSession
+    out = spark.createDataFrame(status, "candidate string, n_fit long, n_features long, status string")
+    if not rows:
+        return out.withColumns({c: F.lit(None).cast("double") for c in ("rmse", "loo_rmse", "half_width")})
+    long = df.select(F.explode(F.array(*rows)).alias("_x")).where(F.col("_x").isNotNull()).select("_x.*").withColumn("a", F.abs("o"))
+    return out.join(_residuals(long), "candidate", "left")
+
+
+def _complete(columns: list[str]):
+    out = F.lit(True)
+    for c in columns:
+        d = F.col(c).cast("double")
+        out = out & d.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf"))
+    return F.coalesce(out, F.lit(False))
+
+
+def _residuals(long: DataFrame) -> DataFrame:
+    """Of candidate, e, o, a: rmse, loo_rmse and the conformal half width."""
+    g = long.groupBy("candidate").agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.sqrt(F.avg(F.col("o") * F.col("o"))).alias("loo_rmse"))
+    q = conformal(long, ["candidate"], "a").select("candidate", F.col("conformal_q").alias("half_width"))
+    return g.join(q, "candidate", "left")
+
+
+def isotonic(df: DataFrame, x: str, y: str, folds: int = 5) -> DataFrame:
+    """e and o: residuals of a monotone fit, in sample and cross-fitted over folds dealt by digest; the direction is that of the rank correlation.
+
+    Rows of one x are one weighted point, so a fit sees distinct values only; beyond the ends the end's value holds.
+    """
+    from pyspark.ml.regression import IsotonicRegression
+
+    d = df.where(_complete([x, y])).select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    d = d.withColumn("_f", F.pmod(F.xxhash64("_x", "_y"), F.lit(folds)).cast("int"))
+    rho = spearman(d, [], "_x", "_y").first()["rho"]
+    cells = d.groupBy("_x", "_f").agg(F.sum("_y").alias("_s"), F.count("*").alias("_n"))
+    model = IsotonicRegression(featuresCol="_x", labelCol="_m", weightCol="_w", isotonic=rho is None or rho >= 0)
+    one = lambda c: c.groupBy("_x").agg((F.sum("_s") / F.sum("_n")).alias("_m"), F.sum("_n").cast("double").alias("_w"))
+    fitted = model.fit(one(cells)).transform(d.select("_x").distinct()).select("_x", F.col("prediction").alias("_p"))
+    held = None
+    for k in range(folds):
+        part = d.where(F.col("_f") == k).select("_x", "_f").distinct()
+        p = model.fit(one(cells.where(F.col("_f") != k))).transform(part).select("_x", "_f", F.col("prediction").alias("_q"))
+        held = p if held is None else held.unionAll(p)
+    z = d.join(fitted, "_x").join(held, ["_x", "_f"])
+    return z.select((F.col("_y") - F.col("_p")).alias("e"), (F.col("_y") - F.col("_q")).alias("o"))
+
+
+def candidate_ladder(df: DataFrame, target: str, loss: str, log_n: str, log_d: str, time: str, family: str, families: list[str]) -> DataFrame:
+    """The nine candidates from a constant to a spline with family and time, each with complexity, as `ladder` and `isotonic` fit them.
+
+    families: the levels of the family; the first has no column, and other values are all 0.
+    """
+    low, high = df.agg(F.min(F.col(log_n).cast("double")), F.max(F.col(log_n).cast("double"))).first()
+    x = df.withColumns({f"_fam{i}": F.when(F.col(family).isNotNull(), one_hot(F.col(family), families)[i]) for i in range(len(families) - 1)})
+    flat = low is None or not high > low
+    b = None if flat else bernstein_cubic(F.col(log_n).cast("double"), low, high)
+    x = x.withColumns({f"_spl{i}": F.lit(0.0) if flat else b[i] for i in range(3)})
+    fam, spl = [f"_fam{i}" for i in range(len(families) - 1)], [f"_spl{i}" for i in range(3)]
+    specs = {
+        "CONSTANT": (0, []), "SIZE_LOG_LINEAR": (1, [log_n]), "LOSS_SIZE_LINEAR": (2, [loss, log_n]), "LOSS_SIZE_FAMILY": (3, [loss, log_n, *fam]),
+        "LOSS_SIZE_TIME": (3, [loss, log_n, time]), "LOSS_SIZE_FAMILY_TIME": (4, [loss, log_n, *fam, time]), "LOSS_SIZE_LOG_D": (4, [loss, log_n, log_d]),
+        "LOSS_SIZE_FAMILY_TIME_SPLINE_DF4": (5, [*spl, loss, time, *fam]),
+    }
+    out = ladder(x, target, {k: c for k, (_, c) in specs.items()})
+    n = x.where(_complete([loss, target])).count()
+    mono = out.sparkSession.createDataFrame([("LOSS_MONOTONE", n, 1, "OK" if n >= 4 else "TOO_FEW")], "candidate string, n_fit long, n_features long, status string")
+    if n >= 4:
+        r = isotonic(x, loss, target).select(F.lit("LOSS_MONOTONE").alias("candidate"), "e", "o", F.abs("o").alias("a"))
+        mono = mono.join(_residuals(r), "candidate", "left")
+    else:
+        mono = mono.withColumns({c: F.lit(None).cast("double") for c in ("rmse", "loo_rmse", "half_width")})
+    levels = F.create_map(*[F.lit(z) for k, v in ({k: c for k, (c, _) in specs.items()} | {"LOSS_MONOTONE": 2}).items() for z in (k, v)])
+    return out.unionByName(mono).withColumn("complexity", levels[F.col("candidate")])
+
+
+# ---- configurations ----------------------------------------------------------------------
+
+MOST_CELLS = 200_000
+PRIORITY = ["point/linear", "point/soft", "bins/linear", "bins/soft"]
+
+
+def cell_table(df: DataFrame, columns: list[str], most: int = MOST_CELLS) -> np.ndarray:
+    """A small table of numbers as an array; an error, not a slow driver, where it is not small."""
+    x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).limit(most + 1).toPandas().to_numpy()
+    if len(x) > most:
+        raise ValueError(f"more than {most} cells: aggregate them first")
+    return x[~np.isnan(x).any(axis=1)]
+
+
+def compare_configurations(cells: DataFrame, n: str, d: str, loss: str, starts: int = 4) -> DataFrame:
+    """configuration, fit_rmse, loo_rmse (a size left out), late_rmse (the last 20 % of each size's tokens), score, chosen.
+
+    Weights by point or equal over bins of log tokens, times linear or soft-L1 residuals; every
+    fit (configuration and fold) is a row that a task fits on the checked, broadcast cells.
+    The score is the mean of the two validation errors; of those within 1 % of the least the
+    first in PRIORITY is chosen.
+    """
+    spark = cells.sparkSession
+    held = spark.sparkContext.broadcast(cell_table(cells, [n, d, loss]))
+    sizes = np.unique(held.value[:, 0])
+    jobs = [(c, s) for c in PRIORITY for s in [-2, -1, *range(len(sizes))]]
+    low, high = SCALING_BOUNDS
+    points = low + halton(starts, 5) * (high - low)
+
+    def run(it):
+        x, y, z = held.value.T
+        top = np.array([x_max for x_max in [y[x == s].max() for s in sizes]])[np.searchsorted(sizes, x)]
+        bins = np.floor(np.log10(np.maximum(y, 1e-12)) * 4)
+        for pdf in it:
+            out = []
+            for name, fold in zip(pdf["configuration"], pdf["fold"], strict=True):
+                test = np.ones(len(x), bool) if fold == -2 else y > 0.8 * top if fold == -1 else x == sizes[fold]
+                train = np.ones(len(x), bool) if fold == -2 else ~test
+                w = np.ones(len(x))
+                if name.startswith("bins"):
+                    _, at, many = np.unique(bins[train], return_inverse=True, return_counts=True)
+                    w = np.zeros(len(x))
+                    w[train] = 1.0 / many[at]
+                if not test.any() or train.sum() < 5:
+                    out.append((name, fold, 0, None))
+                    continue
+                r = np.sqrt(w[train] / w[train].sum())
+                base = scaling_residual(x[train], y[train], z[train])
+                best = min((levenberg(lambda p: base(p) * r, s, low, high, 120, name.endswith("soft")) for s in points), key=lambda f: f[1])[0]
+                e = scaling_residual(x[test], y[test], z[test])(best)
+                out.append((name, fold, int(test.sum()), float(e @ e)))
+            yield pd.DataFrame(out, columns=["configuration", "fold", "n", "sse"])
+
+    rows = spark.createDataFrame(jobs, "configuration string, fold long").repartition(len(jobs))
+    f = rows.mapInPandas(run, "configuration string, fold long, n long, sse double")
+    part = lambda c: F.sqrt(F.sum(F.when(c, F.col("sse"))) / F.sum(F.when(c, F.col("n"))))
+    g = f.groupBy("configuration").agg(part(F.col("fold") == -2).alias("fit_rmse"), part(F.col("fold") >= 0).alias("loo_rmse"), part(F.col("fold") == -1).alias("late_rmse"))
+    g = g.withColumn("score", (F.col("loo_rmse") + F.col("late_rmse")) / 2)
+    chosen = near_tie(g, [], "configuration", "score", PRIORITY).select("chosen")
+    return g.crossJoin(F.broadcast(chosen)).withColumn("chosen", F.col("configuration") == F.col("chosen"))  # one row

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .checks import assert_unique
+from .ordering import carried, row_ranks
 
 
 def guarded(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", validate: str = "many_to_one") -> DataFrame:
@@ -52,17 +53,16 @@ def value_agreement(left: DataFrame, right: DataFrame, keys: list[str], value: s
 def as_of(rows: DataFrame, by: list[str], at: str, steps: DataFrame, step_at: str, value: str) -> DataFrame:
     """The value of the last step at or before each row; before the first step, the first step's.
 
-    Both sides share one sort per key: steps are placed before rows of the same place and
-    carried forward, so nothing is matched pair by pair.
+    Both sides share one order, in buckets: steps stand before rows of the same place and
+    are carried forward, from one bucket to the next too, so nothing is matched pair by
+    pair and no key is one task.
     """
-    a = steps.select(*by, F.col(step_at).alias("_at"), F.col(value).alias("_v"), F.lit(0).alias("_kind"))
+    a = steps.select(*by, F.col(step_at).alias("_when"), F.col(value).alias("_v"), F.lit(0).alias("_kind"))
     first = steps.groupBy(*by).agg(F.min_by(value, step_at).alias("_first"))
-    b = rows.withColumn("_at", F.col(at)).withColumn("_kind", F.lit(1))
-    x = b.unionByName(a, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where(F.col("_kind") == 1)
-    x = x.join(first, by, "left")
-    return x.withColumn(value, F.coalesce("_v", "_first")).drop("_v", "_first", "_at", "_kind")
+    b = rows.withColumn("_when", F.col(at)).withColumn("_kind", F.lit(1))
+    x = carried(b.unionByName(a, allowMissingColumns=True), by, F.col("_when"), ["_kind"], None, "_v", "_last", before=False)
+    x = x.where(F.col("_kind") == 1).join(first, by, "left")
+    return x.withColumn(value, F.coalesce("_last", "_first")).drop("_v", "_last", "_first", "_when", "_kind")
 
 
 def step_lookup(x: Column, grid: list[tuple[float, float]]) -> Column:
@@ -144,3 +144,20 @@ def adjacent_pairs(df: DataFrame, key: list[str], order: list[str], columns: lis
     for c in columns:
         out = out.withColumn(f"next_{c}", F.lead(c).over(w))
     return out.where(F.lead(F.lit(True)).over(w).isNotNull()) if not columns else out
+
+
+def positional(left: DataFrame, right: DataFrame, order: str, same: list[str]) -> DataFrame:
+    """The rows of both at equal places in the order of a unique number, with `place`; an error unless they agree in number and in `same`.
+
+    The left's columns and those of the right that it lacks.
+    """
+    a, b = row_ranks(left, [], order, order, "place"), row_ranks(right, [], order, order, "place")
+    extra = [c for c in right.columns if c not in left.columns]
+    b = b.select("place", F.lit(True).alias("_there"), *[F.col(c).alias(f"_same_{c}") for c in same], *extra)
+    x = a.withColumn("_here", F.lit(True)).join(b, "place", "full")
+    bad = ~(F.col("_here").isNotNull() & F.col("_there").isNotNull())
+    for c in same:
+        bad = bad | ~F.col(c).eqNullSafe(F.col(f"_same_{c}"))
+    if n := x.where(bad).count():
+        raise ValueError(f"{n} rows are not aligned")
+    return x.select("place", *left.columns, *extra)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import null_safe_left, row_ranks
+
 
 def first_seen(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """is_first: the row of its key that comes first; `order` must end in a unique key."""
@@ -69,10 +73,20 @@ def fold_count(n: Column, most: int = 5) -> Column:
     return F.least(F.lit(most), F.greatest(F.lit(2), F.floor(n / 3).cast("int")))
 
 
-def round_robin(df: DataFrame, key: list[str], order: list[str], most: int = 5) -> DataFrame:
-    n = F.count("*").over(Window.partitionBy(*key))
-    r = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
-    return df.withColumn("fold", (r % fold_count(n, most)).cast("long"))
+def round_robin(df: DataFrame, key: list[str], order: str, most: int = 5) -> DataFrame:
+    """fold: places by a unique number, dealt in turn; a group is ordered in buckets, not in one task."""
+    n = df.groupBy(*key).agg(F.count("*").alias("_n"))  # a row per group
+    x = row_ranks(df, key, order, order, "_r").join(n, key)
+    return x.withColumn("fold", ((F.col("_r") - 1) % fold_count(F.col("_n"), most)).cast("long")).drop("_r", "_n")
+
+
+def late_dates(df: DataFrame, when: str, share: float = 0.8) -> DataFrame:
+    """is_late: at or after the cut, the distinct date at place floor(share * (dates - 1)); dates are few, rows are not."""
+    dates = df.where(F.col(when).isNotNull()).select(F.to_date(when).alias("_d")).distinct()
+    cut = dates.agg(F.sort_array(F.collect_list("_d")).alias("_ds"))
+    at = F.floor(F.lit(share) * (F.size("_ds") - 1)).cast("int")
+    cut = cut.select(F.get("_ds", at).alias("cut_date"))
+    return df.crossJoin(F.broadcast(cut)).withColumn("is_late", F.to_date(when) >= F.col("cut_date"))  # one row
 
 
 def group_fold(group: Column, folds: int, seed: str = "fold") -> Column:
@@ -104,7 +118,29 @@ def stratified_quota(
     wanted = F.create_map(*[F.lit(x) for k, v in quotas.items() for x in (k, v)])
     x = df.withColumn("_q", wanted[F.col(stratum)]).where(F.col("_q").isNotNull())
     x = x.withColumn("_h", F.sha2(F.concat_ws("|", F.lit(seed), stratum, domain, F.col(key).cast("string")), 256))
+    most = max(math.ceil(domain_share * q) for q in quotas.values())
     x = x.withColumn("_r", F.row_number().over(Window.partitionBy(stratum, domain).orderBy("_h", key)))
-    x = x.where(F.col("_r") <= F.ceil(F.lit(domain_share) * F.col("_q")))
+    # a limit known to the planner: each task passes on that many rows of a group at most
+    x = x.where(F.col("_r") <= most).where(F.col("_r") <= F.ceil(F.lit(domain_share) * F.col("_q")))
     x = x.withColumn("pick", F.row_number().over(Window.partitionBy(stratum).orderBy("_r", domain, key)))
     return x.where(F.col("pick") <= F.col("_q")).drop("_q", "_h", "_r")
+
+
+def with_group(df: DataFrame, by: list[str], aggregates: list[Column]) -> DataFrame:
+    """Each row with aggregates of its group: aggregated first and joined, so a hot group costs a row per task."""
+    g = df.groupBy(*by).agg(*aggregates)
+    return null_safe_left(df, g, by)
+
+
+def leave_out_folds(df: DataFrame, split: str, group: str, key: list[str]) -> DataFrame:
+    """split, heldout, n_train, n_test, train_keys, test_keys: the folds that leave each value of a group out, with order-free digests of their keys.
+
+    Candidates fitted on the same folds show the same digests.
+    """
+    digest = F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in key]), 256), 1, 15), 16, 10).cast("long")
+    g = df.groupBy(F.col(group).cast("string").alias("heldout")).agg(F.count("*").alias("n_test"), F.bit_xor(digest).alias("test_keys"))
+    whole = df.agg(F.count("*").alias("_n"), F.bit_xor(digest).alias("_k"))
+    x = g.crossJoin(F.broadcast(whole))  # one row
+    return x.select(
+        F.lit(split).alias("split"), "heldout", (F.col("_n") - F.col("n_test")).alias("n_train"), "n_test", F.col("_k").bitwiseXOR(F.col("test_keys")).alias("train_keys"), "test_keys"
+    )

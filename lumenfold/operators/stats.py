@@ -4,15 +4,11 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import running
-
-
-def quantiles(value: str, shares: list[float]) -> list[Column]:
-    """Exact linear quantiles; NaN must be NULL before."""
-    return [F.percentile(F.col(value), F.lit(q)).alias(f"p{q * 100:g}".replace(".", "_")) for q in shares]
+from .ordering import bucket_count, carried, row_ranks, running
 
 
 def conformal(df: DataFrame, by: list[str], value: str, coverage: float = 0.95) -> DataFrame:
@@ -73,11 +69,22 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return out.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
 
 
+def _paired_ranks(df: DataFrame, by: list[str], key: str, columns: list[str]) -> DataFrame:
+    """by, key, _n (rows of the group) and _r_<column>: places by score descending, key ascending, all in one order."""
+    rows = F.inline(F.array(*[F.struct(F.lit(c).alias("_variant"), F.col(c).cast("double").alias("_score")) for c in columns]))
+    x = row_ranks(df.select(*by, key, rows), [*by, "_variant"], "_score", key, "_rank", descending=True)
+    x = x.groupBy(*by, key).agg(*[F.max(F.when(F.col("_variant") == c, F.col("_rank"))).alias(f"_r_{c}") for c in columns])
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))  # a row per group
+    return x.join(sizes, by) if by else x.crossJoin(F.broadcast(sizes))
+
+
+def _top(share: str) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.lit(share).cast("decimal(10,4)") * F.col("_n")))
+
+
 def rank_agreement(df: DataFrame, by: list[str], key: str, a: str, b: str) -> DataFrame:
     """1 - 6 sum d^2 / (n (n^2 - 1)) on ranks without ties (score descending, key ascending)."""
-    wa = Window.partitionBy(*by).orderBy(F.col(a).desc(), key)
-    wb = Window.partitionBy(*by).orderBy(F.col(b).desc(), key)
-    x = df.withColumn("_d", F.row_number().over(wa) - F.row_number().over(wb))
+    x = _paired_ranks(df, by, key, [a, b]).withColumn("_d", F.col(f"_r_{a}") - F.col(f"_r_{b}"))
     return x.groupBy(*by).agg(F.count("*").alias("n"), rank_correlation(F.col("_d")).alias("rho"))
 
 
@@ -88,10 +95,7 @@ def rank_correlation(d: Column) -> Column:
 
 def top_share_jaccard(df: DataFrame, by: list[str], key: str, a: str, b: str, share: str = "0.1") -> DataFrame:
     """n_top, n_both and Jaccard of the top ceil(share * n) rows by two scores (ties by key)."""
-    k = F.greatest(F.lit(1), F.ceil(F.lit(share).cast("decimal(10,4)") * F.count("*").over(Window.partitionBy(*by))))
-    ra = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(a).desc(), key))
-    rb = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(b).desc(), key))
-    x = df.withColumn("_a", ra <= k).withColumn("_b", rb <= k)
+    x = _paired_ranks(df, by, key, [a, b]).withColumns({"_a": F.col(f"_r_{a}") <= _top(share), "_b": F.col(f"_r_{b}") <= _top(share)})
     x = x.groupBy(*by).agg(
         F.count_if("_a").alias("n_top"), F.count_if(F.col("_a") & F.col("_b")).alias("n_both"), F.count_if(F.col("_a") | F.col("_b")).alias("_u")
     )
@@ -100,14 +104,11 @@ def top_share_jaccard(df: DataFrame, by: list[str], key: str, a: str, b: str, sh
 
 def rank_grid(df: DataFrame, by: list[str], key: str, base: str, others: dict[str, str], share: str = "0.1") -> DataFrame:
     """variant, n, rho, jaccard of several scores against one: the rows are read and dealt once."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    rank = lambda c: F.row_number().over(Window.partitionBy(*by).orderBy(F.col(c).desc(), key))
-    x = df.withColumns({"_n": n, "_r": rank(base)}).withColumns({f"_r_{k}": rank(c) for k, c in others.items()})
-    top = F.greatest(F.lit(1), F.ceil(F.lit(share).cast("decimal(10,4)") * F.col("_n")))
+    x = _paired_ranks(df, by, key, [base, *others.values()])
     aggs = [F.count("*").alias("n")]
-    for k in others:
-        a, b = F.col("_r") <= top, F.col(f"_r_{k}") <= top
-        aggs += [rank_correlation(F.col("_r") - F.col(f"_r_{k}")).alias(f"rho_{k}"), (F.count_if(a & b) / F.count_if(a | b)).alias(f"j_{k}")]
+    for k, c in others.items():
+        a, b = F.col(f"_r_{base}") <= _top(share), F.col(f"_r_{c}") <= _top(share)
+        aggs += [rank_correlation(F.col(f"_r_{base}") - F.col(f"_r_{c}")).alias(f"rho_{k}"), (F.count_if(a & b) / F.count_if(a | b)).alias(f"j_{k}")]
     x = x.groupBy(*by).agg(*aggs)
     rows = F.array(*[F.struct(F.lit(k).alias("variant"), F.col(f"rho_{k}").alias("rho"), F.col(f"j_{k}").alias("jaccard")) for k in others])
     return x.select(*by, "n", F.inline(rows))
@@ -136,10 +137,11 @@ def two_sample(df: DataFrame, side: str, a: str, b: str, value: str) -> DataFram
     return nxt.agg(F.max(F.abs("gap")).alias("ks"), F.coalesce(F.sum(F.abs("gap") * (F.col("next_v") - F.col("v"))), F.lit(0.0)).alias("w1"))
 
 
-def next_value(df: DataFrame, value: str, buckets: int = 64) -> DataFrame:
+def next_value(df: DataFrame, value: str) -> DataFrame:
     """next_<value> over distinct values: a window inside each bucket, the next bucket's least at its end."""
+    buckets = bucket_count(df)
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(value, shares, F.lit(2000)).alias("_cuts"))
+    cuts = df.agg(F.percentile_approx(value, shares, F.lit(10 * buckets)).alias("_cuts"))
     x = df.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     least = x.groupBy("_b").agg(F.min(value).alias("_m"))  # at most `buckets` rows
     after = least.withColumn("_next", F.lead("_m").over(Window.orderBy("_b"))).drop("_m")
@@ -222,12 +224,22 @@ def standardised_difference(mean_a, mean_b, var_a, var_b) -> Column:
 
 
 def durbin_watson(df: DataFrame, by: list[str], order: list[str], residual: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    x = df.withColumn("_d", F.col(residual) - F.lag(residual).over(w))
+    """n and the statistic of residuals in the order of a number or time and a numeric unique key."""
+    x = df.withColumn("_e", F.struct(F.col(residual).alias("r")))
+    x = carried(x, by, F.col(order[0]), order[1:], order[-1], "_e", "_previous", before=True)
+    x = x.withColumn("_d", F.col(residual) - F.col("_previous.r"))
     s = F.sum(F.col(residual) * F.col(residual))
     return x.groupBy(*by).agg(F.count(residual).alias("n"), F.when(s > 0, F.sum(F.col("_d") * F.col("_d")) / s).alias("dw"))
 
 
+def sign_changes(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """n_up, n_down, n_same of adjacent differences in the order of a number or time and a numeric unique key."""
+    x = df.withColumn("_e", F.struct(F.col(value).alias("r")))
+    x = carried(x, by, F.col(order[0]), order[1:], order[-1], "_e", "_previous", before=True)
+    d = F.col(value) - F.col("_previous.r")
+    return x.groupBy(*by).agg(F.count_if(d > 0).alias("n_up"), F.count_if(d < 0).alias("n_down"), F.count_if(d == 0).alias("n_same"))
+
+
 def pinball(actual: Column, predicted: Column, tau: float) -> Column:
     e = actual - predicted
     return F.avg(F.greatest(F.lit(tau) * e, F.lit(tau - 1) * e))
@@ -238,3 +250,25 @@ def mode(df: DataFrame, by: list[str], value: str) -> DataFrame:
     c = df.groupBy(*by, value).agg(F.count("*").alias("n"))
     best = c.groupBy(*by).agg(F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), F.col(value))).alias("_x"), F.sum("n").alias("_t"))
     return best.select(*by, F.col(f"_x.{value}").alias("mode"), F.col("_x.n").alias("n"), (F.col("_x.n") / F.col("_t")).alias("share"))
+
+
+def fisher_rows(df: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
+    """df, a row per 2 x 2 table, with odds (missing where undefined or infinite) and the two-sided p."""
+    @F.pandas_udf("odds double, p double")
+    def test(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+        found = [fisher_exact(*map(int, x)) for x in zip(a, b, c, d, strict=True)]
+        return pd.DataFrame([(o if math.isfinite(o) else None, p) for o, p in found], columns=["odds", "p"], dtype="float64")
+
+    x = df.withColumn("_t", test(a, b, c, d)).select(*df.columns, "_t.*")
+    return x.withColumn("odds", F.when(~F.isnan("odds"), F.col("odds")))
+
+
+def calibration(df: DataFrame, by: list[str], actual: str, predicted: str) -> DataFrame:
+    """n, r, its two-sided p_value and the calibration slope of actual on predicted."""
+    @F.pandas_udf("double")
+    def p(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if x != x else pearson_p(float(x), int(k)) for x, k in zip(r, n, strict=True)], dtype="float64")
+
+    ok = F.col(actual).isNotNull() & F.col(predicted).isNotNull()
+    g = df.where(ok).groupBy(*by).agg(F.count("*").alias("n"), F.corr(actual, predicted).alias("r"), F.regr_slope(actual, predicted).alias("slope"))
+    return g.withColumn("p_value", p("r", "n"))

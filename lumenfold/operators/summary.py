@@ -39,10 +39,12 @@ def denominators(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
 
 
 def column_profile(df: DataFrame, numeric: list[str], texts: list[str]) -> DataFrame:
-    """One pass, then a row per column: missing, n_distinct, low, high, mean, zeros, negatives."""
+    """One pass, then a row per column: type, missing, n_distinct, low, high, mean, zeros, negatives, and an example (the least text)."""
     aggs = []
     for c in [*numeric, *texts]:
         aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}_m"), F.countDistinct(c).alias(f"{c}_d")]
+    kinds = dict(df.dtypes)
+    aggs += [F.min(F.col(c).cast("string")).alias(f"{c}_e") for c in texts]
     for c in numeric:
         x = F.col(c).cast("double")
         aggs += [F.min(x).alias(f"{c}_lo"), F.max(x).alias(f"{c}_hi"), F.avg(x).alias(f"{c}_mean"), F.count_if(x == 0).alias(f"{c}_z"), F.count_if(x < 0).alias(f"{c}_n")]
@@ -53,8 +55,9 @@ def column_profile(df: DataFrame, numeric: list[str], texts: list[str]) -> DataF
         get = lambda k, t: (F.col(f"{c}_{k}") if num else F.lit(None)).cast(t)  # noqa: B023,E731
         rows.append(
             F.struct(
-                F.lit(c).alias("column_name"), F.col(f"{c}_m").alias("missing"), F.col(f"{c}_d").alias("n_distinct"), get("lo", "double").alias("low"),
+                F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("type"), F.col(f"{c}_m").alias("missing"), F.col(f"{c}_d").alias("n_distinct"), get("lo", "double").alias("low"),
                 get("hi", "double").alias("high"), get("mean", "double").alias("mean"), get("z", "long").alias("zeros"), get("n", "long").alias("negatives"),
+                (F.lit(None) if num else F.col(f"{c}_e")).cast("string").alias("example"),
             )
         )
     return one.select(F.inline(F.array(*rows)))
@@ -122,3 +125,29 @@ def union_all(*frames: DataFrame) -> DataFrame:
 def split_leaks(df: DataFrame, key: list[str], split: str) -> DataFrame:
     """Keys that are in more than one split."""
     return df.groupBy(*key).agg(F.countDistinct(split).alias("n_splits")).where(F.col("n_splits") > 1)
+
+
+def eligibility(df: DataFrame, gates: dict[str, Column], side: dict[str, Column], key: list[str]) -> DataFrame:
+    """key, eligible, side_eligible, n_failed, first_failed: a conjunction of named gates, and a side cohort that swaps some of them; an unknown gate fails."""
+    holds = {k: F.coalesce(c, F.lit(False)) for k, c in gates.items()}
+    swapped = holds | {k: F.coalesce(c, F.lit(False)) for k, c in side.items()}
+    every = lambda g: reduce(lambda a, b: a & b, g.values())
+    failed = F.filter(F.array(*[F.when(~c, F.lit(k)) for k, c in holds.items()]), lambda x: x.isNotNull())
+    return df.select(*key, every(holds).alias("eligible"), every(swapped).alias("side_eligible"), F.size(failed).cast("long").alias("n_failed"), F.get(failed, F.lit(0)).alias("first_failed"))
+
+
+ANOMALY = "map<string,struct<reasons:array<string>,nan:int,posinf:int,neginf:int,non_numeric:int,`null`:int,wrong_length:int,elements:int>>"
+
+
+def anomalies(df: DataFrame, by: list[str], entries: str) -> DataFrame:
+    """by, field, n_records, n_elements, n_seen, reasons, n_reasons: read back from a JSON map field -> counts; a bad or empty text has none."""
+    x = df.select(*by, F.explode(F.from_json(entries, ANOMALY)).alias("field", "_e"))
+    kinds = ("nan", "posinf", "neginf", "non_numeric", "null", "wrong_length")
+    bad = reduce(lambda a, b: a + b, [F.coalesce(F.col("_e")[k], F.lit(0)) for k in kinds])
+    x = x.withColumn("_bad", bad).withColumn("_r", F.coalesce(F.col("_e.reasons"), F.array().cast("array<string>")))
+    g = x.groupBy(*by, "field").agg(
+        F.count("*").alias("n_records"), F.sum("_bad").cast("long").alias("n_elements"), F.sum(F.coalesce("_e.elements", F.lit(0))).cast("long").alias("n_seen"), F.sum(F.size("_r")).cast("long").alias("n_reasons")
+    )
+    # reasons are few words
+    names = x.select(*by, "field", F.explode("_r").alias("_w")).distinct().groupBy(*by, "field").agg(F.array_join(F.array_sort(F.collect_list("_w")), "|").alias("reasons"))
+    return g.join(names, [*by, "field"], "left").withColumn("reasons", F.coalesce("reasons", F.lit("")))

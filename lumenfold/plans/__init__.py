@@ -6,7 +6,7 @@ from .base import ORACLES, QUERIES
 
 
 def _load() -> None:
-    from . import audits, documents, tables  # noqa: F401
+    from . import audits, documents, models, tables  # noqa: F401
 
 
 def queries() -> dict:

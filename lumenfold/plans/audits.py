@@ -62,14 +62,14 @@ def contribution_split(spark, d):
     return rounded(table(spark, d, "supplier").select("s_suppkey", *parts), "from_compute", "from_time", "share_compute", "share_time")
 
 
-@query("""WITH f AS (SELECT DISTINCT l_discount AS v, cume_dist() OVER (ORDER BY l_discount) AS f FROM lineitem)
-SELECT v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8][least(greatest(ceil(round(8 * f, 9)), 1), 8)::INT]::DOUBLE AS level FROM f""")
+@query("""WITH f AS (SELECT DISTINCT l_tax AS s, cume_dist() OVER (ORDER BY l_tax) AS f FROM lineitem), e AS (SELECT min(l_tax) AS lo, max(l_tax) AS hi FROM lineitem),
+p AS (SELECT DISTINCT l_discount - 0.02 AS v FROM lineitem), x AS (SELECT v, lo, hi, CASE WHEN v < lo THEN 0 ELSE (SELECT max(f) FROM f WHERE s <= v) END AS f FROM p, e)
+SELECT v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8][least(greatest(ceil(round(8 * f, 9)), 1), 8)::INT]::DOUBLE AS level,
+  CASE WHEN v < lo THEN 'OUT_OF_SUPPORT_LOW' WHEN v > hi THEN 'OUT_OF_SUPPORT_HIGH' ELSE 'IN_SUPPORT' END AS status, v BETWEEN lo AND hi AS usable FROM x""")
 def quantile_bridge(spark, d):
-    from ..operators.ordering import running
-
-    r = running(table(spark, d, "lineitem").withColumn("one", F.lit(1)), [], "l_discount", "one")
-    at = (F.col("before") + F.col("w")) / F.col("total")
-    return r.select(F.col("l_discount").alias("v"), allocation.equal_quantile(F.round(8 * at, 9) / 8, [i / 10 for i in range(1, 9)]).alias("level"))
+    l = table(spark, d, "lineitem")
+    points = l.select((F.col("l_discount") - 0.02).alias("v")).distinct()
+    return allocation.quantile_bridge(points, "v", l, "l_tax", [i / 10 for i in range(1, 9)]).select("v", "level", "status", "usable")
 
 
 @query("""SELECT doc_id, substr(sha256('20260924|' || source || '|' || (doc_id % 3)::VARCHAR), 1, 16) AS seed FROM documents""")
@@ -77,15 +77,6 @@ def derived_seeds(spark, d):
     return table(spark, d, "documents").select("doc_id", derived_seed("20260924", F.col("source"), (F.col("doc_id") % 3).cast("string")).alias("seed"))
 
 
-@query("""WITH m AS (SELECT source, abs(avg(n_chars) FILTER (doc_id % 2 = 0) / avg(n_chars) - 1) AS ratio, count(*) FILTER (n_chars > 500)::DOUBLE / count(*) AS j, corr(n_chars, length(text)) AS r FROM documents GROUP BY source)
-SELECT source, CASE WHEN r >= 0.95 AND j >= 0.8 AND ratio <= 0.05 THEN 'STABLE' WHEN r >= 0.8 AND j >= 0.5 THEN 'PARTIALLY_STABLE' ELSE 'NOT_STABLE' END AS decision FROM m""")
-def stability_decision(spark, d):
-    n = F.col("n_chars")
-    m = table(spark, d, "documents").groupBy("source").agg(
-        F.abs(F.avg(F.when(F.col("doc_id") % 2 == 0, n)) / F.avg(n) - 1).alias("ratio"), (F.count_if(n > 500) / F.count("*")).alias("j"), F.corr(n, F.length("text")).alias("r"))
-    return m.select("source", quality.stability(F.col("ratio"), F.col("j"), F.col("r")).alias("decision"))
-
-
 @query("""SELECT o_orderpriority, CASE WHEN count(*) FILTER (g >= 0.05 AND q >= 0.05) >= 2 AND min(least(g, q)) >= -0.1 THEN 'UPGRADE' ELSE 'KEEP' END AS decision
 FROM (SELECT o_orderpriority, o_orderstatus, avg(o_totalprice) / 140000 - 1 AS g, quantile_cont(o_totalprice, 0.9) / 250000 - 1 AS q FROM orders GROUP BY ALL) GROUP BY o_orderpriority""")
 def upgrade_gate(spark, d):

@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from ..functions.hashing import canonical_key, fingerprint, split_remainder
-from ..operators import bootstrap, joins, quality, rows, stats, summary
+from ..functions.hashing import canonical_key, fingerprint, role, split_remainder
+from ..operators import bootstrap, joins, ordering, quality, rows, stats, summary
+from ..operators.store import written
 from .base import DOC_FEATURES, query, r6, rounded, scored_sql, table, weighted_quantile_sql
 
 
+def _features(spark, d) -> DataFrame:
+    """The narrow columns of all texts, cut once and written: what follows reads them as often as it needs."""
+    return written(quality.text_features(table(spark, d, "documents")), "text-features")
+
+
 def _scored(spark, d) -> DataFrame:
-    return quality.scored(quality.text_features(table(spark, d, "documents")))
+    return quality.scored(_features(spark, d))
 
 
 @query("""SELECT doc_id, (('0x' || substr(sha256('20260924' || doc_id::VARCHAR), 1, 16))::UBIGINT % 5)::INTEGER AS remainder,
@@ -95,7 +101,7 @@ def _bounds_oracle():
 
 @query(_bounds_oracle())
 def robust_bounds_weighted(spark, d):
-    b = quality.calibration_bounds(quality.text_features(table(spark, d, "documents")), ("mean_word_length",), "lang")
+    b = quality.calibration_bounds(_features(spark, d), ("mean_word_length",), "lang")
     return b.select(r6("mean_word_length_lo").alias("lo"), r6("mean_word_length_hi").alias("hi"))
 
 
@@ -109,9 +115,12 @@ def quality_score_strict(spark, d):
   round(quantile_cont(q, 0.9), 6) AS p90 FROM s GROUP BY GROUPING SETS ((role, lang), (role))""")
 def quality_summary(spark, d):
     q = F.col("q")
-    pct = [r6(F.percentile(q, F.lit(s))).alias(k) for s, k in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))]
-    return summary.with_all(_scored(spark, d), ["role"], "lang", [
-        F.count("*").alias("n_total"), F.count(q).alias("n_valid"), r6(F.avg(q)).alias("mean_q"), r6(F.stddev_samp(q)).alias("std_q"), *pct])
+    x = _scored(spark, d)
+    g = summary.with_all(x, ["role"], "lang", [
+        F.count("*").alias("n_total"), F.count(q).alias("n_valid"), r6(F.avg(q)).alias("mean_q"), r6(F.stddev_samp(q)).alias("std_q")])
+    each = x.select("role", F.explode(F.array("lang", F.lit("ALL"))).alias("lang"), "q")
+    pct = rounded(ordering.quantiles(each, ["role", "lang"], "q", {"p10": 0.1, "p50": 0.5, "p90": 0.9}), "p10", "p50", "p90")
+    return ordering.null_safe_left(g, pct, ["role", "lang"])
 
 
 @query(scored_sql() + """ SELECT doc_id, round(CASE WHEN (z_mean_word_length IS NOT NULL)::INT + (z_unique_share IS NOT NULL)::INT + (z_no_alpha_share IS NOT NULL)::INT > 1
@@ -126,7 +135,7 @@ g AS (SELECT lang, count(*) FILTER (role = 'calibration') AS n, count(v) FILTER
   count(DISTINCT CASE WHEN role = 'calibration' THEN v END) AS dd, quantile_cont(CASE WHEN role = 'calibration' THEN v END, 0.5) AS m FROM x GROUP BY lang)
 SELECT doc_id, coalesce(v, CASE WHEN n >= 20 AND k >= 0.3 * n AND dd >= 2 THEN m END) AS v_imputed FROM x JOIN g USING (lang)""")
 def gated_median_imputation(spark, d):
-    x = quality.text_features(table(spark, d, "documents")).select("doc_id", "lang", "role")
+    x = table(spark, d, "documents").select("doc_id", "lang", role(F.col("doc_id").cast("string")).alias("role"))
     x = x.join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("v")), "doc_id", "left")
     return quality.imputed(x, "v", "lang", 20, 0.3).select("doc_id", "v_imputed")
 
@@ -264,14 +273,14 @@ def content_hash_join_classes(spark, d):
 
 @query("""SELECT doc_id, ((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) % least(5, greatest(2, count(*) OVER (PARTITION BY lang) // 3)))::BIGINT AS fold FROM documents""")
 def roundrobin_folds(spark, d):
-    return rows.round_robin(table(spark, d, "documents").select("doc_id", "lang"), ["lang"], ["doc_id"]).select("doc_id", "fold")
+    return rows.round_robin(table(spark, d, "documents").select("doc_id", "lang"), ["lang"], "doc_id").select("doc_id", "fold")
 
 
 @query(f"""WITH {DOC_FEATURES}, x AS (SELECT lang, doc_id, n_words AS a, n_sentences AS b FROM f),
 r AS (SELECT lang, greatest(1, ceil(0.1::DECIMAL(10,4) * count(*) OVER (PARTITION BY lang))) AS k, row_number() OVER (PARTITION BY lang ORDER BY a DESC, doc_id) AS ra, row_number() OVER (PARTITION BY lang ORDER BY b DESC, doc_id) AS rb FROM x)
 SELECT lang, count(*) FILTER (ra <= k)::BIGINT AS n_top, count(*) FILTER (ra <= k AND rb <= k)::BIGINT AS n_both, round(count(*) FILTER (ra <= k AND rb <= k)::DOUBLE / count(*) FILTER (ra <= k OR rb <= k), 6) AS jaccard FROM r GROUP BY lang""")
 def top10_jaccard(spark, d):
-    x = quality.text_features(table(spark, d, "documents"))
+    x = _features(spark, d)
     return rounded(stats.top_share_jaccard(x, ["lang"], "doc_id", "n_words", "n_sentences"), "jaccard")
 
 
@@ -324,12 +333,21 @@ def group_kfold_cv(spark, d):
     return rounded(e, "rmse", "bias")
 
 
-@query()
+POISSON = " + ".join(f"(u >= {int(s * (1 << 52))})::INT" for s in bootstrap.STEPS)
+
+
+@query(f"""WITH {DOC_FEATURES}, x AS (SELECT lang, n_words, r, ('0x' || substr(sha256('b1|' || r::VARCHAR || '|' || doc_id::VARCHAR), 1, 13))::UBIGINT AS u FROM f, (SELECT unnest(range(0, 201)) AS r)),
+pw AS (SELECT lang, r, n_words, CASE WHEN r = 0 THEN 1 ELSE {POISSON} END AS w FROM x),
+m AS (SELECT lang, r, sum(w * n_words)::DOUBLE / nullif(sum(w), 0) AS m FROM pw GROUP BY lang, r)
+SELECT lang, round(max(m) FILTER (r = 0), 6) AS mean, round(quantile_cont(m, 0.025) FILTER (r > 0), 6) AS low, round(quantile_cont(m, 0.975) FILTER (r > 0), 6) AS high FROM m GROUP BY lang""")
 def bootstrap_ci_poisson(spark, d):
-    return rounded(bootstrap.bootstrap_mean(quality.text_features(table(spark, d, "documents")), "doc_id", "n_words", ["lang"], 200, "b1"), "mean", "low", "high")
+    return rounded(bootstrap.bootstrap_mean(_features(spark, d), "doc_id", "n_words", ["lang"], 200, "b1"), "mean", "low", "high")
 
 
-@query()
+@query(f"""WITH {DOC_FEATURES}, x AS (SELECT doc_id, source, CASE WHEN n_words > 400 THEN 'long' ELSE 'short' END AS stratum FROM f),
+a AS (SELECT *, CASE stratum WHEN 'long' THEN 20 ELSE 10 END AS q, row_number() OVER (PARTITION BY stratum, source ORDER BY sha256('s1|' || stratum || '|' || source || '|' || doc_id::VARCHAR), doc_id) AS r FROM x),
+b AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY r, source, doc_id) AS pick FROM a WHERE r <= ceil(0.2 * q))
+SELECT doc_id, stratum, source, pick::INTEGER AS pick FROM b WHERE pick <= q""")
 def stratified_quota(spark, d):
-    x = quality.text_features(table(spark, d, "documents")).withColumn("stratum", F.when(F.col("n_words") > 400, "long").otherwise("short"))
+    x = _features(spark, d).withColumn("stratum", F.when(F.col("n_words") > 400, "long").otherwise("short"))
     return rows.stratified_quota(x, "doc_id", "stratum", "source", {"long": 20, "short": 10}, "s1").select("doc_id", "stratum", "source", "pick")

@@ -10,9 +10,9 @@ from ..operators import allocation, bootstrap, checks, evaluation, fit, joins, o
 from .base import query, r6, rounded, table
 
 
-@query("""SELECT 'o_totalprice' AS column_name, count(*) FILTER (o_totalprice IS NULL)::BIGINT AS missing, count(DISTINCT o_totalprice)::BIGINT AS n_distinct, min(o_totalprice)::DOUBLE AS low, max(o_totalprice)::DOUBLE AS high,
+@query("""SELECT 'o_totalprice' AS column_name, 'double' AS type, NULL::VARCHAR AS example, count(*) FILTER (o_totalprice IS NULL)::BIGINT AS missing, count(DISTINCT o_totalprice)::BIGINT AS n_distinct, min(o_totalprice)::DOUBLE AS low, max(o_totalprice)::DOUBLE AS high,
   round(avg(o_totalprice), 4) AS mean, count(*) FILTER (o_totalprice = 0)::BIGINT AS zeros, count(*) FILTER (o_totalprice < 0)::BIGINT AS negatives FROM orders
-UNION ALL SELECT 'o_orderstatus', count(*) FILTER (o_orderstatus IS NULL), count(DISTINCT o_orderstatus), NULL, NULL, NULL, NULL, NULL FROM orders""")
+UNION ALL SELECT 'o_orderstatus', 'string', min(o_orderstatus), count(*) FILTER (o_orderstatus IS NULL), count(DISTINCT o_orderstatus), NULL, NULL, NULL, NULL, NULL FROM orders""")
 def column_profile(spark, d):
     return rounded(summary.column_profile(table(spark, d, "orders"), ["o_totalprice"], ["o_orderstatus"]), "mean", digits=4)
 
@@ -46,7 +46,7 @@ def regr_slope_cells(spark, d):
 
 @query("""SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.025), 6) AS p2_5, round(quantile_cont(o_totalprice, 0.5), 6) AS p50, round(quantile_cont(o_totalprice, 0.9), 6) AS p90 FROM orders GROUP BY o_orderstatus""")
 def exact_quantiles(spark, d):
-    x = table(spark, d, "orders").groupBy("o_orderstatus").agg(*stats.quantiles("o_totalprice", [0.025, 0.5, 0.9]))
+    x = ordering.quantiles(table(spark, d, "orders"), ["o_orderstatus"], "o_totalprice", {"p2_5": 0.025, "p50": 0.5, "p90": 0.9})
     return rounded(x, "p2_5", "p50", "p90")
 
 
@@ -103,9 +103,9 @@ def consensus_segment(spark, d):
 SELECT s, round(avg(greatest(0.9 * (o_totalprice - q), -0.1 * (o_totalprice - q))), 4) AS loss, round(avg((o_totalprice <= q)::INT), 6) AS coverage FROM orders JOIN p ON o_orderstatus = s GROUP BY s""")
 def pinball_coverage(spark, d):
     o = table(spark, d, "orders").withColumnRenamed("o_orderstatus", "s")
-    q = o.groupBy("s").agg(F.percentile("o_totalprice", F.lit(0.9)).alias("q"))
+    q = ordering.quantiles(o, ["s"], "o_totalprice", {"q": 0.9})
     y = F.col("o_totalprice")
-    return o.join(q, "s").groupBy("s").agg(F.round(stats.pinball(y, F.col("q"), 0.9), 4).alias("loss"), r6(F.avg((y <= F.col("q")).cast("int"))).alias("coverage"))
+    return o.join(F.broadcast(q), "s").groupBy("s").agg(F.round(stats.pinball(y, F.col("q"), 0.9), 4).alias("loss"), r6(F.avg((y <= F.col("q")).cast("int"))).alias("coverage"))
 
 
 @query("""WITH c AS (SELECT l_returnflag, l_linestatus, l_quantity AS q, l_extendedprice AS p, 1.0::DOUBLE / (count(*) OVER (PARTITION BY l_returnflag, l_linestatus) * (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem))) AS w FROM lineitem)
@@ -152,11 +152,11 @@ def value_agreement(spark, d):
     return rounded(joins.value_agreement(a, b, ["k"], "v", 1.0), "mean_abs")
 
 
-@query("""WITH s AS (SELECT event_type AS e, ts, max(value) AS v FROM events WHERE user_id % 5 = 0 GROUP BY e, ts), f AS (SELECT e, arg_min(v, ts) AS fv FROM s GROUP BY e)
+@query("""WITH s AS (SELECT event_type AS e, ts, max(value) AS v FROM events GROUP BY e, ts), f AS (SELECT e, arg_min(v, ts) AS fv FROM s GROUP BY e)
 SELECT x.event_id, coalesce(s.v, f.fv) AS step_value FROM events x ASOF LEFT JOIN s ON x.event_type = s.e AND x.ts >= s.ts LEFT JOIN f ON x.event_type = f.e""")
 def asof_step_lookup(spark, d):
     e = table(spark, d, "events")
-    steps = e.where("user_id % 5 = 0").groupBy("event_type", "ts").agg(F.max("value").alias("step_value"))
+    steps = e.groupBy("event_type", "ts").agg(F.max("value").alias("step_value"))
     return joins.as_of(e.select("event_id", "event_type", "ts"), ["event_type"], "ts", steps, "ts", "step_value").select("event_id", "step_value")
 
 
@@ -320,7 +320,7 @@ def support_oos_audit(spark, d):
 SELECT CASE WHEN l_quantity <= q1 THEN 1 WHEN l_quantity <= q2 THEN 2 WHEN l_quantity <= q3 THEN 3 ELSE 4 END::BIGINT AS stratum, count(*)::BIGINT AS n, round(avg(1500 * l_quantity - l_extendedprice), 4) AS bias FROM lineitem, b GROUP BY stratum""")
 def bias_quartiles(spark, d):
     x = table(spark, d, "lineitem")
-    b = x.agg(*[F.percentile("l_quantity", F.lit(q)).alias(k) for q, k in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))])
+    b = ordering.quantiles(x, [], "l_quantity", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     y = F.col("l_quantity")
     s = F.when(y <= F.col("q1"), 1).when(y <= F.col("q2"), 2).when(y <= F.col("q3"), 3).otherwise(4).cast("long")
     return x.crossJoin(F.broadcast(b)).groupBy(s.alias("stratum")).agg(F.count("*").alias("n"), F.round(F.avg(1500 * y - F.col("l_extendedprice")), 4).alias("bias"))  # one row of breaks
@@ -372,7 +372,13 @@ def budget_solver(spark, d):
     return rounded(allocation.solve(x), "n", "d", "q", "loss")
 
 
-@query()
+POISSON = " + ".join(f"(u >= {int(s * (1 << 52))})::INT" for s in bootstrap.STEPS)
+
+
+@query(f"""WITH c AS (SELECT user_id AS k, sum(value) AS s, count(*)::DOUBLE AS n FROM events WHERE value IS NOT NULL GROUP BY user_id),
+x AS (SELECT k, s, n, r, ('0x' || substr(sha256('c1|' || r::VARCHAR || '|' || k::VARCHAR), 1, 13))::UBIGINT AS u FROM c, (SELECT unnest(range(0, 201)) AS r)),
+w AS (SELECT r, s, n, CASE WHEN r = 0 THEN 1 ELSE {POISSON} END AS w FROM x), m AS (SELECT r, sum(w * s) / nullif(sum(w * n), 0) AS m FROM w GROUP BY r)
+SELECT round(max(m) FILTER (r = 0), 6) AS mean, round(quantile_cont(m, 0.025) FILTER (r > 0), 6) AS low, round(quantile_cont(m, 0.975) FILTER (r > 0), 6) AS high FROM m""")
 def cluster_bootstrap(spark, d):
     return rounded(bootstrap.cluster_bootstrap_mean(table(spark, d, "events"), "user_id", "value", 200, "c1"), "mean", "low", "high")
 
@@ -422,11 +428,15 @@ def scenario_forecast(spark, d):
     return rounded(f.select("s_nationkey", "horizon_months", "raw", "clipped", "in_range"), "raw", "clipped", digits=4)
 
 
-@query("""WITH x AS (SELECT l_returnflag AS g, l_suppkey % 7 AS k, l_extendedprice AS y, 1500 * l_quantity AS p FROM lineitem)
-SELECT g, count(*)::BIGINT AS n, count(DISTINCT k)::BIGINT AS clusters, round(sqrt(avg((p - y) * (p - y))), 3) AS rmse, CASE WHEN sqrt(avg((p - y) * (p - y))) <= 0.25 * stddev_samp(y) AND abs(avg(p - y)) <= 0.25 * stddev_samp(y) AND corr(y, p) >= 0.5 THEN 'QUALIFIED' ELSE 'NOT_QUALIFIED' END AS status FROM x GROUP BY g""")
+@query("""WITH x AS (SELECT l_returnflag AS g, l_suppkey % 7 AS k, l_extendedprice AS y, 1500 * l_quantity AS p FROM lineitem),
+r AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2.0 AS a, rank() OVER (PARTITION BY g ORDER BY p) + (count(*) OVER (PARTITION BY g, p) - 1) / 2.0 AS b FROM x),
+c AS (SELECT g, corr(a, b) AS rho FROM r GROUP BY g),
+m AS (SELECT g, count(*) AS n, count(DISTINCT k) AS clusters, sqrt(avg((p - y) * (p - y))) AS rmse, avg(p - y) AS bias, stddev_samp(y) AS sd FROM x GROUP BY g)
+SELECT g, n::BIGINT AS n, clusters::BIGINT AS clusters, round(rmse, 3) AS rmse, round(rho, 6) AS rho, CASE WHEN n < 5 OR clusters < 2 THEN 'STRESS_ONLY'
+  WHEN sd > 0 AND rmse <= 0.25 * sd AND abs(bias) <= 0.25 * sd AND (rho IS NULL OR rho >= 0.5) THEN 'SUPPORTED' ELSE 'FAILED' END AS status FROM m JOIN c USING (g)""")
 def external_qualification(spark, d):
     x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), (F.col("l_suppkey") % 7).alias("k"), F.col("l_extendedprice").alias("y"), (1500 * F.col("l_quantity")).cast("double").alias("p"))
-    return evaluation.qualification(x, ["g"], "y", "p", "k").select("g", "n", "clusters", F.round("rmse", 3).alias("rmse"), "status")
+    return evaluation.qualification(x, ["g"], "y", "p", "k").select("g", "n", "clusters", F.round("rmse", 3).alias("rmse"), r6("rho").alias("rho"), "status")
 
 
 @query("""WITH x AS (SELECT DISTINCT l_quantity AS q FROM lineitem), l AS (SELECT q, 1.6898 + 0.35398 * pow(q, -0.33998) + 1.24031 * pow(q, -0.27988) AS loss FROM x)
@@ -452,3 +462,12 @@ def running_counts(spark, d):
 @query("""SELECT conv_id, turn, sha256(regexp_replace(regexp_replace(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+', '[EMAIL]', 'g'), 'https?://[^\\s<>"]+', '[URL]', 'g')) AS redacted FROM conversations""")
 def redact_conversations(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.sha2(texts.redacted(F.coalesce("text", F.lit(""))), 256).alias("redacted"))
+
+
+@query("""WITH x AS (SELECT a.o_totalprice AS p, CASE WHEN a.o_orderkey % 10 = 0 THEN a.o_totalprice + 0.5 ELSE a.o_totalprice END AS q, a.o_orderstatus AS s, CASE WHEN a.o_orderkey % 7 = 0 THEN NULL ELSE a.o_orderstatus END AS t FROM orders a)
+SELECT 'o_totalprice' AS column_name, 'double' AS type_left, 'double' AS type_right, TRUE AS same_type, count(*)::BIGINT AS n_rows, count(*) FILTER (abs(p - q) <= 0.01)::BIGINT AS n_equal, max(abs(p - q)) AS max_abs FROM x
+UNION ALL SELECT 'o_orderstatus', 'string', 'string', TRUE, count(*)::BIGINT, count(*) FILTER (s IS NOT DISTINCT FROM t)::BIGINT, NULL FROM x UNION ALL SELECT 'o_orderpriority', 'string', NULL, FALSE, NULL, NULL, NULL""")
+def column_compare(spark, d):
+    o = table(spark, d, "orders")
+    b = o.select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, F.col("o_totalprice") + 0.5).otherwise(F.col("o_totalprice")).alias("o_totalprice"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("o_orderstatus"))
+    return checks.compare_columns(o.select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority"), b, ["o_orderkey"], 0.01)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..operators.quality import of_roles
+
 
 def csv(spark: SparkSession, paths: str | list[str], schema: StructType | str, columns: list[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
     """Header CSV by an explicit schema; a byte-order mark does not reach the first name."""
@@ -33,7 +35,10 @@ def json_lines(spark: SparkSession, paths: str | list[str], schema: StructType,
 
 
 def xz_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, line_no, line) of .xz files, decoded as a stream: a task holds a block, not a file's text."""
+    """(file_name, line_no, line) of .xz files: a task holds a compressed file (2 GB at most) and a block of its text.
+
+    XzSource streams files of a mounted folder of any size.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(it):
@@ -118,8 +123,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parquet_role(spark: SparkSession, path: str, roles: list[str], column: str = "evaluation_role") -> DataFrame:
-    """Rows of the named roles: the filter reaches the scan, and on a partitioned table other roles are not read."""
-    return spark.read.parquet(path).where(F.col(column).isin(roles))
+    """Rows of the named roles: the filter reaches the scan, and on a partitioned table other roles are not read.
+
+    An error if a row of another role, or of none, comes through.
+    """
+    return of_roles(spark.read.parquet(path), column, roles)
 
 
 def config(path: str) -> dict:

@@ -8,6 +8,7 @@ import time
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from .readers import manifest
 
@@ -18,20 +19,38 @@ def parquet(df: DataFrame, path: str, columns: list[str], partition_by: list[str
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def report_csv(df: DataFrame, path: str, columns: list[str], gzip: bool = False) -> None:
-    """A small report as one file; doubles keep 17 digits."""
+def report_csv(df: DataFrame, path: str, columns: list[str], gzip: bool = False, byte_order_mark: bool = False) -> None:
+    """A small report as one file; doubles keep 17 digits.  The mark, if asked for, stands before the header."""
     x = df.select(*[F.format_string("%.17g", c).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.select(*columns).dtypes])
+    if byte_order_mark:
+        names = df.sparkSession.createDataFrame([tuple(columns)], ", ".join(f"`{c}` string" for c in columns))
+        line = lambda y, mark="": y.select(F.concat(F.lit(mark), F.to_csv(F.struct(*columns))).alias("value"))
+        # one task writes the parts in their order: the header's first
+        w = line(names, "\ufeff").coalesce(1).unionAll(line(x).coalesce(1)).coalesce(1).write
+        (w.option("compression", "gzip") if gzip else w).text(path)
+        return
     w = x.coalesce(1).write.option("header", "true")
     (w.option("compression", "gzip") if gzip else w).csv(path)
 
 
-def without_nan(x: Column, kind: str) -> Column:
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None)).otherwise(x) if kind in ("double", "float") else x
+def without_nan(x: Column, kind: DataType) -> Column:
+    """NULL for NaN and infinities, inside arrays, structs and maps too."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None)).otherwise(x)
+    if isinstance(kind, ArrayType):
+        return F.transform(x, lambda v: without_nan(v, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(x, lambda _, v: without_nan(v, kind.valueType))
+    if isinstance(kind, StructType):
+        parts = F.struct(*[without_nan(x[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(x.isNotNull(), parts)
+    return x
 
 
 def json_rows(df: DataFrame, path: str) -> None:
-    """NaN and infinities are null."""
-    df.select(*[without_nan(F.col(c), t).alias(c) for c, t in df.dtypes]).write.option("ignoreNullFields", "false").json(path)
+    """NaN and infinities are null, at any depth."""
+    x = df.select(*[without_nan(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+    x.write.option("ignoreNullFields", "false").json(path)
 
 
 def run_manifest(spark, folder: str, path: str) -> None:

@@ -2,6 +2,10 @@ import gzip
 import json
 import lzma
 import math
+import os
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import numpy as np
 import pytest
@@ -13,6 +17,7 @@ from lumenfold.operators import allocation, checks, evaluation, fit, joins, orde
 from lumenfold.sources import readers, sinks
 from lumenfold.sources.stages import Stages
 from lumenfold.streaming import events
+from signal_fixture import fixture
 
 NAN = float("nan")
 
@@ -75,7 +80,7 @@ def test_penalty_hand_cases(spark):
 
 
 def test_signal_fixture(spark):
-    x = signals.identified(signals.features(signals.fixture(spark)), "code", "line", "file_domain").cache()
+    x = signals.identified(signals.features(fixture(spark)), "code", "line", "file_domain").cache()
     assert x.count() == 660
     cal = {r.domain: r.n for r in x.where("role = 'calibration'").groupBy("domain").agg(F.count("*").alias("n")).collect()}
     assert cal == {"commoncrawl": 164, "wikipedia": 160, "github": 160}
