@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import values
+
 # The kinds and the base patterns of the contract.
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -104,53 +106,76 @@ def encoded(text: str) -> np.ndarray:
     return _ids()[np.minimum(points, 0x3000)]
 
 
-def labelled_spans(n: int = 1600, seed: int = 5) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Generated texts of up to WINDOW characters with (kind, start, end) spans; a quarter hold none."""
+def labelled_spans(n: int = 5000, seed: int = 5) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Generated texts of up to WINDOW characters with (kind, start, end) spans, which may reach beyond them; a quarter hold none.
+
+    Words, names and hosts are strings of syllables; numbers that are no personal data (dates,
+    times, prices, amounts, ranges, versions, digests, identifiers) stand among them as decoys.
+    """
     rng = np.random.default_rng(seed)
     pick = lambda x: x[int(rng.integers(len(x)))]
-    word = lambda: "".join(pick(["th", "er", "in", "on", "an", "re", "é", "sch", "ou", "ti", "ing", "ha"]) for _ in range(int(rng.integers(1, 4))))  # noqa: E731,E501
+    some = lambda a, b: int(rng.integers(a, b))
     digits = lambda k: "".join(str(int(d)) for d in rng.integers(0, 10, k))
+    plain = ["th", "er", "in", "on", "an", "re", "sch", "ou", "ti", "ing", "ha", "lo", "mi", "st", "ka", "e", "o", "ber", "cu", "zy", "pf", "x", "q", "jo", "wu", "del"]
+
+    def word():
+        w = "".join(pick(plain) for _ in range(some(1, 4)))
+        if some(0, 12) == 0:
+            w += pick(["é", "ß", "ñ", "ü", "日本"])
+        return w.capitalize() if some(0, 6) == 0 else w
+
+    def name():
+        return "".join(pick(plain) for _ in range(some(1, 4)))
 
     def email():
-        name = word().replace("é", "e") + pick(["", "." + digits(2), "_" + word().replace("é", "e"), digits(3)])
-        return name + pick(["@", "@", "@", " @ "]) + pick(["mail", "post", "example"]) + pick(["", digits(1)]) + pick([".com", ".example.com", ".org", ".co.uk"])  # noqa: E501
+        local = name() + pick(["", "", "." + name(), "_" + name(), "-" + name(), "+" + name(), digits(some(1, 4)), "." + digits(2), "_" + digits(1)])
+        host = name() + pick(["", "", "-" + name(), digits(1)]) + pick(["", "", "." + name()])
+        return local + pick(["@", "@", " @ ", " @ ", "@ ", " @"]) + host + pick([".com", ".org", ".net", ".de", ".co.uk", ".example.com", ".edu", ".io"])
 
     def ip():
         return ".".join(str(int(x)) for x in rng.integers(0, 256, 4))
 
     def card():
-        sep = pick(["", "", " ", "-"])
-        return sep.join([pick("3456") + digits(3), digits(4), digits(4), digits(4)])
+        sep = pick(["", "", " ", "-", "."])
+        return sep.join([pick("3456") + digits(3), digits(4), digits(4), digits(pick([3, 4, 4, 4]))])
 
     def phone():
-        return pick(["+1 (", "(", "+49 (", "+"]) + digits(3) + pick([") ", " ", "-"]) + digits(3) + "-" + digits(4)
+        a, b, c = digits(3), digits(3), digits(4)
+        zero = "0" + digits(some(1, 4))
+        return pick([
+            f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{zero}-{b}-{c}", f"({zero}) {b}-{c}", f"{zero} {b} {c}",
+            f"+{some(1, 99)} ({a}) {b}-{c}", f"+{some(1, 99)} {a} {b} {c}", f"+{some(1, 99)}-{a}-{b}-{c}", f"1-{a}-{b}-{c}",
+        ])
 
     makers = (email, ip, card, phone)
+    hexed = lambda k: hashlib.md5(digits(6).encode()).hexdigest()[:k]
     decoys = (
-        lambda: digits(int(rng.integers(1, 8))),
-        lambda: '"' + hashlib.md5(digits(4).encode()).hexdigest()[: int(rng.integers(16, 33))] + '"',
-        lambda: f"{digits(2)}:{digits(2)}",
-        lambda: f"20{digits(2)}-0{digits(1)}-1{digits(1)}",
-        lambda: "$" + digits(2) + "." + digits(2),
-        lambda: "v" + digits(1) + "." + digits(1),
-        lambda: "@" + word(),
-        lambda: "(" + digits(4) + ")",
-    )
+        lambda: digits(some(1, 8)), lambda: digits(some(8, 24)), lambda: hexed(some(6, 33)), lambda: '"' + hexed(some(16, 33)) + '"', lambda: f"{digits(2)}:{digits(2)}",
+        lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"20{digits(2)}-0{digits(1)}-1{digits(1)}", lambda: f"{digits(2)}/{digits(2)}/20{digits(2)}", lambda: f"{digits(1)}.{digits(1)}.20{digits(2)}",
+        lambda: pick("$€£") + digits(some(1, 4)) + "." + digits(2), lambda: f"{digits(some(1, 3))},{digits(3)},{digits(3)}", lambda: "v" + digits(1) + "." + digits(some(1, 3)), lambda: f"{digits(1)}.{digits(some(1, 3))}.{digits(some(1, 3))}",
+        lambda: "@" + name(), lambda: "@ " + name(), lambda: name() + " @ " + name(), lambda: "(" + digits(some(1, 5)) + ")", lambda: f"{digits(3)}-{digits(3)}", lambda: f"{digits(4)}-{digits(4)}", lambda: f"19{digits(2)}-20{digits(2)}",
+        lambda: digits(some(1, 4)) + "%", lambda: "#" + digits(some(2, 7)), lambda: f"{name()}-{digits(some(1, 6))}", lambda: f"{name()}{digits(some(1, 5))}", lambda: f"{digits(some(1, 3))} {digits(some(1, 3))}", lambda: f"{digits(3)} {digits(3)} {digits(3)}",
+        lambda: f"0.{digits(some(1, 7))}", lambda: f"{digits(1)}e-{digits(2)}", lambda: f"{pick('ABCDEF')}{digits(2)}-{digits(4)}", lambda: "978-" + digits(1) + "-" + digits(4) + "-" + digits(4) + "-" + digits(1), lambda: f"{digits(2)}-{digits(2)}", lambda: name() + ".com", lambda: f"{name()}.{name()}()",
+    )
     out = []
     for i in range(n):
-        text, spans = " ".join(word() for _ in range(int(rng.integers(0, 5)))), []
-        for _ in range(int(rng.integers(0, 3)) if i % 4 else 0):
-            k = int(rng.integers(4))
-            text += pick([" ", " ", "\n", ": "]) if text else ""
+        text, spans = " ".join(word() for _ in range(some(0, 5))), []
+        for _ in range(some(0, 3) if i % 4 else 0):
+            k = pick([0, 0, 1, 2, 2, 3, 3, 3])
+            text += pick([" ", " ", "\n", ": ", " (", ", "]) if text else ""
             found = makers[k]()
             spans.append((k, len(text), len(text) + len(found)))
             text += found
-            text += pick(["", "", ".", "%%%", "!!", ","])
-        for _ in range(int(rng.integers(0, 3))):
-            text += " " + pick([word, pick(decoys)])()
-        text += " " + " ".join(word() for _ in range(int(rng.integers(0, 6))))
-        cut = text[:WINDOW]
-        out.append((cut, [s for s in spans if s[2] <= len(cut)]))
+            text += pick(["", "", ".", "%%%", "!!", ",", ")", ";", "\n"])
+            if some(0, 2):
+                text += " " + word()
+        for _ in range(some(0, 3) if i % 4 else some(1, 4)):
+            text += pick([" ", " ", " ", ", ", "\n"]) + pick([word, pick(decoys), pick(decoys)])()
+        text += " " + " ".join(word() for _ in range(some(0, 6)))
+        # a window may begin anywhere, inside a word or a span too; what it cuts off has no label
+        at = some(0, max(1, len(text) - 20)) if some(0, 2) == 0 else 0
+        cut = text[at : at + WINDOW]
+        out.append((cut, [(k, s - at, e - at) for k, s, e in spans if s - at < len(cut) and e > at]))
     return out
 
 
@@ -160,41 +185,57 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def _lstm(p, ids, backward, keep):
-    """Hidden states (T, B, H); with `keep` also what back-propagation needs."""
+def _lstm(p, ids, keep):
+    """Hidden states (T, B, 2 H) of both directions, which run side by side; with `keep` also what back-propagation needs.
+
+    The second direction reads the window from its end; its states are turned back.
+    """
     wx, wh, b = p
     B, T = ids.shape
-    H = wh.shape[0]
-    h, c = np.zeros((B, H), np.float32), np.zeros((B, H), np.float32)
-    out, held = np.empty((T, B, H), np.float32), []
-    for t in range(T - 1, -1, -1) if backward else range(T):
-        g = wx[ids[:, t]] + h @ wh + b
-        s = _sigmoid(g[:, : 3 * H])
-        i, f, o, u = s[:, :H], s[:, H : 2 * H], s[:, 2 * H :], np.tanh(g[:, 3 * H :])
+    H = wh.shape[1]
+    both = np.stack([ids, ids[:, ::-1]])
+    gates = np.take_along_axis(wx[:, None], both.transpose(0, 2, 1).reshape(2, 1, T * B, 1), 2).reshape(2, T, B, 4 * H) + b[:, None, None]
+    h, c = np.zeros((2, B, H), np.float32), np.zeros((2, B, H), np.float32)
+    out = np.empty((2, T, B, H), np.float32)
+    held = {k: np.empty((T, 2, B, H), np.float32) for k in ("h", "c", "i", "f", "o", "u", "tc")} if keep else None
+    for t in range(T):
+        g = gates[:, t] + h @ wh
+        s = _sigmoid(g[..., : 3 * H])
+        i, f, o, u = s[..., :H], s[..., H : 2 * H], s[..., 2 * H :], np.tanh(g[..., 3 * H :])
         c2 = f * c + i * u
         tc = np.tanh(c2)
-        h2 = o * tc
         if keep:
-            held.append((t, h, c, i, f, o, u, tc))
-        h, c = h2, c2
-        out[t] = h
-    return out, held
+            for k, v in zip(held, (h, c, i, f, o, u, tc), strict=True):
+                held[k][t] = v
+        h, c = o * tc, c2
+        out[:, t] = h
+    return np.concatenate([out[0], out[1][::-1]], 2), held
 
 
 def _lstm_grad(p, ids, held, dout):
     wx, wh, _ = p
-    H = wh.shape[0]
-    gwx, gwh, gb = np.zeros_like(wx), np.zeros_like(wh), np.zeros(4 * H, np.float32)
-    dh = dc = np.zeros((ids.shape[0], H), np.float32)
-    for t, h, c, i, f, o, u, tc in reversed(held):
-        dh = dh + dout[t]
+    H = wh.shape[1]
+    B, T = ids.shape
+    down = np.stack([dout[..., :H], dout[::-1, :, H:]])
+    back = wh.transpose(0, 2, 1)
+    dh, dc = np.zeros((2, B, H), np.float32), np.zeros((2, B, H), np.float32)
+    dgs = np.empty((2, T, B, 4 * H), np.float32)
+    for t in range(T - 1, -1, -1):
+        c, i, f, o, u, tc = (held[k][t] for k in ("c", "i", "f", "o", "u", "tc"))
+        dh = dh + down[:, t]
         dc = dc + dh * o * (1 - tc * tc)
-        dg = np.concatenate([dc * u * i * (1 - i), dc * c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - u * u)], 1)
-        np.add.at(gwx, ids[:, t], dg)
-        gwh += h.T @ dg
-        gb += dg.sum(0)
-        dh, dc = dg @ wh.T, dc * f
-    return [gwx, gwh, gb]
+        dg = np.concatenate([dc * u * i * (1 - i), dc * c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - u * u)], 2)
+        dgs[:, t] = dg
+        dh, dc = dg @ back, dc * f
+    flat = dgs.reshape(2, T * B, 4 * H)
+    gwh = held["h"].transpose(1, 0, 2, 3).reshape(2, T * B, H).transpose(0, 2, 1) @ flat
+    gwx = np.zeros_like(wx)
+    for k, read in enumerate((ids, ids[:, ::-1])):
+        chars = read.T.reshape(-1)
+        order = np.argsort(chars, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(chars[order]) > 0])
+        gwx[k, chars[order][first]] = np.add.reduceat(flat[k][order], first, axis=0)
+    return [gwx, gwh, flat.sum(1)]
 
 
 def _lse(x, axis):
@@ -205,6 +246,7 @@ def _lse(x, axis):
 def _crf_grad(emit, trans, gold):
     """Mean negative log-likelihood of the gold tags, and its gradients."""
     T, B, K = emit.shape
+    emit = emit.astype(np.float64)
     a, z = np.empty_like(emit), np.zeros_like(emit)
     a[0] = emit[0]
     for t in range(1, T):
@@ -213,21 +255,17 @@ def _crf_grad(emit, trans, gold):
         z[t] = _lse(trans[None] + (emit[t + 1] + z[t + 1])[:, None, :], 2)
     total = _lse(a[-1], 1)
     de = np.exp(a + z - total[None, :, None])
-    dt = np.zeros_like(trans)
-    at = np.arange(B)
-    score = emit[0][at, gold[:, 0]].copy()
-    for t in range(1, T):
-        joint = a[t - 1][:, :, None] + trans[None] + (emit[t] + z[t])[:, None, :] - total[:, None, None]
-        dt += np.exp(joint).sum(0)
-        np.add.at(dt, (gold[:, t - 1], gold[:, t]), -1.0)
-        score += emit[t][at, gold[:, t]] + trans[gold[:, t - 1], gold[:, t]]
-    for t in range(T):
-        de[t][at, gold[:, t]] -= 1.0
+    joint = np.exp(a[:-1, :, :, None] + trans + (emit[1:] + z[1:])[:, :, None, :] - total[None, :, None, None])
+    dt = joint.sum((0, 1))
+    tags = gold.T
+    np.add.at(dt, (tags[:-1], tags[1:]), -1.0)
+    score = np.take_along_axis(emit, tags[..., None], 2).sum((0, 2)) + trans[tags[:-1], tags[1:]].sum(0)
+    np.put_along_axis(de, tags[..., None], np.take_along_axis(de, tags[..., None], 2) - 1.0, 2)
     return float((total - score).mean()), de / B, dt / B
 
 
 @lru_cache(maxsize=2)
-def trained_tagger(hidden: int = 14, steps: int = 220, batch: int = 48, seed: int = 3) -> tuple:
+def trained_tagger(hidden: int = 20, steps: int = 800, batch: int = 48, seed: int = 3) -> tuple:
     """Parameters as arrays, by Adam on the labelled spans; the same on every call."""
     rng = np.random.default_rng(seed)
     table = labelled_spans()
@@ -235,25 +273,24 @@ def trained_tagger(hidden: int = 14, steps: int = 220, batch: int = 48, seed: in
     for r, (text, spans) in enumerate(table):
         ids[r, : len(text)] = encoded(text)
         for k, s, e in spans:
-            gold[r, s:e] = 2 + 2 * k
-            gold[r, s] = 1 + 2 * k
+            gold[r, max(s, 0) : min(e, len(text))] = 2 + 2 * k
+            if s >= 0:
+                gold[r, s] = 1 + 2 * k
     new = lambda *shape: (rng.standard_normal(shape) * 0.2).astype(np.float32)
     bias = np.r_[np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)].astype(np.float32)
-    p = [new(CHARS, 4 * hidden), new(hidden, 4 * hidden), bias.copy(), new(CHARS, 4 * hidden), new(hidden, 4 * hidden),
-         bias.copy(), new(2 * hidden, TAGS), np.zeros(TAGS, np.float32), np.zeros((TAGS, TAGS), np.float32)]
+    p = [new(2, CHARS, 4 * hidden), new(2, hidden, 4 * hidden), np.stack([bias, bias]), new(2 * hidden, TAGS), np.zeros(TAGS, np.float32), np.zeros((TAGS, TAGS), np.float32)]
     m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     for step in range(1, steps + 1):
         rows = rng.integers(0, len(table), batch)
         x, y = ids[rows], gold[rows]
-        f, kept_f = _lstm(p[:3], x, False, True)
-        b, kept_b = _lstm(p[3:6], x, True, True)
-        both = np.concatenate([f, b], 2)
-        _, de, dt = _crf_grad(both @ p[6] + p[7], p[8], y)
-        db = de @ p[6].T
-        grads = _lstm_grad(p[:3], x, kept_f, db[..., :hidden]) + _lstm_grad(p[3:6], x, kept_b, db[..., hidden:])
+        both, kept = _lstm(p[:3], x, True)
+        _, de, dt = _crf_grad(both @ p[3] + p[4], p[5], y)
+        grads = _lstm_grad(p[:3], x, kept, (de @ p[3].T).astype(np.float32))
         grads += [np.einsum("tbh,tbk->hk", both, de), de.sum((0, 1)), dt]
         rate = 0.02 * min(1.0, 2 * (1 - step / (steps + 1)))
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         for q, g, a, s in zip(p, grads, m, v, strict=True):
+            g = g * min(1.0, 5.0 / (norm + 1e-12))
             a += 0.1 * (g - a)
             s += 0.01 * (g * g - s)
             q -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
@@ -262,13 +299,11 @@ def trained_tagger(hidden: int = 14, steps: int = 220, batch: int = 48, seed: in
 
 def tags_of(p: tuple, ids: np.ndarray) -> np.ndarray:
     """Viterbi tags (B, T) of windows."""
-    f, _ = _lstm(p[:3], ids, False, False)
-    b, _ = _lstm(p[3:6], ids, True, False)
-    emit = np.concatenate([f, b], 2) @ p[6] + p[7]
+    emit = _lstm(p[:3], ids, False)[0] @ p[3] + p[4]
     T, B, _ = emit.shape
     best, back = emit[0], np.empty((T, B, TAGS), np.int8)
     for t in range(1, T):
-        every = best[:, :, None] + p[8][None]
+        every = best[:, :, None] + p[5][None]
         back[t] = every.argmax(1)
         best = every.max(1) + emit[t]
     out = np.empty((B, T), np.int64)
@@ -378,29 +413,37 @@ def find_personal_data(
     ones as kind:start:end (code points, end exclusive) by kind and start.  Null and
     empty texts have none; null ids stay, repeated rows are scanned each, extra columns
     are ignored, an empty table gives no rows.  Texts of any length are scanned whole,
-    `batch_windows` windows at a time.
+    `batch_windows` windows at a time.  Equal spans of two
+    windows are one; no two spans of a text overlap but for base spans of two kinds.
     """
     model = trained_tagger()
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
 
+    def found(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        tags = decoded(model, texts, batch_windows)
+        columns: list[list] = [[] for _ in range(7)]
+        for r, t in enumerate(texts):
+            base = base_spans(t)
+            more = added_spans(t, base, reconciled(len(t), *tags[r])) if r in tags else []
+            for k in range(4):
+                columns[k].append(sum(x[0] == k for x in base))
+            columns[4].append(hashlib.sha256(_joined(base).encode()).hexdigest())
+            columns[5].append(_joined([*base, *more]))
+            columns[6].append(len(more))
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
+
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
-            bases = [base_spans(t) for t in texts]
-            tags = decoded(model, texts, batch_windows)
-            columns: list[list] = [[] for _ in range(7)]
-            for r, t in enumerate(texts):
-                base = bases[r]
-                more = added_spans(t, base, reconciled(len(t), *tags[r])) if r in tags else []
-                for k in range(4):
-                    columns[k].append(sum(x[0] == k for x in base))
-                columns[4].append(hashlib.sha256(_joined(base).encode()).hexdigest())
-                columns[5].append(_joined([*base, *more]))
-                columns[6].append(len(more))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names
-            )
+            first, texts, size = 0, [], 0
+            for t in values(b.column(1)):
+                texts.append(t)
+                size += len(t)
+                if len(texts) == 2048 or size > 4_000_000:
+                    yield found(b.column(0).slice(first, len(texts)), texts)
+                    first, texts, size = first + len(texts), [], 0
+            if texts:
+                yield found(b.column(0).slice(first, len(texts)), texts)
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     out = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, schema)
