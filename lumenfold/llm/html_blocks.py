@@ -2,7 +2,7 @@
 
 A page is cut at block-level tags into flat text blocks.  Each block has its word
 count and link density, those of its neighbours, and what encloses it; a decision
-tree trained on the small labelled table below tells article blocks from the rest.
+tree trained on the blocks of the small labelled pages below tells article blocks from the rest.
 """
 
 from __future__ import annotations
@@ -59,6 +59,7 @@ def blocks_of(page: str) -> list[dict]:
     """The text blocks of a page in order: text, n (words), linked (words inside links) and what encloses them."""
     out: list[dict] = []
     stack: list[tuple[str, bool, bool, bool, bool, bool]] = []  # tag, aside, part, main, link, unseen
+    open_tags: dict[str, int] = {}  # a closing tag that opened nowhere is not looked for
     now = ("", False, False, False, False, False)
     chunks: list[tuple[str, bool]] = []
     held = now
@@ -94,13 +95,16 @@ def blocks_of(page: str) -> list[dict]:
         if tag not in INLINE:
             close()
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            while open_tags.get(tag):
+                top = stack.pop()[0]
+                open_tags[top] -= 1
+                if top == tag:
                     break
         elif tag not in VOID and not m[4].rstrip().endswith("/"):
             if tag in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == tag:
                 stack.pop()
+                open_tags[tag] -= 1
+            open_tags[tag] = open_tags.get(tag, 0) + 1
             over = stack[-1] if stack else ("", False, False, False, False, False)
             # a header inside the article holds its headline
             aside = over[1] or (tag in ASIDE and not (tag == "header" and over[3]))
@@ -134,49 +138,84 @@ def features(blocks: list[dict]) -> np.ndarray:
     return np.c_[n, d, before(n), before(d), after(n), after(d), of(1), of(2), main, outside, form]
 
 
-# The labelled table: words, link density, words and links before, words and links after,
-# in an aside, in a named part, in the article, outside the article of a page that has one, form label; 1: article text.
-LABELLED = np.array(
-    [
-        # inside the article element: headline, paragraphs, one-word paragraphs, linked sentences
-        (9, 0.0, 10, 0.0, 24, 0.0, 0, 0, 1, 0, 0, 1), (1, 0.0, 60, 0.0, 45, 0.0, 0, 0, 1, 0, 0, 1),
-        (120, 0.0, 1, 0.0, 8, 0.0, 0, 0, 1, 0, 0, 1), (3, 0.0, 14, 0.0, 7, 0.0, 0, 0, 1, 0, 0, 1),
-        (40, 0.1, 9, 0.0, 2, 0.0, 0, 0, 1, 0, 0, 1), (12, 1.0, 30, 0.0, 25, 0.0, 0, 0, 1, 0, 0, 1),
-        (60, 0.3, 55, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 1), (2, 0.0, 11, 0.0, 3, 0.0, 0, 0, 1, 0, 0, 1),
-        (25, 0.0, 1, 1.0, 12, 0.0, 0, 0, 1, 0, 0, 1), (7, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 1),
-        (1, 0.0, 1, 0.0, 2, 0.0, 0, 0, 1, 0, 0, 1), (2, 0.0, 2, 1.0, 1, 0.0, 0, 0, 1, 0, 0, 1),
-        (4, 0.0, 3, 0.0, 3, 1.0, 0, 0, 1, 0, 0, 1), (5, 0.0, 1, 0.0, 1, 0.0, 0, 0, 1, 0, 0, 1),
-        (3, 0.6, 2, 0.0, 4, 0.0, 0, 0, 1, 0, 0, 1), (1, 1.0, 2, 1.0, 2, 1.0, 0, 0, 1, 0, 0, 1),
-        (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 1), (2, 0.9, 90, 0.0, 6, 0.0, 0, 0, 1, 0, 0, 1),
-        (6, 0.0, 4, 0.9, 9, 1.0, 0, 0, 1, 0, 0, 1), (3, 0.0, 20, 0.0, 1, 0.0, 0, 0, 1, 0, 0, 1),
-        # inside the article, but an aside or a named part of it
-        (11, 0.0, 60, 0.0, 45, 0.0, 0, 1, 1, 0, 0, 0), (30, 0.1, 50, 0.0, 20, 0.0, 1, 0, 1, 0, 0, 0),
-        (2, 1.0, 40, 0.0, 2, 1.0, 1, 0, 1, 0, 0, 0), (80, 0.0, 70, 0.0, 0, 0.0, 0, 1, 1, 0, 0, 0),
-        (1, 0.0, 12, 0.0, 1, 0.0, 1, 0, 1, 0, 0, 0), (45, 0.0, 11, 0.0, 40, 0.0, 1, 1, 1, 0, 0, 0),
-        (2, 0.0, 30, 0.0, 2, 0.0, 0, 0, 1, 0, 1, 0), (4, 0.0, 8, 0.0, 3, 0.0, 0, 0, 1, 0, 1, 0),
-        # outside the article of a page that has one
-        (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 1, 0, 0), (10, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 1, 0, 0),
-        (14, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 1, 0, 0), (90, 0.0, 20, 0.0, 30, 0.0, 0, 1, 0, 1, 0, 0),
-        (35, 0.0, 10, 0.1, 20, 0.0, 0, 0, 0, 1, 0, 0), (8, 0.0, 2, 1.0, 12, 0.0, 0, 0, 0, 1, 0, 0),
-        (22, 0.2, 50, 0.0, 1, 1.0, 1, 1, 0, 1, 0, 0), (3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 0, 1, 0, 0),
-        (60, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1, 0, 0), (150, 0.0, 40, 0.0, 10, 0.0, 0, 0, 0, 1, 0, 0),
-        # pages without an article element: long unlinked runs and their neighbours are text
-        (45, 0.0, 8, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 1), (80, 0.1, 45, 0.0, 70, 0.0, 0, 0, 0, 0, 0, 1),
-        (7, 0.0, 3, 1.0, 50, 0.0, 0, 0, 0, 0, 0, 1), (2, 0.0, 55, 0.0, 48, 0.0, 0, 0, 0, 0, 0, 1),
-        (30, 0.0, 60, 0.0, 4, 1.0, 0, 0, 0, 0, 0, 1), (16, 0.0, 40, 0.0, 5, 0.5, 0, 0, 0, 0, 0, 1),
-        (5, 0.0, 48, 0.0, 35, 0.0, 0, 0, 0, 0, 0, 1), (24, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 1),
-        (11, 0.0, 26, 0.0, 31, 0.0, 0, 0, 0, 0, 0, 1), (13, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
-        (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0, 0, 0), (4, 1.0, 3, 1.0, 45, 0.0, 0, 0, 0, 0, 0, 0),
-        (6, 0.8, 60, 0.0, 5, 0.9, 0, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0),
-        (12, 0.9, 40, 0.0, 9, 1.0, 0, 0, 0, 0, 0, 0), (2, 0.0, 4, 1.0, 1, 1.0, 0, 0, 0, 0, 0, 0),
-        (2, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0, 0, 1, 0), (30, 0.0, 45, 0.0, 40, 0.0, 0, 1, 0, 0, 0, 0),
-        (50, 0.0, 10, 0.0, 12, 0.0, 1, 0, 0, 0, 0, 0), (9, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 0),
-        (65, 0.0, 30, 0.0, 20, 0.0, 1, 1, 0, 0, 0, 0), (7, 0.0, 45, 0.0, 33, 0.0, 0, 1, 0, 0, 0, 0),
-    ]
-)
+def labelled_pages(n: int = 300, seed: int = 9) -> list[str]:
+    """Small pages whose article text is made of the word "art" and all other text of the word "oth"; no feature sees words.
+
+    Some have an article element, some a plain page where only the runs of text and links tell, some one block.
+    """
+    rng = np.random.default_rng(seed)
+    some = lambda a, b: int(rng.integers(a, b))
+    pick = lambda x: x[some(0, len(x))]
+    art, oth = (lambda k: " ".join(["art"] * k)), (lambda k: " ".join(["oth"] * k))
+    link = lambda k, word: f"<a href='/x'>{word(k)}</a>"
+
+    def paragraph(shortest, longest):
+        k = some(shortest, longest)
+        tag = pick(["p", "p", "p", "li", "blockquote", "div"])
+        linked = link(min(k, some(1, 4)), art) + " " if some(0, 6) == 0 else ""
+        return f"<{tag}>{linked}{art(k)}</{tag}>"
+
+    def links():
+        tag = pick(["li", "li", "div", "p"])
+        return "".join(f"<{tag}>{link(some(1, 4), oth)}</{tag}>" for _ in range(some(2, 8)))
+
+    names = ["ad", "advert", "sponsor-box", "promo", "banner", "sidebar", "comments", "related", "newsletter", "cookie-notice", "share-buttons", "widget", "site-header", "footer-links"]
+
+    def part():
+        body = pick([lambda: oth(some(1, 6)), lambda: oth(some(2, 90)), lambda: links(), lambda: f"<p>{oth(some(5, 60))}</p><p>{oth(some(1, 30))}</p>"])()
+        mark = pick(["class", "id"])
+        return pick([f"<div {mark}='{pick(names)}'>{body}</div>", f"<aside>{body}</aside>", f"<section {mark}='{pick(names)}'>{body}</section>"])
+
+    def form():
+        return f"<form><label>{oth(some(1, 5))}</label><p>{oth(some(1, 20))}</p></form>"
+
+    def nav():
+        return pick([f"<nav><ul>{links()}</ul></nav>", f"<header><p>{oth(some(1, 9))}</p>{links()}</header>", f"<ul>{links()}</ul>"])
+
+    def inside():
+        out = [f"<header><h1>{art(some(1, 12))}</h1></header>" if some(0, 4) == 0 else f"<h1>{art(some(1, 12))}</h1>"]
+        for _ in range(some(0, 9)):
+            kind = some(0, 14)
+            if kind == 0:
+                out.append(part())
+            elif kind == 1:
+                out.append(f"<p>{link(some(1, 14), art)}</p>")
+            elif kind == 2:
+                out.append(form() if some(0, 2) else f"<label>{oth(some(1, 5))}</label>")
+            elif kind == 3:
+                out.append(f"<h2>{art(some(1, 8))}</h2>")
+            else:
+                out.append(paragraph(1, 120))
+        return "".join(out)
+
+    pages = []
+    for i in range(n):
+        top, end = nav(), pick([f"<footer>{oth(some(1, 30))}</footer>", f"<footer>{links()}</footer>", part(), nav()])
+        if i % 5 < 3:
+            tag = pick(["article", "article", "main"])
+            plain = f"<div>{oth(some(1, 60))}</div>" if some(0, 2) else ""
+            pages.append(f"{top}{pick([part, nav])()}{plain}<{tag}>{inside()}</{tag}>{plain if some(0, 2) else ''}{end}")
+        elif i % 5 == 3:
+            text = f"<h1>{art(some(2, 10))}</h1>{paragraph(25, 90)}"
+            for _ in range(some(1, 6)):
+                text += pick([lambda: paragraph(14, 90), lambda: paragraph(14, 90), lambda: paragraph(2, 8), lambda: f"<h2>{art(some(2, 8))}</h2>"])() + paragraph(20, 90)
+            pages.append(f"{top}{part()}<ul>{links()}</ul><p>{oth(some(1, 4))}</p>{links()}<div>{text}</div>{links()}<p>{oth(some(1, 4))}</p>{links()}{end}")
+        else:
+            pages.append(pick([art(some(1, 40)), f"<p>{art(some(1, 4))}</p>", f"<p>{art(some(1, 40))}</p>", f"<div><p>{art(some(1, 60))}</p><p>{art(some(1, 60))}</p></div>", f"{art(some(10, 40))}{part()}", links()]))
+    return pages
+
+
+def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
+    """Features and class (1: article text) of the labelled pages' blocks."""
+    x, y = [], []
+    for page in labelled_pages():
+        blocks = blocks_of(page)
+        x.append(features(blocks))
+        y += [b["text"].startswith("art") for b in blocks]
+    return np.concatenate(x), np.array(y, float)
 
 
-def grown(x: np.ndarray, y: np.ndarray, depth: int = 8):
+def grown(x: np.ndarray, y: np.ndarray, depth: int = 10):
     """A CART tree by Gini impurity: a leaf is a class, a node (feature, threshold, low, high)."""
     if depth == 0 or y.min() == y.max():
         return int(y.mean() >= 0.5)
@@ -197,7 +236,7 @@ def grown(x: np.ndarray, y: np.ndarray, depth: int = 8):
 
 @lru_cache(maxsize=1)
 def trained_tree():
-    return grown(LABELLED[:, :-1], LABELLED[:, -1])
+    return grown(*labelled_blocks())
 
 
 def told(tree, x: np.ndarray) -> int:
@@ -218,8 +257,8 @@ def extract_main_text(
     """Per row: page_id, url, text, n_chars (code points).
 
     Null and empty pages give an empty text.  A page cut off inside a tag ends there.
-    Null ids and urls stay null, repeated rows are extracted each, extra columns are
-    ignored, an empty table gives no rows.
+    Null ids and urls stay null, repeated rows and equal ids are extracted each, extra columns
+    are ignored, an empty table gives no rows.  Pages of any length and nesting are read once.
     """
     tree = trained_tree()
 
