@@ -58,37 +58,47 @@ def golden(f, low: float, high: float, rounds: int = 120) -> float:
 
 
 def solve(cases: DataFrame, law: dict = LAW) -> DataFrame:
-    """case_id, n, d, q, loss for rows (case_id, budget, context, gain, cost_kind, cost_scale).
+    """case_id, n, d, q, loss, spent for rows (case_id, budget, context, gain, cost_kind, cost_scale and, if there, effect).
 
-    Loss falls by gain * (q - q0) within q in [0.6, 1]; quality costs cost_scale * g(q) per unit of
-    D.  Each row is independent: a task solves its rows by nested golden sections.
+    Quality q in [0.6, 1] costs cost_scale * g(q) per unit of D above its cost at 0.6.  By the
+    effect "additive" (also where none is given) the loss falls by gain * (q - 0.6); by "tokens"
+    a token counts exp(gain * (q - 0.6)) times.  The budget is an inequality: at the upper end of
+    D some is left.  Each row is independent: a task solves its rows, from a coarse grid over q,
+    by nested golden sections around the best three points.
     """
 
     def g(kind, q):
         return np.exp(q) - 1 if kind == "exp" else q * q if kind == "power" else np.log1p(q)
 
     def one(r):
+        tokens = getattr(r, "effect", "additive") == "tokens"
+
         def best_n(q):
             extra = max(r.cost_scale * (g(r.cost_kind, q) - g(r.cost_kind, 0.6)), 0.0)
+            unit = lambda n: 1e18 * ((6 + ETA * r.context) * n + extra)
 
             def loss(log_n):
                 n = np.exp(log_n)
-                d = min(r.budget / (1e18 * ((6 + ETA * r.context) * n + extra)), D_MAX)
-                return law["e"] + law["a"] * n ** -law["alpha"] + law["b"] * d ** -law["beta"] - r.gain * (q - 0.6)
+                d = min(r.budget / unit(n), D_MAX)
+                worth = d * np.exp(r.gain * (q - 0.6)) if tokens else d
+                return law["e"] + law["a"] * n ** -law["alpha"] + law["b"] * worth ** -law["beta"] - (0.0 if tokens else r.gain * (q - 0.6))
 
-            x = golden(loss, np.log(N_RANGE[0]), np.log(N_RANGE[1]))
-            return loss(x), np.exp(x), min(r.budget / (1e18 * ((6 + ETA * r.context) * np.exp(x) + extra)), D_MAX)
+            n = np.exp(golden(loss, np.log(N_RANGE[0]), np.log(N_RANGE[1])))
+            d = min(r.budget / unit(n), D_MAX)
+            return loss(np.log(n)), n, d, unit(n) * d
 
-        q = golden(lambda q: best_n(q)[0], 0.6, 1.0, 60)
-        q = min((0.6, q, 1.0), key=lambda v: best_n(v)[0])
-        loss, n, d = best_n(q)
-        return (r.case_id, float(n), float(d), float(q), float(loss))
+        grid = np.linspace(0.6, 1.0, 9)
+        near = sorted(grid, key=lambda v: best_n(v)[0])[:3]
+        found = [golden(lambda q: best_n(q)[0], max(0.6, v - 0.05), min(1.0, v + 0.05), 40) for v in near]
+        q = min([0.6, 1.0, *near, *found], key=lambda v: (best_n(v)[0], v))
+        loss, n, d, spent = best_n(q)
+        return (r.case_id, float(n), float(d), float(q), float(loss), float(spent))
 
     def run(it):
         for pdf in it:
-            yield pd.DataFrame([one(r) for r in pdf.itertuples()], columns=["case_id", "n", "d", "q", "loss"])
+            yield pd.DataFrame([one(r) for r in pdf.itertuples()], columns=["case_id", "n", "d", "q", "loss", "spent"])
 
-    return cases.mapInPandas(run, "case_id long, n double, d double, q double, loss double")
+    return cases.mapInPandas(run, "case_id long, n double, d double, q double, loss double, spent double")
 
 
 def equal_quantile(x: Column, levels: list[float]) -> Column:

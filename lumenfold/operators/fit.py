@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.lists import bernstein_cubic, one_hot
 from .evaluation import near_tie
 from .stats import conformal, spearman
+from .store import written
 
 
 def gram(df: DataFrame, x: list[str], y: list[str], by: str | None = None) -> dict:
@@ -279,15 +280,15 @@ def isotonic(df: DataFrame, x: str, y: str, folds: int = 5) -> DataFrame:
     from pyspark.ml.regression import IsotonicRegression
 
     d = df.where(_complete([x, y])).select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    d = d.withColumn("_f", F.pmod(F.xxhash64("_x", "_y"), F.lit(folds)).cast("int"))
+    d = written(d.withColumn("_f", F.pmod(F.xxhash64("_x", "_y"), F.lit(folds)).cast("int")), "isotonic-rows")
     rho = spearman(d, [], "_x", "_y").first()["rho"]
-    cells = d.groupBy("_x", "_f").agg(F.sum("_y").alias("_s"), F.count("*").alias("_n"))
+    cells = written(d.groupBy("_x", "_f").agg(F.sum("_y").alias("_s"), F.count("*").alias("_n")), "isotonic-cells")
     model = IsotonicRegression(featuresCol="_x", labelCol="_m", weightCol="_w", isotonic=rho is None or rho >= 0)
     one = lambda c: c.groupBy("_x").agg((F.sum("_s") / F.sum("_n")).alias("_m"), F.sum("_n").cast("double").alias("_w"))
-    fitted = model.fit(one(cells)).transform(d.select("_x").distinct()).select("_x", F.col("prediction").alias("_p"))
+    fitted = model.fit(one(cells)).transform(cells.select("_x").distinct()).select("_x", F.col("prediction").alias("_p"))
     held = None
     for k in range(folds):
-        part = d.where(F.col("_f") == k).select("_x", "_f").distinct()
+        part = cells.where(F.col("_f") == k).select("_x", "_f")
         p = model.fit(one(cells.where(F.col("_f") != k))).transform(part).select("_x", "_f", F.col("prediction").alias("_q"))
         held = p if held is None else held.unionAll(p)
     z = d.join(fitted, "_x").join(held, ["_x", "_f"])
@@ -299,6 +300,7 @@ def candidate_ladder(df: DataFrame, target: str, loss: str, log_n: str, log_d: s
 
     families: the levels of the family; the first has no column, and other values are all 0.
     """
+    df = written(df.select(target, loss, log_n, log_d, time, family), "ladder-rows")
     low, high = df.agg(F.min(F.col(log_n).cast("double")), F.max(F.col(log_n).cast("double"))).first()
     x = df.withColumns({f"_fam{i}": F.when(F.col(family).isNotNull(), one_hot(F.col(family), families)[i]) for i in range(len(families) - 1)})
     flat = low is None or not high > low
@@ -382,3 +384,184 @@ def compare_configurations(cells: DataFrame, n: str, d: str, loss: str, starts:
     g = g.withColumn("score", (F.col("loo_rmse") + F.col("late_rmse")) / 2)
     chosen = near_tie(g, [], "configuration", "score", PRIORITY).select("chosen")
     return g.crossJoin(F.broadcast(chosen)).withColumn("chosen", F.col("configuration") == F.col("chosen"))  # one row
+
+
+# ---- robust and identifiability fits by sums ---------------------------------------------
+
+
+def weighted_line(df: DataFrame, x: list[str], y: str, weight=None) -> np.ndarray:
+    """Weighted least squares by one pass of sums; `weight` is a Column."""
+    z = df if weight is None else df.withColumns({c: F.col(c) * F.sqrt(weight) for c in [*x, y]})
+    xx, xy, _, _ = gram(z, x, [y])[0]
+    return ridge(xx, xy, 0.0)[:, 0]
+
+
+def robust_regressions(df: DataFrame, x: list[str], y: str, tau: float = 0.9, t: float = 1.345, rounds: int = 25) -> DataFrame:
+    """kind, status, n and coefficients (an array in the order of x) of least squares, the tau quantile and Huber's M estimate.
+
+    Reweighted least squares: each round is one pass of sums over the complete cases, whatever
+    their number; the scale of Huber's is the median absolute residual, from a sketch.
+    """
+    z = written(df.where(_complete([*x, y])).select(*[F.col(c).cast("double").alias(c) for c in [*x, y]]), "regression-rows")
+    xx, _, _, n = gram(z, x, [y]).get(0, (np.zeros((len(x), len(x))), None, None, 0))
+    spark = df.sparkSession
+    schema = "kind string, status string, n long, coefficients array<double>"
+    scale = np.sqrt(np.maximum(np.diag(xx), 1e-300))
+    if n <= len(x) or np.linalg.matrix_rank(xx / np.outer(scale, scale), hermitian=True) < len(x):
+        return spark.createDataFrame([(k, "NOT_IDENTIFIABLE", int(n), None) for k in ("ols", "quantile", "huber")], schema)
+    start = weighted_line(z, x, y)
+    rows = [("ols", "OK", int(n), start.tolist())]
+    error = lambda b: F.col(y) - sum((F.lit(float(v)) * F.col(c) for v, c in zip(b, x, strict=True)), F.lit(0.0))
+    for kind in ("quantile", "huber"):
+        b = start
+        for _ in range(rounds):
+            e = error(b)
+            if kind == "quantile":
+                w = F.when(e >= 0, tau).otherwise(1 - tau) / F.greatest(F.abs(e), F.lit(1e-6))
+            else:
+                s = z.agg(F.percentile_approx(F.abs(e), 0.5, F.lit(100_000))).first()[0] / 0.6744897501960817 or 1e-12
+                w = F.least(F.lit(1.0), F.lit(t * s) / F.greatest(F.abs(e), F.lit(1e-12)))
+            new = weighted_line(z, x, y, w)
+            done = np.max(np.abs(new - b)) < 1e-9 * max(1.0, np.max(np.abs(b)))
+            b = new
+            if done:
+                break
+        rows.append((kind, "OK", int(n), b.tolist()))
+    return spark.createDataFrame(rows, schema)
+
+
+def column_space(df: DataFrame, x: list[str], q: str) -> DataFrame:
+    """rank of x and the share of q (centred) outside its column space, by one pass of sums; 1 is identifiable apart from x, 0 is not."""
+    z = df.where(_complete([*x, q])).withColumn("_one", F.lit(1.0))
+    xx, xq, qq, n = gram(z, ["_one", *x], [q]).get(0, (np.zeros((len(x) + 1,) * 2), np.zeros((len(x) + 1, 1)), np.zeros((1, 1)), 0))
+    scale = np.sqrt(np.maximum(np.diag(xx), 1e-300))
+    unit = xx / np.outer(scale, scale)
+    rank = int(np.linalg.matrix_rank(unit, hermitian=True))
+    c = xq[:, 0] / scale
+    spread = float(qq[0, 0] - xq[0, 0] ** 2 / n) if n else 0.0
+    share = float(qq[0, 0] - c @ np.linalg.pinv(unit, hermitian=True) @ c) / spread if spread > 0 else None
+    return df.sparkSession.createDataFrame([(int(n), rank, share)], "n long, rank long, outside double")
+
+
+def nested_ridge(folds: dict, families: dict[str, list[int]], alphas: list[float]) -> list[tuple]:
+    """(family, fold, alpha, sse, n): each fold is predicted by the alpha that the other folds choose among themselves.
+
+    families: the columns of the Gram matrices that each uses.  All fits come from the folds' sums;
+    of the families the one of the least out-of-fold error is chosen by the caller.
+    """
+    out = []
+    for name, cols in families.items():
+        part = {f: (xx[np.ix_(cols, cols)], xy[cols], yy, n) for f, (xx, xy, yy, n) in folds.items()}
+        for f, (xx, xy, yy, n) in part.items():
+            others = {g: v for g, v in part.items() if g != f}
+            alpha, _ = cross_validated_ridge(others, alphas)
+            b = ridge(sum(v[0] for v in others.values()), sum(v[1] for v in others.values()), alpha)
+            out.append((name, f, alpha, float(np.trace(yy - 2 * b.T @ xy + b.T @ xx @ b)), int(n) * yy.shape[0]))
+    return out
+
+
+def profile_table(df: DataFrame, n: str, d: str, loss: str, points: int = 11, starts: int = 6) -> DataFrame:
+    """parameter, value, sse, inside: the profile of each scaling parameter over a log grid; a task per grid point on the checked, broadcast cells."""
+    spark = df.sparkSession
+    cells = cell_table(df, [n, d, loss])
+    low, high = SCALING_BOUNDS
+    f = scaling_residual(*cells.T)
+    best = min((levenberg(f, s, low, high) for s in low + halton(starts, 5) * (high - low)), key=lambda t: t[1])[0]
+    held = spark.sparkContext.broadcast((cells, best))
+    names = ["e", "a", "alpha", "b", "beta"]
+    jobs = [(names[i], i, float(v)) for i in range(5) for v in profile_points(best, i, points) if low[i] <= v <= high[i]]
+
+    def run(it):
+        table, at = held.value
+        g = scaling_residual(*table.T)
+        base = g(at)
+        sse0 = float(base @ base)
+        for pdf in it:
+            out = []
+            for name, i, v in zip(pdf["parameter"], pdf["i"], pdf["log_value"], strict=True):
+                lo, hi, start = low.copy(), high.copy(), at.copy()
+                lo[i] = hi[i] = start[i] = v
+                _, sse, _ = levenberg(g, start, lo, hi, 60)
+                out.append((name, float(np.exp(v)), sse, bool(sse <= sse0 + 3.84 * sse0 / max(len(base) - 5, 1) + 1e-300)))
+            yield pd.DataFrame(out, columns=["parameter", "value", "sse", "inside"])
+
+    rows = spark.createDataFrame(jobs, "parameter string, i long, log_value double").repartition(len(jobs))
+    return rows.mapInPandas(run, "parameter string, value double, sse double, inside boolean")
+
+
+# Primitive polynomials (degree, coefficients) and initial numbers of the published Sobol sequence, dimensions 2 to 7.
+DIRECTIONS = [(1, 0, [1]), (2, 1, [1, 3]), (3, 1, [1, 3, 1]), (3, 2, [1, 1, 1]), (4, 1, [1, 1, 3, 3]), (4, 4, [1, 3, 5, 13])]
+
+
+def sobol(n: int, dims: int, seed: int | None = None) -> np.ndarray:
+    """Points of the Sobol sequence in the unit cube, up to 7 dimensions; a seed scrambles them by a random digital shift."""
+    bits = 30
+    shift = np.zeros(dims, np.int64) if seed is None else np.random.default_rng(seed).integers(0, 1 << bits, dims)
+    out = np.zeros((n, dims))
+    for j in range(dims):
+        if j == 0:
+            v = [1 << (bits - 1 - i) for i in range(bits)]
+        else:
+            s, a, m = DIRECTIONS[j - 1]
+            v = [m[i] << (bits - 1 - i) for i in range(s)]
+            for i in range(s, bits):
+                x = v[i - s] ^ (v[i - s] >> s)
+                for k in range(1, s):
+                    x ^= ((a >> (s - 1 - k)) & 1) * v[i - k]
+                v.append(x)
+        x = 0
+        for i in range(n):
+            out[i, j] = ((x ^ int(shift[j])) + 0.5 * (seed is not None)) / (1 << bits)
+            x ^= v[((i + 1) & -(i + 1)).bit_length() - 1]
+    return out
+
+
+def frozen_scale_fit(df: DataFrame, n: str, d: str, loss: str, starts: int = 33, seed: int = 7) -> DataFrame:
+    """start, success, cost, the five parameters, rank, condition and near_bound of fits whose scales are frozen first: E, A and B in units of the median loss, residuals in units of its IQR.
+
+    The first start is the frozen law, the others scrambled Sobol points in the inner 90 % of the
+    log bounds; a task per start on the checked, broadcast cells.
+    """
+    spark = df.sparkSession
+    cells = cell_table(df, [n, d, loss])
+    if not len(cells):
+        return spark.createDataFrame([], FROZEN)
+    y = cells[:, 2]
+    unit = float(np.median(y))
+    spread = max(float(np.percentile(y, 75) - np.percentile(y, 25)), 1e-8)
+    low, high = np.log([1e-8, 1e-8, 1e-4, 1e-8, 1e-4]), np.log([1e3, 1e3, 4.0, 1e3, 4.0])
+    law = np.log([LAW_START[0] / unit, LAW_START[1] / unit, LAW_START[2], LAW_START[3] / unit, LAW_START[4]])
+    points = np.vstack([np.clip(law, low, high), low + (0.05 + 0.9 * sobol(starts - 1, 5, seed)) * (high - low)])
+    held = spark.sparkContext.broadcast(cells)
+
+    def run(it):
+        x, t, z = held.value.T
+        scale = np.array([unit, unit, 1.0, unit, 1.0])
+        weight = 1 / np.sqrt(len(z))
+
+        def residual(p):
+            e, a, al, b, be = np.exp(p) * scale
+            return weight * (e + a * x**-al + b * t**-be - z) / spread
+
+        for pdf in it:
+            rows = []
+            for s in pdf["start"]:
+                p, sse, info = levenberg(residual, points[s], low, high, 400)
+                rows.append([s, bool(np.isfinite(sse)), sse / 2, *(np.exp(p) * scale), info["rank"], info["condition"], info["near_bound"]])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FROZEN.split(", ")])
+
+    ids = spark.range(starts, numPartitions=min(starts, 16)).withColumnRenamed("id", "start")
+    return ids.mapInPandas(run, FROZEN)
+
+
+FROZEN = "start long, success boolean, cost double, e double, a double, alpha double, b double, beta double, rank long, condition double, near_bound boolean"
+LAW_START = (1.6898, 0.35398, 0.33998, 1.24031, 0.27988)
+
+
+def fit_summary(fits: DataFrame, near: float = 1e-7, apart: float = 1e-3) -> DataFrame:
+    """The best fit with n_successful and unseparated: whether another start reached the same cost with other parameters (in logs)."""
+    best = fits.where("success").agg(F.min_by(F.struct("cost", "e", "a", "alpha", "b", "beta", "rank", "near_bound"), F.struct("cost", "start")).alias("_b"), F.count("*").alias("n_successful"))
+    x = fits.where("success").crossJoin(F.broadcast(best))  # one row
+    far = sum((F.pow(F.log(F.col(c)) - F.log(F.col(f"_b.{c}")), F.lit(2.0)) for c in ("e", "a", "alpha", "b", "beta")), F.lit(0.0))
+    other = x.agg(F.count_if((F.col("cost") <= F.col("_b.cost") + near) & (F.sqrt(far) > apart)).alias("_n"))
+    return best.crossJoin(F.broadcast(other)).select("_b.*", "n_successful", (F.col("_n") > 0).alias("unseparated"))  # one row each

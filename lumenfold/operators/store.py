@@ -9,7 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The rows' shuffles are of no use once they are written; batches for Python workers hold long texts, so few.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 _scratch: contextvars.ContextVar = contextvars.ContextVar("scratch", default=None)
 
 
@@ -32,12 +33,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read from a table in the shared folder."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    was = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")  # the rows' shuffles are of no use once they are written
+    was = {k: spark.conf.get(k, None) for k in WHILE_WRITING}
     try:
+        for k, v in WHILE_WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEAN_UP) if was is None else spark.conf.set(CLEAN_UP, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     if (made := _scratch.get()) is not None:

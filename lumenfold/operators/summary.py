@@ -151,3 +151,26 @@ def anomalies(df: DataFrame, by: list[str], entries: str) -> DataFrame:
     # reasons are few words
     names = x.select(*by, "field", F.explode("_r").alias("_w")).distinct().groupBy(*by, "field").agg(F.array_join(F.array_sort(F.collect_list("_w")), "|").alias("reasons"))
     return g.join(names, [*by, "field"], "left").withColumn("reasons", F.coalesce("reasons", F.lit("")))
+
+
+def wide(df: DataFrame, by: list[str], level: str, values: list[str]) -> DataFrame:
+    """One wide row by (by, level) and by alone (level ALL): n_total, and of each value its valid and missing counts, mean, deviation, extremes and five quantiles.
+
+    `by` and `level` must have no NULL.  The quantiles of all values and groups are one pass of long rows.
+    """
+    from .ordering import null_safe_left, quantiles
+
+    shares = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+    aggs = [F.count("*").alias("n_total")]
+    for v in values:
+        x = F.col(v).cast("double")
+        aggs += [
+            F.count(x).alias(f"{v}_n"), F.count_if(x.isNull()).alias(f"{v}_missing"), F.avg(x).alias(f"{v}_mean"), F.stddev_samp(x).alias(f"{v}_std"),
+            F.min(x).alias(f"{v}_min"), F.max(x).alias(f"{v}_max"),
+        ]
+    g = with_all(df, by, level, aggs)
+    rows = F.inline(F.array(*[F.struct(F.lit(v).alias("_f"), F.col(v).cast("double").alias("_v")) for v in values]))
+    long = df.select(*by, F.explode(F.array(level, F.lit("ALL"))).alias(level), *values).select(*by, level, rows)
+    q = quantiles(long, [*by, level, "_f"], "_v", shares)
+    q = q.groupBy(*by, level).agg(*[F.max(F.when(F.col("_f") == v, F.col(k))).alias(f"{v}_{k}") for v in values for k in shares])
+    return null_safe_left(g, q, [*by, level])

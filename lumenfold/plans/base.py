@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are work: dealt over all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def r6(x: Column | str) -> Column:
     return F.round(F.col(x) if isinstance(x, str) else x, 6)
 

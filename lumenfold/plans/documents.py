@@ -9,12 +9,12 @@ from ..functions import numeric, text
 from ..functions.hashing import canonical_key, fingerprint, role, split_remainder
 from ..operators import bootstrap, joins, ordering, quality, rows, stats, summary
 from ..operators.store import written
-from .base import DOC_FEATURES, query, r6, rounded, scored_sql, table, weighted_quantile_sql
+from .base import DOC_FEATURES, query, r6, rounded, scored_sql, table, texts, weighted_quantile_sql
 
 
 def _features(spark, d) -> DataFrame:
     """The narrow columns of all texts, cut once and written: what follows reads them as often as it needs."""
-    return written(quality.text_features(table(spark, d, "documents")), "text-features")
+    return written(quality.text_features(texts(spark, d)), "text-features")
 
 
 def _scored(spark, d) -> DataFrame:
@@ -52,7 +52,7 @@ def doc_overlap_flags(spark, d):
 @query(f"""WITH {DOC_FEATURES} SELECT doc_id, lang, source, n_words, round(mean_word_length, 6) AS mean_word_length,
   round(unique_share, 6) AS unique_share, round(no_alpha_share, 6) AS no_alpha_share, n_sentences, role FROM f""")
 def doc_text_features(spark, d):
-    return rounded(quality.text_features(table(spark, d, "documents")), "mean_word_length", "unique_share", "no_alpha_share")
+    return rounded(quality.text_features(texts(spark, d)), "mean_word_length", "unique_share", "no_alpha_share")
 
 
 @query("""WITH x AS (SELECT d.source, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))
@@ -298,7 +298,7 @@ EMAIL_SQL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+"
   (len(regexp_extract_all(coalesce(text, ''), '{EMAIL_SQL}')) + len(regexp_extract_all(regexp_replace(coalesce(text, ''), '{EMAIL_SQL}', ' ', 'g'), 'https?://[^\\s<>"]+')))::BIGINT AS n_redactions FROM documents""")
 def redact_text(spark, d):
     t = F.coalesce("text", F.lit(""))
-    return table(spark, d, "documents").select("doc_id", F.sha2(text.redacted(t), 256).alias("redacted"), text.redactions(t).cast("long").alias("n_redactions"))
+    return texts(spark, d).select("doc_id", F.sha2(text.redacted(t), 256).alias("redacted"), text.redactions(t).cast("long").alias("n_redactions"))
 
 
 @query("""SELECT source, mode, n::BIGINT AS n, round(share, 6) AS share FROM (SELECT source, lang AS mode, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY source) AS share,

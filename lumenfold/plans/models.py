@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lists, numeric
 from ..functions.hashing import role
-from ..operators import allocation, evaluation, fit, joins, ordering, quality, rows, stats, summary
+from ..operators import allocation, bootstrap, evaluation, fit, joins, ordering, quality, rows, stats, summary
 from ..operators.bootstrap import STEPS
 from ..operators.store import written
-from .base import DOC_FEATURES, query, r6, rounded, scored_sql, table
+from .base import DOC_FEATURES, query, r6, rounded, scored_sql, table, texts
 
 POISSON = " + ".join(f"(u >= {int(s * (1 << 52))})::INT" for s in STEPS)
 
@@ -154,7 +155,7 @@ m AS (SELECT 1 AS one, lang, round(avg(n_words), 9) AS n_words, round(avg(n_sent
 
 
 def _scored(spark, d):
-    x = written(quality.text_features(table(spark, d, "documents")), "text-features")
+    x = written(quality.text_features(texts(spark, d)), "text-features")
     return quality.scored(x).withColumn("q", F.round("q", 9))
 
 
@@ -194,7 +195,7 @@ SELECT lang, r::INTEGER AS replicate, count(*)::BIGINT AS n, round(CASE WHEN boo
 
 
 def _replicates(spark, d):
-    x = quality.scored(written(quality.text_features(table(spark, d, "documents")), "text-features"))
+    x = quality.scored(written(quality.text_features(texts(spark, d)), "text-features"))
     return quality.stability_bootstrap(x, ("n_words", "n_sentences"), "lang", "doc_id", REPS, "st")
 
 
@@ -404,7 +405,7 @@ def holdout_rows(spark, d):
 @query(f"""WITH {DOC_FEATURES}, e AS (SELECT min(n_words) AS lo, max(n_words) AS hi FROM f), t AS (SELECT doc_id, (n_words - lo) / (hi - lo)::DOUBLE AS t FROM f, e)
 SELECT doc_id, round(pow(1 - t, 3), 6) AS b0, round(3 * t * pow(1 - t, 2), 6) AS b1, round(3 * t * t * (1 - t), 6) AS b2 FROM t""")
 def spline_basis(spark, d):
-    x = written(quality.text_features(table(spark, d, "documents")).select("doc_id", "n_words"), "words")
+    x = written(quality.text_features(texts(spark, d)).select("doc_id", "n_words"), "words")
     low, high = x.agg(F.min("n_words"), F.max("n_words")).first()
     b = lists.bernstein_cubic(F.col("n_words").cast("double"), float(low), float(high))
     return x.select("doc_id", *[r6(b[i]).alias(f"b{i}") for i in range(3)])
@@ -416,3 +417,151 @@ def typed_fields(spark, d):
     x = table(spark, d, "documents")
     hot = lists.one_hot(F.col("lang"), ["de", "en", "es"])
     return x.select("doc_id", hot[0].alias("is_en"), hot[1].alias("is_es"), numeric.positive_number(F.format_number("n_chars", 0)).alias("amount"), numeric.is_blank(F.col("source")).alias("blank_source"))
+
+
+@query()
+def robust_regressions(spark, d):
+    x = table(spark, d, "lineitem").select(F.lit(1.0).alias("one"), F.col("l_quantity").alias("q"), (F.col("l_extendedprice") / 1000).alias("y"))
+    r = fit.robust_regressions(x, ["one", "q"], "y")
+    return r.select("kind", "status", "n", *[F.round(F.get("coefficients", F.lit(i)), 4).alias(k) for i, k in enumerate(("intercept", "slope"))])
+
+
+@query("""SELECT count(*)::BIGINT AS n, 2::BIGINT AS rank, round(1 - pow(corr(l_discount, l_quantity), 2), 6) AS outside FROM lineitem""")
+def column_space_share(spark, d):
+    return rounded(fit.column_space(table(spark, d, "lineitem"), ["l_quantity"], "l_discount"), "outside")
+
+
+@query()
+def nested_ridge(spark, d):
+    x = table(spark, d, "lineitem").withColumn("one", F.lit(1.0)).withColumn("qd", F.col("l_quantity") * F.col("l_discount")).withColumn("fold", F.col("l_orderkey") % 5)
+    folds = fit.gram(x, ["one", "l_quantity", "l_discount", "qd"], ["l_extendedprice", "l_tax"], "fold")
+    found = fit.nested_ridge(folds, {"linear": [0, 1, 2], "quadratic": [0, 1, 2, 3]}, [1e-5, 1e-3, 1e-1, 10.0, 1000.0])
+    f = spark.createDataFrame(found, "family string, fold long, alpha double, sse double, n long")
+    g = f.groupBy("family").agg(F.sqrt(F.sum("sse") / F.sum("n")).alias("oof_rmse"), F.count("*").alias("folds"))
+    return evaluation.near_tie(g, [], "family", "oof_rmse", ["linear", "quadratic"], 0.0).select("chosen", F.round("best", 3).alias("oof_rmse"))
+
+
+@query()
+def profile_likelihood(spark, d):
+    return fit.profile_table(_cells(spark, d), "n", "t", "y")
+
+
+@query("""SELECT page_id, 'fi' || url AS normal, NULLIF(lower(regexp_extract(url, '^https?://[^/]+/([^/?#]+/[^/?#]+)', 1)), '') AS repository, page_id::VARCHAR AS pretrained FROM pages""")
+def text_identities(spark, d):
+    from ..functions import text
+
+    p = table(spark, d, "pages")
+    said = F.concat(F.lit("pretrained="), F.col("page_id").cast("string"), F.lit(",dtype=x"))
+    return p.select("page_id", text.nfkc(F.concat(F.lit("ﬁ"), "url")).alias("normal"), text.repository_of(F.col("url")).alias("repository"), text.argument(said, "pretrained").alias("pretrained"))
+
+
+@query("""SELECT event_id, (ts + INTERVAL 8 HOUR)::DATE AS local_day, ts::DATE + ((user_id % 9) // 2)::INTEGER AS middle FROM events""")
+def local_dates(spark, d):
+    from ..functions import dates
+
+    e = table(spark, d, "events")
+    day = F.to_date("ts")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return e.select("event_id", dates.local_date(F.floor(seconds), "Asia/Shanghai").alias("local_day"), dates.midpoint(day, F.date_add(day, (F.col("user_id") % 9).cast("int"))).alias("middle"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN user_id::DOUBLE WHEN 1 THEN user_id::DOUBLE WHEN 2 THEN CASE WHEN user_id = user_id + 1 THEN 0 END ELSE NULL END AS amount FROM events""")
+def token_amounts(spark, d):
+    u, k = F.col("user_id").cast("string"), F.col("event_id") % 4
+    said = F.when(k == 0, u).when(k == 1, F.concat(u, F.lit(", "), u)).when(k == 2, F.concat(u, F.lit(","), (F.col("user_id") + 1).cast("string"))).otherwise("unknown")
+    return table(spark, d, "events").select("event_id", numeric.token_amount(said).alias("amount"))
+
+
+@query(scored_sql() + """, zz AS (SELECT doc_id, [z_mean_word_length, z_unique_share, z_no_alpha_share] AS z FROM s), p AS (SELECT doc_id, z, list_filter(z, lambda v: v IS NOT NULL) AS p FROM zz)
+SELECT doc_id, round(CASE WHEN len(p) = 3 THEN list_avg(p) END, 6) AS complete_mean, round(CASE WHEN len(p) > 0 THEN list_avg(p) END, 6) AS partial_mean, len(p)::INTEGER AS n_valid, round(CASE WHEN len(p) > 1 THEN list_stddev_pop(p) END, 6) AS spread FROM p""")
+def partial_means(spark, d):
+    x = quality.scored(written(quality.text_features(texts(spark, d)), "text-features"))
+    z = [F.col(f"z_{v}") for v in quality.BOUNDED]
+    return rounded(
+        x.select("doc_id", numeric.strict_mean(*z).alias("complete_mean"), numeric.skipping_mean(*z).alias("partial_mean"), sum(v.isNotNull().cast("int") for v in z).alias("n_valid"), numeric.skipping_std(*z).alias("spread")),
+        "complete_mean", "partial_mean", "spread",
+    )
+
+
+@query("""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN [embedding[1]::DOUBLE, NULL, 'nan'::DOUBLE, 'inf'::DOUBLE] ELSE [embedding[1]::DOUBLE, embedding[2]::DOUBLE, NULL, '-inf'::DOUBLE] END AS x FROM embeddings)
+SELECT vec_id, (vec_id % 4 = 0)::INT AS nans, 1 AS nulls, (vec_id % 4 = 0)::INT AS posinf, (vec_id % 4 <> 0)::INT AS neginf FROM e""")
+def element_counts(spark, d):
+    e, inf = F.col("embedding"), lambda v: F.lit(float(v))
+    x = F.when(F.col("vec_id") % 4 == 0, F.array(e[0].cast("double"), F.lit(None), inf("nan"), inf("inf"))).otherwise(F.array(e[0].cast("double"), e[1].cast("double"), F.lit(None), inf("-inf")))
+    c = lists.element_counts(x)
+    return table(spark, d, "embeddings").select("vec_id", *[c[k].alias(k) for k in ("nulls", "nans", "posinf", "neginf")])
+
+
+SCOPE_METRICS = {"mean": ("q", "mean"), "median": ("q", "median"), "std": ("q", "std"), "high_rate": ("high", "rate"), "range_median": ("r", "median"), "spread_median": ("s", "median")}
+
+
+def _draws_sql():
+    long = " UNION ALL ".join(f"SELECT event_type AS scope, event_id AS k, '{c}' AS c, {v} AS v FROM events" for c, v in (("q", "value::DOUBLE"), ("high", "(abs(value - 50) > 20)::INT::DOUBLE"), ("r", "abs(value - 50)::DOUBLE"), ("s", "(value * value / 100)::DOUBLE")))
+    return f"""x AS ({long}), u AS (SELECT scope, c, r, v, CASE WHEN r = 0 THEN 0 ELSE ('0x' || substr(sha256('o6|' || c || '|' || r::VARCHAR || '|' || k::VARCHAR), 1, 13))::UBIGINT END AS u FROM x, (SELECT unnest(range(0, 7)) AS r) WHERE v IS NOT NULL),
+e AS (SELECT scope, c, r, v, unnest(range(0, CASE WHEN r = 0 THEN 1 ELSE {POISSON} END)) FROM u),
+g AS (SELECT scope, c, r, avg(v) AS m, quantile_cont(v, 0.5) AS h, stddev_samp(v) AS sd FROM e GROUP BY ALL),
+d AS (SELECT scope, 'mean' AS metric, r, m AS v FROM g WHERE c = 'q' UNION ALL SELECT scope, 'median', r, h FROM g WHERE c = 'q' UNION ALL SELECT scope, 'std', r, sd FROM g WHERE c = 'q' UNION ALL SELECT scope, 'high_rate', r, m FROM g WHERE c = 'high'
+  UNION ALL SELECT scope, 'range_median', r, h FROM g WHERE c = 'r' UNION ALL SELECT scope, 'spread_median', r, h FROM g WHERE c = 's')"""
+
+
+def _scope_draws(spark, d):
+    v = F.col("value")
+    x = table(spark, d, "events").select("event_type", "event_id", v.alias("q"), (F.abs(v - 50) > 20).cast("int").alias("high"), F.abs(v - 50).alias("r"), (v * v / 100).alias("s"))
+    return written(bootstrap.scope_draws(x, "event_type", "event_id", SCOPE_METRICS, 6, "o6"), "scope-draws")
+
+
+@query(f"""WITH {_draws_sql()} SELECT scope, metric, round(max(v) FILTER (r = 0), 6) AS estimate, round(quantile_cont(v, 0.5) FILTER (r > 0), 6) AS median, round(quantile_cont(v, 0.025) FILTER (r > 0), 6) AS low,
+  round(quantile_cont(v, 0.975) FILTER (r > 0), 6) AS high, count(v) FILTER (r > 0)::BIGINT AS replicates FROM d GROUP BY scope, metric""")
+def scope_bootstrap(spark, d):
+    return rounded(bootstrap.scope_intervals(_scope_draws(spark, d)), "estimate", "median", "low", "high")
+
+
+@query(f"""WITH {_draws_sql()}, z AS (SELECT a.metric, a.r, a.v - b.v AS v FROM d a JOIN d b USING (metric, r) WHERE a.scope = 'click' AND b.scope = 'view')
+SELECT 'click' AS scope_a, 'view' AS scope_b, metric, round(max(v) FILTER (r = 0), 6) AS difference, round(quantile_cont(v, 0.5) FILTER (r > 0), 6) AS median, round(quantile_cont(v, 0.025) FILTER (r > 0), 6) AS low,
+  round(quantile_cont(v, 0.975) FILTER (r > 0), 6) AS high, round(avg((v > 0)::INT) FILTER (r > 0), 6) AS share_above FROM z GROUP BY metric""")
+def scope_differences(spark, d):
+    return rounded(bootstrap.scope_differences(_scope_draws(spark, d), [("click", "view")]), "difference", "median", "low", "high", "share_above")
+
+
+def _wide_sql():
+    cols = []
+    for v in ("n_words", "n_sentences", "mean_word_length"):
+        cols += [f"count({v})::BIGINT AS {v}_n", f"count(*) FILTER ({v} IS NULL)::BIGINT AS {v}_missing", f"round(avg({v}), 6) AS {v}_mean", f"round(stddev_samp({v}), 6) AS {v}_std", f"round(min({v})::DOUBLE, 6) AS {v}_min", f"round(max({v})::DOUBLE, 6) AS {v}_max"]
+        cols += [f"round(quantile_cont({v}, {q}), 6) AS {v}_{k}" for k, q in (("p05", 0.05), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95))]
+    return f"""WITH {DOC_FEATURES}, x AS (SELECT 'all' AS scope, lang AS l, n_words, n_sentences, mean_word_length FROM f UNION ALL SELECT 'long', lang, n_words, n_sentences, mean_word_length FROM f WHERE n_words > 300)
+SELECT scope, CASE WHEN grouping(l) = 1 THEN 'ALL' ELSE l END AS lang, count(*)::BIGINT AS n_total, {", ".join(cols)} FROM x GROUP BY GROUPING SETS ((scope, l), (scope))"""
+
+
+@query(_wide_sql())
+def scope_wide_summary(spark, d):
+    x = written(quality.text_features(texts(spark, d)), "text-features")
+    x = summary.scoped(x, {"all": F.lit(True), "long": F.col("n_words") > 300})
+    w = summary.wide(x, ["scope"], "lang", ["n_words", "n_sentences", "mean_word_length"])
+    return rounded(w, *[c for c in w.columns if c.rsplit("_", 1)[-1] in ("mean", "std", "p05", "p25", "p50", "p75", "p95")], *[f"{v}_{k}" for v in ("n_words", "n_sentences", "mean_word_length") for k in ("min", "max")], digits=6)
+
+
+@query()
+def frozen_scale_fit(spark, d):
+    s = fit.fit_summary(written(fit.frozen_scale_fit(_cells(spark, d), "n", "t", "y", 9), "frozen-fits"))
+    return rounded(s, "cost", "e", "a", "alpha", "b", "beta", digits=4)
+
+
+@query()
+def budget_scenarios(spark, d):
+    grid = lambda name, values: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
+    x = spark.range(1).select(grid("budget", [1e18, 1e20, 1e22])).select("*", grid("context", [2048.0, 32768.0])).select("*", grid("cost_kind", ["exp", "power", "log"]))
+    x = x.select("*", grid("effect", ["additive", "tokens"])).select("*", grid("gain", [0.0, 0.1, 0.8])).withColumn("cost_scale", F.lit(1.0))
+    x = x.withColumn("case_id", F.row_number().over(Window.orderBy("budget", "context", "cost_kind", "effect", "gain")).cast("long"))  # 108 rows
+    s = allocation.solve(x.repartition(16))
+    s = s.join(x, "case_id").withColumn("spent_share", F.col("spent") / F.col("budget"))
+    return rounded(s.select("budget", "context", "cost_kind", "effect", "gain", "n", "d", "q", "loss", "spent_share"), "n", "d", "q", "loss", "spent_share")
+
+
+@query("""SELECT o_orderkey FROM orders ORDER BY abs(epoch(o_orderdate) - epoch(TIMESTAMP '2031-06-15')), o_orderkey LIMIT 3""")
+def nearest_dates(spark, d):
+    return joins.around(table(spark, d, "orders"), "o_orderdate", "2031-06-15", 30, 3, "o_orderkey").select("o_orderkey")
+
+
+@query("""SELECT c_custkey, (('0x' || substr(sha256('fold' || c_nationkey::VARCHAR), 1, 16))::UBIGINT % 4)::INTEGER AS fold FROM customer""")
+def group_folds(spark, d):
+    return table(spark, d, "customer").select("c_custkey", rows.group_fold(F.col("c_nationkey"), 4).alias("fold"))

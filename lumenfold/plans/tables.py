@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, jsonx, lists, numeric
 from ..functions import text as texts
 from ..operators import allocation, bootstrap, checks, evaluation, fit, joins, ordering, rows, stats, summary
+from . import base
 from .base import query, r6, rounded, table
 
 
@@ -333,11 +334,28 @@ def gram_ols(spark, d):
     return spark.createDataFrame([(round(float(b[0, 0]), 3), round(float(b[1, 0]), 3))], "intercept double, slope double")
 
 
-@query()
+def _ridge_sql():
+    pairs = ["aa", "ab", "ac", "bb", "bc", "cc", "ay", "by", "cy", "az", "bz", "cz", "yy", "zz"]
+    own = ", ".join(f"sum({p[0]} * {p[1]}) AS {p}_" for p in pairs)
+    rest = ", ".join(f"t.{p}_ - o.{p}_ AS {p}_" for p in pairs)
+    beta = lambda v: f"""((d*d-r*r)*{v}1 + (q*r-p*d)*{v}2 + (p*r-q*d)*{v}3)/det/sa AS {v}b1, ((q*r-p*d)*{v}1 + (d*d-q*q)*{v}2 + (p*q-r*d)*{v}3)/det/sb AS {v}b2,
+      ((p*r-q*d)*{v}1 + (p*q-r*d)*{v}2 + (d*d-p*p)*{v}3)/det/sc AS {v}b3"""
+    sse = lambda v: f"""{v}{v}_ - 2*({v}b1*a{v}_ + {v}b2*b{v}_ + {v}b3*c{v}_) + {v}b1*{v}b1*aa_ + {v}b2*{v}b2*bb_ + {v}b3*{v}b3*cc_ + 2*({v}b1*{v}b2*ab_ + {v}b1*{v}b3*ac_ + {v}b2*{v}b3*bc_)"""
+    return f"""WITH x AS (SELECT l_orderkey % 5 AS f, 1.0::DOUBLE AS a, l_quantity::DOUBLE AS b, l_discount::DOUBLE AS c, l_extendedprice::DOUBLE AS y, l_tax::DOUBLE AS z FROM lineitem),
+o AS (SELECT f, count(*)::DOUBLE AS n, {own} FROM x GROUP BY f), t AS (SELECT {", ".join(f"sum({p}_) AS {p}_" for p in pairs)} FROM o),
+g AS (SELECT o.f, alpha, {rest} FROM o, t, (SELECT unnest([1e-5, 1e-3, 1e-1, 10.0, 1000.0]) AS alpha)),
+h AS (SELECT *, sqrt(aa_) AS sa, sqrt(bb_) AS sb, sqrt(cc_) AS sc FROM g),
+m AS (SELECT f, alpha, sa, sb, sc, ab_/(sa*sb) AS p, ac_/(sa*sc) AS q, bc_/(sb*sc) AS r, 1 + alpha AS d, ay_/sa AS y1, by_/sb AS y2, cy_/sc AS y3, az_/sa AS z1, bz_/sb AS z2, cz_/sc AS z3 FROM h),
+s AS (SELECT *, d*(d*d-r*r) - p*(p*d-r*q) + q*(p*r-d*q) AS det FROM m), b AS (SELECT f, alpha, {beta("y")}, {beta("z")} FROM s),
+e AS (SELECT alpha, sum({sse("y")} + {sse("z")}) / sum(2 * n) AS v FROM b JOIN o USING (f) GROUP BY alpha)
+SELECT alpha::DOUBLE AS alpha, round(v, 0) AS oof_mse, v = min(v) OVER () AS chosen FROM e"""
+
+
+@query(_ridge_sql())
 def ridge_cross_validated(spark, d):
     x = table(spark, d, "lineitem").withColumn("one", F.lit(1.0)).withColumn("fold", F.col("l_orderkey") % 5)
     best, scores = fit.cross_validated_ridge(fit.gram(x, ["one", "l_quantity", "l_discount"], ["l_extendedprice", "l_tax"], "fold"), [1e-5, 1e-3, 1e-1, 10.0, 1000.0])
-    return spark.createDataFrame([(a, float(s), a == best) for a, s in scores.items()], "alpha double, oof_mse double, chosen boolean")
+    return spark.createDataFrame([(a, float(round(s)), a == best) for a, s in scores.items()], "alpha double, oof_mse double, chosen boolean")
 
 
 @query("""WITH x AS (SELECT l_returnflag AS g, l_quantity - avg(l_quantity) OVER (PARTITION BY l_returnflag) AS x, l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_returnflag) AS y FROM lineitem)
@@ -369,7 +387,7 @@ def closed_form_budget(spark, d):
 def budget_solver(spark, d):
     x = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("case_id"), F.lit(1e20).alias("budget"), F.lit(2048.0).alias("context"),
         (F.col("n_regionkey") * 0.1).cast("double").alias("gain"), F.element_at(F.array(F.lit("exp"), F.lit("power"), F.lit("log")), F.col("n_nationkey") % 3 + 1).alias("cost_kind"), F.lit(1.0).alias("cost_scale"))
-    return rounded(allocation.solve(x), "n", "d", "q", "loss")
+    return rounded(allocation.solve(x).drop("spent"), "n", "d", "q", "loss")
 
 
 POISSON = " + ".join(f"(u >= {int(s * (1 << 52))})::INT" for s in bootstrap.STEPS)
@@ -461,7 +479,7 @@ def running_counts(spark, d):
 
 @query("""SELECT conv_id, turn, sha256(regexp_replace(regexp_replace(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+', '[EMAIL]', 'g'), 'https?://[^\\s<>"]+', '[URL]', 'g')) AS redacted FROM conversations""")
 def redact_conversations(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.sha2(texts.redacted(F.coalesce("text", F.lit(""))), 256).alias("redacted"))
+    return base.texts(spark, d, "conversations").select("conv_id", "turn", F.sha2(texts.redacted(F.coalesce("text", F.lit(""))), 256).alias("redacted"))
 
 
 @query("""WITH x AS (SELECT a.o_totalprice AS p, CASE WHEN a.o_orderkey % 10 = 0 THEN a.o_totalprice + 0.5 ELSE a.o_totalprice END AS q, a.o_orderstatus AS s, CASE WHEN a.o_orderkey % 7 = 0 THEN NULL ELSE a.o_orderstatus END AS t FROM orders a)

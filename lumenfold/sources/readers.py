@@ -15,6 +15,12 @@ from pyspark.sql.types import StructType
 from ..operators.quality import of_roles
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it has fewer splits than they are (a file of one row group is one split), else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def csv(spark: SparkSession, paths: str | list[str], schema: StructType | str, columns: list[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
     """Header CSV by an explicit schema; a byte-order mark does not reach the first name."""
     df = spark.read.csv(paths, schema=schema, header=True, encoding=encoding, enforceSchema=True, mode="PERMISSIVE")

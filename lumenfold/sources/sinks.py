@@ -33,6 +33,16 @@ def report_csv(df: DataFrame, path: str, columns: list[str], gzip: bool = False,
     (w.option("compression", "gzip") if gzip else w).csv(path)
 
 
+def markdown(df: DataFrame, columns: list[str], most: int = 1000) -> str:
+    """A small report as a Markdown table, in the order of its rows; an error where it is not small."""
+    rows = df.select(*columns).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows are no report")
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [columns, ["---"] * len(columns), *[[cell(v) for v in r] for r in rows]]
+    return "".join("| " + " | ".join(x) + " |\n" for x in lines)
+
+
 def without_nan(x: Column, kind: DataType) -> Column:
     """NULL for NaN and infinities, inside arrays, structs and maps too."""
     if isinstance(kind, (DoubleType, FloatType)):

@@ -273,3 +273,211 @@ def test_streams_equal_batches(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "o2"))
     whole = spark.read.parquet(str(src)).groupBy(F.window(F.col("ts").cast("timestamp"), "1 day"), "event_type").agg(F.count("*").alias("n"))
     assert got.join(whole, ["window", "event_type", "n"]).count() == got.count() > 0
+
+
+# ---- order in buckets
+
+def ordered_rows():
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(900):
+        g = ("a", "b", None)[int(rng.integers(3))]
+        v = None if rng.random() < 0.05 else float(rng.choice([0.5, 0.5, 0.5, rng.normal()]))
+        rows.append((g, int(i), v, float(rng.integers(0, 4))))
+    return rows + [("only", 10_000, None, 0.0)]
+
+
+def test_ranks_quantiles_and_carries_equal_plain_python(spark):
+    rows = ordered_rows()
+    d = spark.createDataFrame(rows, "g string, k long, v double, w double").repartition(5)
+    groups = {g: sorted((r for r in rows if r[0] == g), key=lambda r: r[1]) for g in ("a", "b", None, "only")}
+    for descending in (False, True):
+        got = {r.k: r.place for r in ordering.row_ranks(d.where("v IS NOT NULL"), ["g"], "v", "k", "place", descending).collect()}
+        for part in groups.values():
+            order = sorted((r for r in part if r[2] is not None), key=lambda r: (-r[2] if descending else r[2], r[1]))
+            assert all(got[r[1]] == i for i, r in enumerate(order, 1))
+    q = {r.g: (r.p10, r.p50, r.p99) for r in ordering.quantiles(d, ["g"], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}).collect()}
+    t = {r.g: r.p50 for r in ordering.quantiles(d, ["g"], "v", {"p50": 0.5}, "w").collect()}
+    for g in ("a", "b", None):
+        v = [r[2] for r in groups[g] if r[2] is not None]
+        assert np.allclose(q[g], np.quantile(v, [0.1, 0.5, 0.99]))
+        assert np.isclose(t[g], np.quantile(np.repeat(v, [int(r[3]) for r in groups[g] if r[2] is not None]), 0.5))
+    assert "only" not in q and ordering.quantiles(d.limit(0), [], "v", {"p": 0.5}).count() == 0
+    for before in (False, True):
+        got = {r.k: r.last for r in ordering.carried(d, ["g"], F.col("k"), ["k"], "k", "v", "last", before).collect()}
+        for part in groups.values():
+            last = None
+            for r in part:
+                if before:
+                    assert got[r[1]] == last
+                last = r[2] if r[2] is not None else last
+                if not before:
+                    assert got[r[1]] == last
+
+
+def test_late_dates_and_positional_rows(spark):
+    d = spark.createDataFrame([(i, f"2024-01-{1 + i % 10:02d}") for i in range(40)] + [(99, None)], "i long, t string").withColumn("t", F.to_date("t"))
+    got = rows.late_dates(d, "t").collect()
+    assert {str(r.cut_date) for r in got} == {"2024-01-08"}  # place floor(0.8 * 9) of ten dates
+    assert {r.i: r.is_late for r in got}[99] is None
+    with pytest.raises(ValueError):
+        joins.positional(d.select("i"), d.where("i < 39").select("i"), "i", ["i"])
+
+
+# ---- fits by sums
+
+def test_ladder_equals_numpy(spark):
+    rng = np.random.default_rng(5)
+    n = 200
+    loss, size, dd, time = rng.normal(2, 0.3, n), rng.normal(1, 1, n), rng.normal(4, 1, n), rng.normal(0, 30, n)
+    family = rng.choice(["x", "y", "z"], n)
+    y = 50 - 9 * loss + 3 * size + (family == "y") * 2 + rng.normal(0, 1, n)
+    data = [(float(a), float(b), float(c), float(d), float(e), str(f)) for a, b, c, d, e, f in zip(y, loss, size, dd, time, family, strict=True)]
+    data += [(None, 1.0, 1.0, 1.0, 1.0, "x"), (1.0, float("nan"), 1.0, 1.0, 1.0, "x")]
+    t = spark.createDataFrame(data, "y double, loss double, n double, d double, t double, f string").repartition(3)
+    got = {r.candidate: r for r in fit.candidate_ladder(t, "y", "loss", "n", "d", "t", "f", ["x", "y", "z"]).collect()}
+    assert len(got) == 9 and all(r.status == "OK" for r in got.values())
+    fam = np.c_[family == "y", family == "z"].astype(float)
+    u = (size - min(size.min(), 1.0)) / (max(size.max(), 1.0) - min(size.min(), 1.0))
+    spline = np.c_[(1 - u) ** 3, 3 * u * (1 - u) ** 2, 3 * u**2 * (1 - u)]
+    designs = {
+        "LOSS_SIZE_FAMILY_TIME": np.c_[loss, size, fam, time], "LOSS_SIZE_LOG_D": np.c_[loss, size, dd], "LOSS_SIZE_FAMILY_TIME_SPLINE_DF4": np.c_[spline, loss, time, fam], "LOSS_SIZE_LINEAR": np.c_[loss, size],
+    }
+    for k, x in designs.items():
+        x = np.c_[np.ones(n), x]
+        rest = fit.leave_one_out(x, y)
+        level = min(1.0, math.ceil((n + 1) * 0.95) / n)
+        assert math.isclose(got[k].loo_rmse, math.sqrt(np.mean(rest**2)), rel_tol=1e-6), k
+        assert math.isclose(got[k].half_width, np.quantile(np.abs(rest), level, method="higher"), rel_tol=1e-6)
+    assert got["LOSS_MONOTONE"].rmse < got["CONSTANT"].rmse and got["LOSS_MONOTONE"].half_width > 0
+    few = {r.candidate: r.status for r in fit.ladder(t.limit(2), "y", {"CONSTANT": [], "L": ["loss"]}).collect()}
+    assert few == {"CONSTANT": "TOO_FEW", "L": "TOO_FEW"}
+    same = fit.ladder(t.withColumn("copy", F.col("loss")), "y", {"TWICE": ["loss", "copy"]}).first()
+    assert same.status == "NOT_IDENTIFIABLE" and same.rmse is None
+
+
+def test_robust_regressions_equal_numpy(spark):
+    rng = np.random.default_rng(6)
+    x = np.c_[np.ones(500), rng.normal(size=500)]
+    y = x @ [1.0, 2.0] + rng.standard_t(3, 500)
+    t = spark.createDataFrame([(1.0, float(a), float(b)) for a, b in zip(x[:, 1], y, strict=True)], "one double, x double, y double").repartition(3)
+    got = {r.kind: r for r in fit.robust_regressions(t, ["one", "x"], "y").collect()}
+    assert np.allclose(got["ols"].coefficients, np.linalg.lstsq(x, y, rcond=None)[0])
+    assert np.allclose(got["huber"].coefficients, [1, 2], atol=0.2)
+    below = np.mean(y <= x @ np.array(got["quantile"].coefficients))
+    assert abs(below - 0.9) < 0.02
+    assert {r.status for r in fit.robust_regressions(t.limit(2), ["one", "x"], "y").collect()} == {"NOT_IDENTIFIABLE"}
+    s = fit.column_space(t.withColumn("q", 2 * F.col("x") + 1), ["x"], "q").first()
+    assert s.rank == 2 and s.outside < 1e-9
+
+
+def test_configurations_recover_the_law(spark):
+    law = allocation.LAW
+    data = [(n, d, law["e"] + law["a"] * n ** -law["alpha"] + law["b"] * d ** -law["beta"]) for n in (0.1, 0.5, 1.0, 5.0) for d in (1.0, 4.0, 16.0, 64.0, 200.0, 290.0)]
+    got = fit.compare_configurations(spark.createDataFrame(data, "n double, d double, y double"), "n", "d", "y").collect()
+    assert len(got) == 4 and sum(r.chosen for r in got) == 1 and all(r.score < 0.01 for r in got)
+    with pytest.raises(ValueError):
+        fit.cell_table(spark.range(10), ["id"], most=9)
+
+
+def test_nested_choice_never_sees_its_fold(spark):
+    rng = np.random.default_rng(7)
+    x = np.c_[np.ones(300), rng.normal(size=(300, 2))]
+    y = (x @ [1.0, 0.5, 0.0])[:, None] + rng.normal(size=(300, 1))
+    f = np.arange(300) % 5
+    folds = {k: (x[f == k].T @ x[f == k], x[f == k].T @ y[f == k], y[f == k].T @ y[f == k], int((f == k).sum())) for k in range(5)}
+    alphas = [1e-3, 1.0, 100.0]
+    for name, k, alpha, sse, n in fit.nested_ridge(folds, {"all": [0, 1, 2], "two": [0, 1]}, alphas):
+        cols = [0, 1, 2] if name == "all" else [0, 1]
+        inner = {}
+        for a in alphas:
+            inner[a] = 0.0
+            for j in range(5):
+                if j != k:
+                    m = (f != k) & (f != j)
+                    b = fit.ridge(x[m][:, cols].T @ x[m][:, cols], x[m][:, cols].T @ y[m], a)
+                    inner[a] += float(((y[f == j] - x[f == j][:, cols] @ b) ** 2).sum())
+        assert alpha == min(inner, key=inner.get)
+        b = fit.ridge(x[f != k][:, cols].T @ x[f != k][:, cols], x[f != k][:, cols].T @ y[f != k], alpha)
+        assert math.isclose(sse, float(((y[f == k] - x[f == k][:, cols] @ b) ** 2).sum()), rel_tol=1e-9) and n == 60
+
+
+def test_validation_statuses(spark):
+    data = [("ok", i % 3, float(i), float(i) + 0.1) for i in range(20)] + [("few", 0, 1.0, 1.0)] + [("bad", i % 2, float(i), float(-i)) for i in range(9)] + [("flat", i % 2, 3.0, 3.0) for i in range(6)] + [("ok", 1, None, 2.0)]
+    got = {r.g: r.status for r in evaluation.qualification(spark.createDataFrame(data, "g string, c int, y double, p double"), ["g"], "y", "p", "c").collect()}
+    assert got == {"ok": "SUPPORTED", "few": "STRESS_ONLY", "bad": "FAILED", "flat": "FAILED"}
+    x = spark.createDataFrame([(v,) for v in (-1.0, 0.0, 0.5, 1.0, 2.0)], "v double")
+    s = spark.createDataFrame([(i / 8,) for i in range(1, 9)], "s double")
+    got = {r.v: (r.level, r.status, r.usable) for r in allocation.quantile_bridge(x, "v", s, "s", [0.1, 0.2, 0.3, 0.4]).collect()}
+    assert got[0.5] == (0.2, "IN_SUPPORT", True) and got[1.0] == (0.4, "IN_SUPPORT", True)
+    assert got[-1.0] == (0.1, "OUT_OF_SUPPORT_LOW", False) and got[2.0] == (0.4, "OUT_OF_SUPPORT_HIGH", False)
+
+
+def test_role_leaks_and_nested_nan(spark, tmp_path):
+    d = spark.createDataFrame([(1, "a"), (2, "b")], "i int, evaluation_role string")
+    d.write.parquet(str(tmp_path / "roles"))
+    assert [r.i for r in readers.parquet_role(spark, str(tmp_path / "roles"), ["a"]).collect()] == [1]
+    nan = float("nan")
+    n = spark.createDataFrame([([1.0, nan], {"k": float("inf")}, (nan, [nan]))], "a array<double>, m map<string,double>, s struct<x:double,y:array<double>>")
+    sinks.json_rows(n, str(tmp_path / "nested"))
+    (line,) = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "nested")).collect()]
+    assert line == {"a": [1.0, None], "m": {"k": None}, "s": {"x": None, "y": [None]}}
+    sinks.report_csv(spark.createDataFrame([(1, 0.1), (2, 1e300)], "i int, x double"), str(tmp_path / "marked"), ["i", "x"], byte_order_mark=True)
+    text = "".join(open(p, encoding="utf-8").read() for p in sorted(map(str, (tmp_path / "marked").glob("part-*"))))
+    assert text.splitlines() == ["﻿i,x", "1,0.10000000000000001", "2,1.0000000000000001e+300"]
+
+
+def test_written_tables_need_a_shared_folder(spark, monkeypatch):
+    from lumenfold.operators import store
+
+    with store.scratch(spark) as keep:
+        a, b = store.written(spark.range(3), "a"), keep(store.written(spark.range(4), "b"))
+        assert a.count() == 3
+    assert b.count() == 4
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(a._written_to).count()
+
+
+def test_sobol_points_fill_the_cube():
+    x = fit.sobol(64, 7)
+    for j in range(7):  # each of 64 equal cells of a side holds one point
+        assert sorted((x[:, j] * 64).astype(int)) == list(range(64))
+    for i in range(7):  # pairs of sides: 8 x 8 cells hold one each in the first two dimensions, all are near that
+        for j in range(i):
+            cells = len(set(zip((x[:, i] * 8).astype(int), (x[:, j] * 8).astype(int), strict=True)))
+            assert cells == 64 if (i, j) == (1, 0) else cells >= 32
+    assert not np.allclose(fit.sobol(8, 3, 1), fit.sobol(8, 3, 2)) and np.allclose(fit.sobol(8, 3, 1), fit.sobol(8, 3, 1))
+
+
+def test_frozen_scale_fit_finds_the_law(spark):
+    law = allocation.LAW
+    data = [(n, d, law["e"] + law["a"] * n ** -law["alpha"] + law["b"] * d ** -law["beta"]) for n in (0.1, 0.5, 1.0, 3.0, 10.0) for d in (1.0, 5.0, 20.0, 80.0, 300.0)]
+    fits = fit.frozen_scale_fit(spark.createDataFrame(data, "n double, d double, y double"), "n", "d", "y", 7).cache()
+    s = fit.fit_summary(fits).first()
+    assert fits.count() == 7 and s.cost < 1e-10 and s.rank == 5 and not s.near_bound
+    assert math.isclose(s.alpha, law["alpha"], rel_tol=1e-2) and math.isclose(s.beta, law["beta"], rel_tol=1e-2)
+    two = spark.createDataFrame([(0, True, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 5, 1.0, False), (1, True, 1.0, 2.0, 1.0, 1.0, 1.0, 1.0, 5, 1.0, False)], fit.FROZEN)
+    assert fit.fit_summary(two).first().unseparated and not fit.fit_summary(two.limit(1)).first().unseparated
+
+
+def test_budget_scenarios_against_a_grid(spark):
+    law, top = allocation.LAW, allocation.D_MAX
+    rows_ = [(i, 1e20, 2048.0, gain, kind, 1.0, effect) for i, (gain, kind, effect) in enumerate([(0.0, "exp", "additive"), (0.3, "power", "additive"), (0.8, "log", "tokens"), (5.0, "exp", "tokens")])]
+    rows_.append((9, 1e23, 2048.0, 0.1, "exp", 1.0, "additive"))
+    got = {r.case_id: r for r in allocation.solve(spark.createDataFrame(rows_, "case_id long, budget double, context double, gain double, cost_kind string, cost_scale double, effect string")).collect()}
+    g = {"exp": lambda q: np.exp(q) - 1, "power": lambda q: q * q, "log": np.log1p}
+    for i, budget, context, gain, kind, _, effect in rows_:
+        n, q = np.meshgrid(np.geomspace(*allocation.N_RANGE, 400), np.linspace(0.6, 1, 81))
+        unit = 1e18 * ((6 + allocation.ETA * context) * n + g[kind](q) - g[kind](0.6))
+        d = np.minimum(budget / unit, top)
+        worth = d * np.exp(gain * (q - 0.6)) if effect == "tokens" else d
+        loss = law["e"] + law["a"] * n ** -law["alpha"] + law["b"] * worth ** -law["beta"] - (gain * (q - 0.6) if effect == "additive" else 0)
+        assert got[i].loss <= loss.min() + 1e-6 and got[i].spent <= budget * (1 + 1e-9)
+    assert got[9].d == top and got[9].spent < 1e23
+
+
+def test_markdown_reports(spark):
+    d = spark.createDataFrame([(1, "a|b"), (2, None)], "i int, t string")
+    assert sinks.markdown(d, ["i", "t"]) == "| i | t |\n| --- | --- |\n| 1 | a\\|b |\n| 2 |  |\n"
+    with pytest.raises(ValueError):
+        sinks.markdown(spark.range(5).select(F.col("id").alias("i")), ["i"], most=3)
