@@ -10,12 +10,10 @@ id; the few hot texts' totals come from a small pre-aggregated table.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, written
 
 
 def _runs(docs: DataFrame, id_col: str, text_col: str, keep: str, samples_per_partition: int, splitter_chars: int, carry: list[str]):
@@ -24,27 +22,27 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, keep: str, samples_per_pa
         raise ValueError("keep is smallest or largest")
     spark = docs.sparkSession
     best = F.min if keep == "smallest" else F.max
-    row = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), row.alias("_row"))
+    text = F.col(text_col)
+    # the text travels once
+    row = F.struct(text.isNull().alias("none"), *[F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(carry) if c != text_col])
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text, F.lit("")).alias("_text"), row.alias("_row"))
     rows = rows.withColumn("_sha", F.sha2("_text", 256))
 
     n = partitions(spark)
     total = docs.count()
     fraction = min(1.0, n * samples_per_partition / max(total, 1))
     taken = rows.select("_sha").sample(fraction, seed=11)
-    # at most 2n texts can have so many samples: the bound of what comes to the driver
+    # at most 4n texts can have so many samples
     least = samples_per_partition // 4
-    hot = {
-        r["_sha"]: math.ceil(4 * r["n"] / samples_per_partition)
-        for r in taken.groupBy("_sha").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()
-    }
+    many = taken.groupBy("_sha").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    hot = written(many.select(F.col("_sha").alias("_hot"), F.ceil(4 * F.col("n") / samples_per_partition).cast("int").alias("_wide")), "hot-texts")
+    any_hot = bool(hot.take(1))
 
     placed = rows.withColumn("_start", F.substring("_text", 1, splitter_chars)).withColumn("_hash", F.xxhash64("_text"))
     keys = ["_start", "_hash"]
-    if hot:
-        salts = F.create_map(*[F.lit(x) for k, v in hot.items() for x in (k, v)])
-        wide = F.when(F.col("_sha").isin(*hot), salts[F.col("_sha")]).otherwise(F.lit(1))
-        placed = placed.withColumn("_salt", F.pmod(F.xxhash64("_id"), wide.cast("long")).cast("int"))
+    if any_hot:
+        placed = placed.join(F.broadcast(hot), F.col("_sha") == F.col("_hot"), "left").drop("_hot")
+        placed = placed.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.coalesce("_wide", F.lit(1)).cast("long")).cast("int")).drop("_wide")
         keys.append("_salt")
     # a range partitioning by the keys already clusters (keys, text): the window adds no exchange
     placed = placed.repartitionByRange(n, *keys)
@@ -54,14 +52,15 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, keep: str, samples_per_pa
         "_id",
         "_sha",
         "_row",
+        *(["_text"] if carry else []),
         F.row_number().over(group.orderBy(order)).alias("_rank"),
         F.count("*").over(group).alias("_n"),
         best("_id").over(group).alias("_best"),
     )
-    if hot:
+    if any_hot:
         # a row per hot text: no more rows than `hot` has
         whole = (
-            rows.where(F.col("_sha").isin(*hot))
+            rows.join(F.broadcast(hot), F.col("_sha") == F.col("_hot"), "left_semi")
             .groupBy("_sha")
             .agg(F.count("*").alias("_all_n"), best("_id").alias("_all_best"))
         )
@@ -71,7 +70,9 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, keep: str, samples_per_pa
         size, kept_id = F.col("_n"), F.col("_best")
     # null ids share one salt, so a group of null ids only has one first row
     first = (F.col("_rank") == 1) & F.col("_id").eqNullSafe(kept_id)
-    return runs.select("_id", "_sha", kept_id.alias("_keep"), size.cast("long").alias("_size"), first.alias("_kept"), "_row")
+    return runs.select(
+        "_id", "_sha", kept_id.alias("_keep"), size.cast("long").alias("_size"), first.alias("_kept"), *(["_row", "_text"] if carry else [])
+    )
 
 
 def exact_dedup(
@@ -106,4 +107,6 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty table stays empty.
     """
     runs = _runs(docs, id_col, text_col, keep, 64, 128, docs.columns)
-    return runs.where("_kept").select("_row.*")
+    said = F.when(~F.col("_row.none"), F.col("_text"))
+    back = [said if c == text_col else F.col(f"_row.c{i}") for i, c in enumerate(docs.columns)]
+    return runs.where("_kept").select(*[c.alias(f"c{i}") for i, c in enumerate(back)]).toDF(*docs.columns)
