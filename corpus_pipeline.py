@@ -1,14 +1,15 @@
 """From documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
-the columns of documents.  A stage's rows are written and read again before the next.
+the columns of documents, whatever other columns there are and however they are named.  A
+stage's rows are written and read again before the next.  An empty table stays empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm.common import table, written
+from lumenfold.llm.common import table, texts, written
 from lumenfold.llm.decontam import without_contaminated
 from lumenfold.llm.exact_dedup import without_copies
 from lumenfold.llm.jaccard import one_of_each
@@ -18,27 +19,27 @@ from lumenfold.llm.queries import tokenizer_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model rejects go."""
+    """Documents that the quality model rejects go; null texts are empty, weigh nothing and stay, repeated rows are decided each."""
     return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the smallest doc_id stays."""
+    """Of equal texts, the smallest doc_id stays, null ones last; null texts are empty; of rows that tie in id and text one stays."""
     return without_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the Jaccard join, the smallest doc_id stays."""
+    """Of each component of the Jaccard join, the smallest doc_id stays; null ids and texts without words stay, rows that tie go together."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null texts hold none, null items have none, rows that tie go together."""
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
+    """Pieces of sequences of 4096 tokens; null texts are the end id alone, repeated rows are packed each."""
     return pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
@@ -55,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
