@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.store import discard, new_path, scratch, written  # noqa: F401
+from ..sources.readers import spread
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -14,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are work: dealt over all cores where it has fewer splits than they are."""
+    return spread(table(spark, sf_dir, name))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -34,3 +40,23 @@ def values(column, size: int = 256):
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct, to be taken apart again: no helper column can clash with them, whatever their names."""
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
+def releasing(run):
+    """A function over Arrow batches that gives freed memory back to the system at its end: workers live on between stages."""
+
+    def inner(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return inner

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import values
+from .common import releasing, values
 
 # Elements of the HTML standard by what they do to text blocks.
 INLINE = frozenset(
@@ -273,4 +273,4 @@ def extract_main_text(
     rows = pages.select(
         F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.coalesce(F.col(html_col), F.lit(""))
     )
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(releasing(run), "page_id long, url string, text string, n_chars long")

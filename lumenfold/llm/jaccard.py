@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, values, whole_row, written
+from .common import partitions, releasing, scratch, values, whole_row, written
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -85,14 +85,19 @@ def _frequent(docs: DataFrame, width: int, least: int) -> np.ndarray:
     """
 
     def run(batches):
-        held = np.zeros(SLOTS, np.uint32)
+        held = np.zeros(SLOTS, np.uint16)
+        beyond: dict[int, int] = {}  # what 16 bits don't hold
         waiting: list[np.ndarray] = []
         size = 0
         seen: set[int] = set()
 
         def add():
             at, n = np.unique(np.concatenate(waiting) & (SLOTS - 1), return_counts=True)
-            held[at] += n.astype(np.uint32)
+            total = held[at].astype(np.int64) + n
+            for i in np.flatnonzero(total > 65_535).tolist():
+                beyond[int(at[i])] = beyond.get(int(at[i]), 0) + int(total[i])
+                total[i] = 0
+            held[at] = total.astype(np.uint16)
             waiting.clear()
 
         for b in batches:
@@ -105,17 +110,22 @@ def _frequent(docs: DataFrame, width: int, least: int) -> np.ndarray:
                 x = shingles(t, width)
                 waiting.append(x)
                 size += len(x)
-                if size > 1_000_000:
+                if size > 500_000:
                     add()
                     size = 0
         if waiting:
             add()
         blocks = held.reshape(-1, CHUNK)
-        used = [i for i in range(len(blocks)) if blocks[i].any()]
+        used = sorted({i for i in range(len(blocks)) if blocks[i].any()} | {k // CHUNK for k in beyond})
         for i in range(0, len(used), 32):
-            some = used[i : i + 32]
-            packed = [zlib.compress(blocks[k].tobytes(), 1) for k in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(packed, pa.binary())], names=["chunk", "counts"])
+            packed = []
+            for k in used[i : i + 32]:
+                counts = blocks[k].astype(np.uint64)
+                for at, n in beyond.items():
+                    if at // CHUNK == k:
+                        counts[at % CHUNK] += np.uint64(n)
+                packed.append(zlib.compress(counts.tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(used[i : i + 32], pa.int64()), pa.array(packed, pa.binary())], names=["chunk", "counts"])
 
     def summed(batches):
         held: dict[int, np.ndarray] = {}
@@ -123,15 +133,15 @@ def _frequent(docs: DataFrame, width: int, least: int) -> np.ndarray:
             for k, packed in zip(b.column(0).to_pylist(), values(b.column(1)), strict=True):
                 if k not in held:
                     held[k] = np.zeros(CHUNK, np.uint64)
-                held[k] += np.frombuffer(zlib.decompress(packed), np.uint32)
+                held[k] += np.frombuffer(zlib.decompress(packed), np.uint64)
         for k, counts in held.items():
             packed = zlib.compress(counts.tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([packed], pa.binary())], names=["chunk", "counts"])
 
     kind = "chunk long, counts binary"
-    local = docs.mapInArrow(run, kind).repartition("chunk").mapInArrow(summed, kind)
+    local = docs.mapInArrow(releasing(run), kind).repartition("chunk").mapInArrow(releasing(summed), kind)
     total = np.zeros((SLOTS // CHUNK, CHUNK), np.uint64)
-    for r in local.toLocalIterator():  # SLOTS / CHUNK rows, whatever the input
+    for r in written(local, "jaccard-sketch").toLocalIterator():  # SLOTS / CHUNK rows, whatever the input
         total[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
     total = total.reshape(-1)
     load = float(total.mean())
@@ -176,7 +186,7 @@ def _leading(docs: DataFrame, width: int, share: int, frequent) -> DataFrame:
                 names=["id", "node", "n", "cold", "hot", "cut", "raw"],
             )
 
-    return docs.mapInArrow(run, "id long, node long, n long, cold array<long>, hot array<long>, cut long, raw long")
+    return docs.mapInArrow(releasing(run), "id long, node long, n long, cold array<long>, hot array<long>, cut long, raw long")
 
 
 MOST_BITS = 1 << 28
@@ -216,7 +226,7 @@ def _sets(docs: DataFrame, width: int, wanted: DataFrame, most_bits: int = MOST_
                 raws = [raw_of(t) for t in values(b.column(1))]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raws, pa.int64())], names=["i", "t", "raw"])
 
-        docs = docs.mapInArrow(keyed, "i long, t string, raw long").join(wanted, "raw", "left_semi").select("i", "t").toDF(*names)
+        docs = docs.mapInArrow(releasing(keyed), "i long, t string, raw long").join(wanted, "raw", "left_semi").select("i", "t").toDF(*names)
 
     def run(batches):
         words = None if bits is None else bits.value
@@ -236,7 +246,7 @@ def _sets(docs: DataFrame, width: int, wanted: DataFrame, most_bits: int = MOST_
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(found)], names=["node", "set"])
 
     # equal sets of several texts or tasks are one
-    return docs.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
+    return docs.mapInArrow(releasing(run), "node long, set array<long>").dropDuplicates(["node"])
 
 
 # ---- cells: the nodes that meet in a task ------------------------------------------------
@@ -390,6 +400,9 @@ def _linked(share: int):
     return run
 
 
+HOT = 1000  # pairs of one node that a task verifies
+
+
 class Join:
     def __init__(self, docs: DataFrame, width: int, share: int, least: int, cell_nodes: int, cell_weight: int):
         self.spark, self.docs, self.width, self.share = docs.sparkSession, docs, width, share
@@ -440,7 +453,16 @@ class Join:
         pairs = written(pairs, "jaccard-pairs")
         wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
         sets = _sets(self.docs, self.width, wanted.join(self.nodes.select("node", "raw"), "node").select("raw"))
-        x = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+        # a node of very many pairs is dealt over tasks, its set copied to each
+        many = written(pairs.groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("b", F.ceil(F.col("c") / HOT).cast("int").alias("k")), "jaccard-many")
+        right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+        if many.take(1):
+            k = F.coalesce("k", F.lit(1))
+            right = right.join(many, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), k - 1))).drop("k")
+            pairs = pairs.join(many, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), k.cast("long")).cast("int")).drop("k")
+            x = pairs.join(right, ["b", "salt"])
+        else:
+            x = pairs.join(right, "b")
         x = x.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         return written(
             x.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), "n_a", "n_b"), "jaccard-verified"
@@ -552,7 +574,7 @@ class Join:
         n = cells.count()
         facts = self.nodes.select("node", "shared", "k", F.col("cut.late").alias("late"), F.col("cut.at").alias("at"))
         rows = self._in_cells(cells.join(facts, "node").select("cell", "node", "component", "side", "d", "n", "k", "late", "at", "shared"), n)
-        found = rows.mapInArrow(_compare(self.share, self.radius, 4), "a long, b long, n_a long, n_b long, cell long")
+        found = rows.mapInArrow(releasing(_compare(self.share, self.radius, 4)), "a long, b long, n_a long, n_b long, cell long")
         found = written(found, "jaccard-open")
         few = found.where("cell = -1").drop("cell").dropDuplicates(["a", "b"])
         links = self.verified(few).where(self.linked()).select("a", "b")
@@ -563,7 +585,7 @@ class Join:
         sets = _sets(self.docs, self.width, wanted)
         many = many.join(cells.select("cell", "node", "component", "side"), ["cell", "node"])
         rows = self._in_cells(many.join(sets, "node").select("cell", "node", "component", "side", "set"), n)
-        return links.unionAll(written(rows.mapInArrow(_linked(self.share), "a long, b long"), "jaccard-links"))
+        return links.unionAll(written(rows.mapInArrow(releasing(_linked(self.share)), "a long, b long"), "jaccard-links"))
 
     def _sized(self, pairs: DataFrame) -> DataFrame:
         n = self.nodes.select("node", "n")
@@ -588,6 +610,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         changed = new.where(F.col("component") != F.col("was")).take(1)
         labels = new.select("node", "component")
         if not changed:
+            labels._written_to = new._written_to
             return labels
     raise RuntimeError("the components did not settle")
 
@@ -614,9 +637,10 @@ def jaccard_components(
     exact for any of them.
     """
     source = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    join = Join(source, width, share, least, cell_nodes, cell_weight)
-    labels = join.run()
-    rows = join.rows.select("id", "node", "n")
+    with scratch(docs.sparkSession) as keep:
+        join = Join(source, width, share, least, cell_nodes, cell_weight)
+        labels = keep(join.run())
+        rows = keep(join.rows).select("id", "node", "n")
     firsts = rows.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("first"))
     named = firsts.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     least_id = named.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import values
+from .common import releasing, values
 from .tokens import encoder
 
 PIECES = (
@@ -231,7 +231,7 @@ def pack(
             yield batch(rows)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, PIECES)
+    out = docs.select(F.col(id_col).cast("long"), text).mapInArrow(releasing(run), PIECES)
     return out if id_col == "doc_id" else out.withColumnRenamed("doc_id", id_col)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import values
+from .common import releasing, values
 
 # The kinds and the base patterns of the contract.
 KINDS = ("email", "ip", "card", "phone")
@@ -446,5 +446,5 @@ def find_personal_data(
                 yield found(b.column(0).slice(first, len(texts)), texts)
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    out = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, schema)
+    out = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(releasing(run), schema)
     return out if id_col == "doc_id" else out.withColumnRenamed("doc_id", id_col)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import values, written
+from .common import releasing, values, written
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Hash buckets of the three models: triples of word shapes, word pairs and words.  They are few, so that
@@ -96,8 +96,8 @@ def _counted(batches):
 def _totals(rows: DataFrame) -> dict[int, np.ndarray]:
     """Bucket counts by group; the result has at most BUCKETS rows a group."""
     out: dict[int, np.ndarray] = {}
-    local = rows.mapInArrow(_counted, "g long, bucket long, c long")
-    for r in local.groupBy("g", "bucket").agg(F.sum("c").alias("c")).toLocalIterator():
+    local = rows.mapInArrow(releasing(_counted), "g long, bucket long, c long")
+    for r in written(local.groupBy("g", "bucket").agg(F.sum("c").alias("c")), "quality-counts").toLocalIterator():
         out.setdefault(r["g"], np.zeros(BUCKETS))[r["bucket"]] = r["c"]
     return out
 
@@ -159,7 +159,7 @@ def _weighed(rows: DataFrame, ratio: np.ndarray, text_at: int, carry: int, featu
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "_n", "_weight"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:carry])
-    return rows.mapInArrow(run, f"{schema}, _n long, _weight double")
+    return rows.mapInArrow(releasing(run), f"{schema}, _n long, _weight double")
 
 
 def _decided(docs, labels, carry, id_col, text_col, seed, margin, features_told, k, ratio):

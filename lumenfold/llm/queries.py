@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_windows, read_back
-from .common import table
+from .common import table, texts
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
 from .html_blocks import extract_main_text
@@ -25,34 +25,34 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return pack(texts(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_main_text(table(spark, sf_dir, "pages"))
+    return extract_main_text(texts(spark, sf_dir, "pages"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
+    return exact_dedup(texts(spark, sf_dir), keep="largest")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+    found = resample(texts(spark, sf_dir), table(spark, sf_dir, "labels"), carry=["doc_id"])
     return found.select(
         "doc_id", F.col("_n").alias("n_features"), F.col("_weight").alias("log_weight"), F.col("_key").alias("gumbel_key"), F.col("_kept").alias("kept")
     )
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return lm_scores(texts(spark, sf_dir))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(texts(spark, sf_dir))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_personal_data(table(spark, sf_dir, "documents"))
+    return find_personal_data(texts(spark, sf_dir))
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
@@ -70,15 +70,15 @@ def with_probe(conversations: DataFrame) -> DataFrame:
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(chat_windows(with_probe(table(spark, sf_dir, "conversations"))))
+    return read_back(chat_windows(with_probe(texts(spark, sf_dir, "conversations"))))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return token_counts(texts(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, values, written
+from .common import new_path, partitions, releasing, values, written
 
 # Letters and numbers of the alphabet of the shortcut.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿŒœ"
@@ -157,7 +157,7 @@ def token_counts(
             counts = [one.count(t) for t in values(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
-    cache.add(missing.mapInArrow(encode, "digest binary, n_tokens long"), version)
+    cache.add(missing.mapInArrow(releasing(encode), "digest binary, n_tokens long"), version)
     counts = cache.counts(version)
     slim = rows.select("_id", "digest", F.octet_length("_text").cast("long").alias("n_bytes"))
     n = partitions(spark)
