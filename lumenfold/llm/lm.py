@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, scratch, values, written
+from .common import discard, partitions, releasing, scratch, values, written
 
 END = "\n"  # the end token; no word holds white space
 
@@ -512,12 +512,14 @@ def lm_scores(
     rows = docs.select(
         F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(id_col).cast("long").alias("i"), out_rows.alias("h")
     )
+    # groups of a few blocks or shards a task, however many there are
+    dealt = lambda x, by, n: x.repartition(max(partitions(spark), n // 4), by).groupBy(by)
     with scratch(spark) as keep:
-        raw = written(rows.mapInArrow(_blocks_of(block_tokens), RAW), "lm-texts")
-        size, distinct = raw.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+        raw = written(rows.mapInArrow(releasing(_blocks_of(block_tokens)), RAW), "lm-texts")
+        size, distinct, many = raw.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0)), F.count("*")).first()
         word_shards, shards = (max(partitions(spark), -(-n // shard_tokens)) for n in (distinct, size))
-        asked = raw.mapInArrow(_ask_words(word_shards), ASKS)
-        single = keep(written(asked.groupBy("shard").applyInArrow(_tell_words, ANSWERS), "lm-words"))
+        asked = raw.mapInArrow(releasing(_ask_words(word_shards)), ASKS)
+        single = keep(written(dealt(asked, "shard", word_shards).applyInArrow(_tell_words, ANSWERS), "lm-words"))
         # a row a word shard
         each = {r["shard"]: r for r in single.where("level = -1").select("shard", "body", "tokens", "words").collect()}
         entries = np.zeros((word_shards, CLASSES), np.int64)
@@ -527,18 +529,18 @@ def lm_scores(
         numbering = Numbering(entries)
         bits = max(1, numbering.distinct.bit_length())
         single = single.where("level = 1")
-        numbered = raw.groupBy("block").cogroup(single.groupBy("block")).applyInArrow(_number(numbering), BLOCKS)
+        numbered = dealt(raw, "block", many).cogroup(dealt(single, "block", many)).applyInArrow(_number(numbering), BLOCKS)
         blocks = keep(written(numbered, "lm-blocks"))
         discard(raw)
         answers, followers = blocks.limit(0).selectExpr("0 AS level", "block", "block AS shard", "words AS body"), None
         for k in range(2, order + 1):
-            asked = blocks.mapInArrow(_ask_grams(k, shards, bits), ASKS).groupBy("shard")
+            asked = dealt(blocks.mapInArrow(releasing(_ask_grams(k, shards, bits)), ASKS), "shard", shards)
             told = keep(written(asked.applyInArrow(_tell_grams(k, bits, numbering), ANSWERS), "lm-grams"))
             if k == 2:
-                followers = single.unionAll(told.where("level = 0")).groupBy("shard").applyInArrow(_tell_followers, ANSWERS)
+                followers = dealt(single.unionAll(told.where("level = 0")), "shard", word_shards).applyInArrow(_tell_followers, ANSWERS)
                 answers = answers.unionAll(followers.select("level", "block", "shard", "body"))
             answers = answers.unionAll(told.where("level > 0").select("level", "block", "shard", "body"))
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    scored = dealt(blocks, "block", many).cogroup(dealt(answers, "block", many)).applyInArrow(
         _scored(order, tokens, words, shards, bits), "i long, h boolean, n long, known long, base double, score double"
     )
     return scored.select(
