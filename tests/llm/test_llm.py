@@ -6,8 +6,10 @@ import itertools
 import json
 import math
 import os
+import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -207,6 +209,37 @@ def test_main_text(spark):
     assert Counter(map(tuple, html_blocks.extract_main_text(odd).collect())) == {(1, None, "", 0): 2, (None, "u", "x", 1): 1}
 
 
+def test_tree_on_held_out_pages():
+    tree = html_blocks.trained_tree()
+    got, want = [], []
+    for page in html_blocks.labelled_pages(200, seed=123):
+        blocks = html_blocks.blocks_of(page)
+        got += [html_blocks.told(tree, x) for x in html_blocks.features(blocks)]
+        want += [int(b["text"].startswith("art")) for b in blocks]
+    got, want = np.array(got), np.array(want)
+    assert (got & want).sum() / got.sum() > 0.98 and (got & want).sum() / want.sum() > 0.98
+    used, nodes = set(), [tree]
+    while nodes:
+        if not isinstance(n := nodes.pop(), int):
+            used.add(html_blocks.FEATURES[n[0]])
+            nodes += n[2:]
+    assert used & {"words_before", "words_after"} and used & {"links_before", "links_after"}
+
+
+def test_long_and_odd_pages(spark):
+    deep = "<div>" * 60_000 + "</span>" * 60_000 + "<p>x</p>"
+    long = "<article>" + "<p>some words of a long page</p>" * 40_000 + "</article>"
+    began = time.time()
+    assert html_blocks.main_text(deep) == "x" and len(html_blocks.main_text(long)) == 40_000 * 26 - 1
+    assert time.time() - began < 30
+    rows = [(1, "u", "<p>x", "e"), (1, "u", "<p>x", "f"), (2, None, "</p></div>", None), (3, "", " \n ", "")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_blocks.extract_main_text(d)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert Counter(map(tuple, got.collect())) == {(1, "u", "x", 1): 2, (2, None, "", 0): 1, (3, "", "", 0): 1}
+    assert html_blocks.extract_main_text(d.limit(0)).count() == 0
+
+
 # ---- quality
 
 def test_quality_separates_labelled_rows(spark):
@@ -395,6 +428,13 @@ def test_jaccard_one_large_group(spark, edits, steer):
     assert Counter(map(tuple, jaccard.jaccard_components(d, **steer).collect())) == brute_components(rows)
 
 
+def test_jaccard_deals_out_a_node_of_many_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 20)
+    rows = near_copies(150, 3)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(map(tuple, jaccard.jaccard_components(d).collect())) == brute_components(rows)
+
+
 def test_jaccard_rows_grow_with_the_group(spark, monkeypatch):
     made = Counter()
 
@@ -446,7 +486,7 @@ def test_base_spans_are_the_patterns():
         assert pii.base_spans(t) == want
 
 
-def test_tagger_on_held_out_spans():
+def test_tagger_on_held_out_windows():
     model = pii.trained_tagger()
     table = pii.labelled_spans(300, seed=77)
     ids = np.zeros((len(table), pii.WINDOW), np.int64)
@@ -454,9 +494,75 @@ def test_tagger_on_held_out_spans():
         ids[r, : len(t)] = pii.encoded(t)
     hit = wrong = missed = 0
     for (t, spans), row in zip(table, pii.tags_of(model, ids), strict=True):
-        got, want = set(pii.reconciled(len(t), [0], [row])), set(spans)
+        whole = lambda x, n=len(t): {y for y in x if y[1] > 0 and y[2] < n}  # a span that touches an end may be cut
+        got, want = whole(set(pii.reconciled(len(t), [0], [row]))), whole(set(spans))
         hit, wrong, missed = hit + len(got & want), wrong + len(got - want), missed + len(want - got)
-    assert hit / (hit + wrong) > 0.8 and hit / (hit + missed) > 0.8
+    assert hit / (hit + wrong) > 0.9 and hit / (hit + missed) > 0.9
+
+
+def other_personal_data(n=300, seed=1):
+    """Sentences of English with spans that the patterns miss, from lists that the tagger has never seen, among other numbers."""
+    rng = random.Random(seed)
+    first = "anna bob carla dmitri elena frank grace hiro ivan julia kurt lena marco nina olga peter".split()
+    last = "berg smith okafor tanaka rossi novak weber silva jones larsen".split()
+    hosts = "mail post acme-labs univ.heidel bigcorp startup smtp.relay kontor".split()
+    said = "The quick review of our last meeting is attached , please read it before noon . We walked along the river and talked about prices".split()
+    d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def card():
+        head = rng.choice("456") + d(14)
+        whole = next(head + c for c in "0123456789" if pii.luhn(head + c))
+        return ".".join(whole[i : i + 4] for i in range(0, 16, 4))
+
+    makers = {
+        0: lambda: rng.choice(first) + rng.choice([".", "_"]) + rng.choice([*last, d(2)]) + " @ " + rng.choice(hosts) + rng.choice([".com", ".org", ".de", ".net"]),
+        2: card,
+        3: lambda: rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(2)}-{d(3)}-{d(4)}", f"(0{d(2)}) {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}"]),
+    }
+    others = [lambda: f"on 20{d(2)}-0{d(1)}-1{d(1)}", lambda: f"at {d(2)}:{d(2)}", lambda: f"${d(3)}.{d(2)}", lambda: f"pages {d(3)}-{d(3)}", lambda: f"order {d(8)}", lambda: f"version {d(1)}.{d(2)}.{d(1)}",
+              lambda: f"commit {rng.randrange(16**10):010x}", lambda: f"{d(2)}% of {d(2)},{d(3)}", lambda: f"@{rng.choice(first)}", lambda: f"isbn 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}"]
+    out = []
+    for i in range(n):
+        text, spans = "", set()
+        for _ in range(rng.randrange(1, 6)):
+            text += " ".join(rng.choice(said) for _ in range(rng.randrange(1, 20))) + " "
+            if rng.random() < 0.4:
+                k = rng.choice([0, 2, 3, 3])
+                found = makers[k]()
+                spans.add(f"{pii.KINDS[k]}:{len(text)}:{len(text) + len(found)}")
+                text += found + rng.choice([" ", ". ", ", ", "\n"])
+            else:
+                text += rng.choice(others)() + " "
+        out.append((i, text, spans))
+    return out
+
+
+def test_personal_data_of_another_generator(spark):
+    rows = other_personal_data()
+    texts = {i: t for i, t, _ in rows}
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")).collect()}
+    hit = wrong = missed = 0
+    for i, _, spans in rows:
+        base = {f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in pii.base_spans(texts[i])}
+        found = set(got[i].spans.split(",")) - {""} - base
+        assert len(found) == got[i].n_added
+        over = lambda x, y: x.split(":")[1:] and int(x.split(":")[1]) < int(y.split(":")[2]) and int(y.split(":")[1]) < int(x.split(":")[2])
+        want = {s for s in spans if not any(over(s, b) for b in base)}
+        hit, wrong, missed = hit + len(found & want), wrong + len(found - want), missed + len(want - found)
+    assert hit > 150 and hit / (hit + wrong) >= 0.9 and hit / (hit + missed) >= 0.9, (hit, wrong, missed)
+
+
+def test_personal_data_query(spark):
+    """The registered query on its whole table, against the contract's patterns."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.op7_personal_data(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        base = [(k, m.start(), m.end()) for k, name in enumerate(pii.KINDS) for m in pii.PATTERNS[name].finditer(texts[r.doc_id]) if pii.valid(name, m[0])]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b[0] == k for b in base) for k in range(4)]
+        said = [f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert set(said) <= set(r.spans.split(",")) | {""} and len(set(r.spans.split(",")) - {""}) == len(said) + r.n_added
 
 
 def test_windows_cover_every_trigger():
@@ -574,6 +680,86 @@ def test_decontamination_odd_rows(spark, odd):
 
 # ---- the pipeline
 
+CLASHING = ["doc_id", "text", "_n", "_l", "_weight", "_key", "_kept", "_id", "_row", "__gone", "_gone", "__doc_key", "_hid", "a.b", "c0", "_t", "tick`ed"]
+
+
+def test_filters_keep_columns_of_any_name(spark):
+    said = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(i, t, *[f"{c}{i}" for c in CLASHING[2:]]) for i, t in enumerate([said, said + " thirteen fourteen", None, "", "quite another text of a few words"])]
+    d = spark.createDataFrame(rows, CLASHING)
+    bench = spark.createDataFrame([(1, "eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"), (2, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, quality int")
+    have = {r[0]: tuple(r) for r in rows}
+    for out in (quality.good_documents(d, labels), quality.good_documents(d, labels.limit(0)), jaccard.one_of_each(d), decontam.without_contaminated(d, bench), exact_dedup.without_copies(d)):
+        assert out.columns == CLASHING
+        got = [tuple(r) for r in out.collect()]
+        assert got and all(have[r[0]] == r for r in got)
+    gone = decontam.without_contaminated(d, spark.createDataFrame([(1, said)], "item_id long, text string"))
+    assert {r[0] for r in gone.collect()} == {2, 3, 4}
+    for out in (quality.good_documents(d.limit(0), labels), jaccard.one_of_each(d.limit(0)), decontam.without_contaminated(d.limit(0), bench), exact_dedup.without_copies(d.limit(0))):
+        assert out.columns == CLASHING and out.count() == 0
+
+
+def test_resampling_by_brute_force(spark):
+    """Weights, keys and the k kept rows of a small table, in plain Python."""
+    d = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    got = {r.doc_id: r for r in quality.resample(d, labels).select("doc_id", "_n", "_weight", "_key", "_kept").collect()}
+    tokens = quality._Tokens()
+    feats = {r.doc_id: quality.features(r.text or "", tokens) for r in d.select("doc_id", "text").collect()}
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    raw, target = Counter(), Counter()
+    for i, f in feats.items():
+        raw.update(f.tolist())
+        if i in good:
+            target.update(f.tolist())
+    ratio = {}
+    for low, size, mass in ((0, quality.SHAPES, quality.PRIORS[0]), (quality.SHAPES, quality.PAIRS, quality.PRIORS[1]), (quality.SHAPES + quality.PAIRS, quality.WORDS, quality.PRIORS[2])):
+        n, m = (sum(c[b] for b in range(low, low + size)) for c in (raw, target))
+        for b in range(low, low + size):
+            q = (raw[b] + 0.5) / (n + 0.5 * size)
+            ratio[b] = math.log((target[b] + mass * q) / (m + mass)) - math.log(q)
+    weight = {i: sum(ratio[int(b)] for b in f) * min(1.0, 64 / max(len(f), 1)) for i, f in feats.items()}
+    assert set(got) == set(feats) and all(r._n == len(feats[i]) and math.isclose(r._weight, weight[i], rel_tol=1e-6, abs_tol=1e-6) for i, r in got.items())
+    k = round(sum(min(1.0, math.exp(w + 4.0)) for w in weight.values()))
+    best = sorted(got, key=lambda i: -got[i]._key)[:k]
+    assert {i for i, r in got.items() if r._kept} == set(best) and 0 < k < len(got)
+    noise = np.array([r._key - r._weight for r in got.values()])
+    assert abs(noise.mean() - 0.5772) < 0.5 and noise.std() > 0.8  # Gumbel
+
+
+def test_decontamination_without_a_broadcast(spark, docs):
+    bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    want = decontam.contamination_hits(docs, bench).collect()
+    got = decontam.contamination_hits(docs, bench, broadcast_bytes=0).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, want)) and want
+
+
+def test_token_counts_of_hot_texts_and_a_lasting_cache(spark, tmp_path):
+    rows = [(i, "the very same text" if i % 3 else f"text {i}") for i in range(3000)] + [(None, "the very same text")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.lumenfold.tokenCache", str(tmp_path / "cache"))
+    try:
+        path = queries.tokenizer_file("byte_bpe_50k.json")
+        got = tokens.token_counts(d, path).collect()
+        one = tokens.Encoder(path, "byte")
+        texts = dict(rows)
+        assert len(got) == len(rows) and all(r.n_tokens == one.count(texts[r.doc_id]) for r in got)
+        held = tokens.DigestCache(spark).counts(tokens.tokenizer_version(path))
+        assert held.count() == 1001
+        tokens.token_counts(d, path).count()
+        assert spark.read.parquet(str(tmp_path / "cache")).count() == 1001  # nothing was encoded again
+    finally:
+        spark.conf.unset("spark.lumenfold.tokenCache")
+
+
+def test_chat_budget_by_a_token_column(spark):
+    rows = [("c", i, ("user", "assistant")[i % 2], f"turn {i}", 30) for i in range(12)]
+    d = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string, k int")
+    got = chat.chat_windows(d, budget=100, history_tokens=30, tokens="k").collect()
+    assert all(r.n_tokens <= 100 and not r.over_budget for r in got) and len(got) > 3
+
+
 def test_pipeline_stages(spark):
     folder = "/root/testdata/sf0.001"
     d = spark.read.parquet(f"{folder}/documents.parquet")
@@ -583,15 +769,38 @@ def test_pipeline_stages(spark):
         assert out.columns == d.columns
         rows = {r.doc_id: r.text for r in d.collect()}
         left = {r.doc_id for r in out.collect()}
+        if name == "quality":
+            found = quality.resample(d, spark.read.parquet(f"{folder}/labels.parquet"))
+            assert left == {r.doc_id for r in found.where("_kept").collect()} and left < set(rows)
         if name == "exact_dedup":
             assert left == set({t: i for i, t in sorted(rows.items(), reverse=True)}.values())
         if name == "ngram_jaccard":
             comp = brute_components(list(rows.items()))
             assert left == {i for i, _, c in comp if i == c}
         if name == "decontamination":
-            hit = {r.doc_id for r in decontam.decontaminate(d, spark.read.parquet(f"{folder}/benchmark.parquet")).where("contaminated").collect()}
+            cut = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)})) if w]
+            windows = set()
+            for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect():
+                w = cut(r.text)
+                k = min(10, len(w))
+                windows |= {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+            sizes = {len(w) for w in windows}
+            hit = {i for i, t in rows.items() for w in [cut(t)] if any(tuple(w[j : j + k]) in windows for k in sizes for j in range(len(w) - k + 1))}
             assert left == set(rows) - hit
         d = spark.createDataFrame([tuple(r) for r in out.collect()], d.schema)
     packed = corpus_pipeline.run(spark, folder)
-    assert packed.select("doc_id").distinct().count() == d.count()
+    pieces = defaultdict(list)
+    for r in packed.collect():
+        pieces[r.doc_id].append(r)
+    one = tokens.Encoder(queries.tokenizer_file("word_bpe_49k.json"), "word").library
+    kept = {r.doc_id: r.text for r in d.collect()}
+    assert set(pieces) == set(kept)
+    for i, rows in pieces.items():
+        ids = [*one.encode(kept[i] or "", add_special_tokens=False).ids, 2]
+        at = 0
+        for r in sorted(rows, key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids)
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
     assert json.dumps(packed.columns[:7]) == json.dumps(["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
