@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import log_growth
 from .ordering import null_safe_left, quantiles
-from .stats import spearman
+from .stats import correlation, spearman
 
 
 def growth_intervals(df: DataFrame, family: str, when: str, value: str, low: int = 90, high: int = 730) -> DataFrame:
@@ -132,7 +132,7 @@ def bridge(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.explode(F.array(F.col(by).cast("string"), F.lit("ALL"))).alias("stratum"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     s = d.groupBy("stratum").agg(
         F.count("*").alias("n"), F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"), (F.var_pop("_x") * F.count("*")).alias("_sxx"),
-        F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"), F.corr("_x", "_y").alias("pearson"),
+        F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"), correlation("_x", "_y").alias("pearson"),
     )
     r = null_safe_left(d, F.broadcast(s), ["stratum"])  # a row per stratum
     h = 1 / F.col("n") + F.pow(F.col("_x") - F.col("_mx"), F.lit(2.0)) / F.col("_sxx")

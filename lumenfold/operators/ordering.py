@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import written
+
 
 def bucket_count(df: DataFrame) -> int:
     """As many buckets as shuffle partitions, within what a cut sketch holds exactly enough."""
@@ -24,6 +26,7 @@ def running(df: DataFrame, by: list[str], value: str, weight: str, buckets: int
     cuts = each.groupBy(*by).agg(
         F.percentile_approx(F.col(value).cast("double"), shares, F.lit(10 * buckets)).alias("_cuts"), F.sum("w").alias("total")
     )
+    cuts = written(cuts, "cuts")  # a sketch differs from one evaluation to the next, and rows and offsets must agree
     x = null_safe_left(each, cuts, by) if by else each.crossJoin(F.broadcast(cuts))  # a row per group
     x = x.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     inside = Window.partitionBy(*by, "_b").orderBy(value)
@@ -63,6 +66,7 @@ def _dealt(df: DataFrame, by: list[str], value: Column, key: Column | None) -> D
         value = value.cast("timestamp")
     sketch = lambda c: F.percentile_approx(c.cast("double"), shares, F.lit(10 * n))
     cuts = df.groupBy(*by).agg(F.array_distinct(sketch(value)).alias("_cuts"), *([F.array_distinct(sketch(key)).alias("_keys")] if key is not None else []))
+    cuts = written(cuts, "cuts")  # as in `running`
     x = null_safe_left(df, cuts, by) if by else df.crossJoin(F.broadcast(cuts))  # a row per group
     v = value.cast("double")
     below = F.size(F.filter("_cuts", lambda c: c < v))

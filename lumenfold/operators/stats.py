@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import bucket_count, carried, row_ranks, running
+from .store import written
 
 
 def conformal(df: DataFrame, by: list[str], value: str, coverage: float = 0.95) -> DataFrame:
@@ -53,6 +54,13 @@ def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, sh
     return x.select(*by, *[between(k, v) for k, v in shares.items()])
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation of rows that have both; NULL where a side does not vary (the built-in divides by zero there)."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(spread > 0, F.covar_pop(a, b) / F.when(spread > 0, spread))
+
+
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """df with the average rank of a value in its group (ties share the mean)."""
     r = running(df.where(F.col(value).isNotNull()).withColumn("_one", F.lit(1)), by, value, "_one")
@@ -62,9 +70,10 @@ def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFr
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Average-rank Spearman; NULL where a side does not vary."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    # written: ranks meet their rows by value, and a sum of doubles differs in its last bits from one evaluation to the next
+    d = written(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y), "rank-rows")
     d = average_ranks(average_ranks(d, by, x, "_rx"), by, y, "_ry")
-    agg = [F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho")]
+    agg = [F.count("*").alias("n"), correlation("_rx", "_ry").alias("rho")]
     out = d.groupBy(*by).agg(*agg) if by else d.agg(*agg)
     return out.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
 
@@ -141,7 +150,7 @@ def next_value(df: DataFrame, value: str) -> DataFrame:
     """next_<value> over distinct values: a window inside each bucket, the next bucket's least at its end."""
     buckets = bucket_count(df)
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(value, shares, F.lit(10 * buckets)).alias("_cuts"))
+    cuts = written(df.agg(F.percentile_approx(value, shares, F.lit(10 * buckets)).alias("_cuts")), "cuts")
     x = df.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     least = x.groupBy("_b").agg(F.min(value).alias("_m"))  # at most `buckets` rows
     after = least.withColumn("_next", F.lead("_m").over(Window.orderBy("_b"))).drop("_m")
@@ -270,5 +279,5 @@ def calibration(df: DataFrame, by: list[str], actual: str, predicted: str) -> Da
         return pd.Series([None if x != x else pearson_p(float(x), int(k)) for x, k in zip(r, n, strict=True)], dtype="float64")
 
     ok = F.col(actual).isNotNull() & F.col(predicted).isNotNull()
-    g = df.where(ok).groupBy(*by).agg(F.count("*").alias("n"), F.corr(actual, predicted).alias("r"), F.regr_slope(actual, predicted).alias("slope"))
+    g = df.where(ok).groupBy(*by).agg(F.count("*").alias("n"), correlation(actual, predicted).alias("r"), F.regr_slope(actual, predicted).alias("slope"))
     return g.withColumn("p_value", p("r", "n"))

@@ -84,7 +84,7 @@ def anomaly_readback(spark, d):
   UNION ALL SELECT q, 'step', CASE WHEN q < 0.15 THEN 0.1 WHEN q > 0.95 THEN 1.0 WHEN q >= 0.7 THEN 0.7 WHEN q >= 0.4 THEN 0.3 ELSE 0.2 END::DOUBLE, q BETWEEN 0.15 AND 0.95 FROM q)
 SELECT q, kind, round(b, 6) AS mapped, CASE WHEN ina AND b BETWEEN 0.1 AND 0.6 THEN 'IN_SUPPORT' WHEN kind = 'step' AND q < 0.15 THEN 'OUT_OF_SUPPORT_LOW' WHEN kind = 'step' AND q > 0.95 THEN 'OUT_OF_SUPPORT_HIGH'
   WHEN b < 0.1 THEN 'OUT_OF_SUPPORT_LOW' ELSE 'OUT_OF_SUPPORT_HIGH' END AS status, ina AND b BETWEEN 0.1 AND 0.6 AS usable,
-  round(-0.5 * 0.8 * 0.2 * (b - 0.6), 6) AS added, round(exp(0.5 * 0.8 * 0.2 * (b - 0.6)), 6) AS factor FROM m""")
+  round(-0.5 * 0.8 * 0.2 * (b - 0.6), 6) + 0.0 AS added, round(exp(0.5 * 0.8 * 0.2 * (b - 0.6)), 6) AS factor FROM m""")
 def scenario_maps(spark, d):
     q = table(spark, d, "lineitem").select((F.col("l_discount") * 10).alias("q")).distinct()
     out = None
@@ -92,7 +92,7 @@ def scenario_maps(spark, d):
         b, status, usable = numeric.quality_map(F.col("q"), kind, 0.5, 0.5, 0.15, 0.95, [(0.15, 0.2), (0.4, 0.3), (0.7, 0.7)])
         x = q.select("q", F.lit(kind).alias("kind"), b.alias("mapped"), status.alias("status"), usable.alias("usable"))
         added, factor = numeric.scenario_effect(F.col("mapped"), "additive", 0.5, 0.8, 0.2)[0], numeric.scenario_effect(F.col("mapped"), "tokens", 0.5, 0.8, 0.2)[1]
-        x = x.select("q", "kind", r6("mapped").alias("mapped"), "status", "usable", r6(added).alias("added"), r6(factor).alias("factor"))
+        x = x.select("q", "kind", r6("mapped").alias("mapped"), "status", "usable", (r6(added) + 0.0).alias("added"), r6(factor).alias("factor"))
         out = x if out is None else out.unionAll(x)
     return out
 
@@ -145,7 +145,7 @@ def _spearman_sql(source, by, x, y):
 
 def _correlations_sql():
     parts = []
-    rho = "round(CASE WHEN n > 2 AND NOT isnan(rho) THEN rho END, 6) AS rho"
+    rho = "round(CASE WHEN n > 2 AND NOT isnan(rho) THEN rho END, 6) + 0.0 AS rho"
     for f in ("n_words", "n_sentences"):
         parts.append(f"SELECT 'within' AS scope, k AS domain, '{f}' AS feature, n::BIGINT AS n, {rho} FROM {_spearman_sql('s9', 'lang', f, 'q')}")
         parts.append(f"SELECT 'between', 'means', '{f}', n::BIGINT, {rho} FROM {_spearman_sql('m', 'one', f, 'q')}")
@@ -161,7 +161,8 @@ def _scored(spark, d):
 
 @query(_correlations_sql())
 def indicator_correlations(spark, d):
-    return rounded(quality.indicator_correlations(_scored(spark, d), "lang", ["n_words", "n_sentences"]), "rho")
+    x = rounded(quality.indicator_correlations(_scored(spark, d), "lang", ["n_words", "n_sentences"]), "rho")
+    return x.withColumn("rho", F.col("rho") + 0.0)
 
 
 @query("""WITH b AS (SELECT c_nationkey AS k, max(c_acctbal) AS v FROM customer WHERE c_nationkey < 20 GROUP BY k), e AS (SELECT c_nationkey AS k, CASE WHEN c_custkey % 11 = 0 THEN c_acctbal ELSE max(c_acctbal) OVER (PARTITION BY c_nationkey) END AS v FROM customer),

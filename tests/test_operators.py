@@ -302,7 +302,8 @@ def test_ranks_quantiles_and_carries_equal_plain_python(spark):
         v = [r[2] for r in groups[g] if r[2] is not None]
         assert np.allclose(q[g], np.quantile(v, [0.1, 0.5, 0.99]))
         assert np.isclose(t[g], np.quantile(np.repeat(v, [int(r[3]) for r in groups[g] if r[2] is not None]), 0.5))
-    assert "only" not in q and ordering.quantiles(d.limit(0), [], "v", {"p": 0.5}).count() == 0
+    assert "only" not in q and ordering.quantiles(d.limit(0), ["g"], "v", {"p": 0.5}).count() == 0
+    assert [r.p for r in ordering.quantiles(d.limit(0), [], "v", {"p": 0.5}).collect()] == [None]  # as SQL has it
     for before in (False, True):
         got = {r.k: r.last for r in ordering.carried(d, ["g"], F.col("k"), ["k"], "k", "v", "last", before).collect()}
         for part in groups.values():
@@ -315,6 +316,17 @@ def test_ranks_quantiles_and_carries_equal_plain_python(spark):
                     assert got[r[1]] == last
 
 
+def test_running_totals_of_many_values_agree(spark):
+    d = spark.range(60_000, numPartitions=40).select((F.col("id") % 2).alias("g"), (F.sin(F.col("id").cast("double")) * 100).alias("v"), F.lit(1).alias("one"))
+    for by in ([], ["g"]):
+        r = ordering.running(d, by, "v", "one")
+        g = r.groupBy(*by).agg(F.sum("w").alias("n"), F.max("total").alias("t"), F.max(F.col("before") + F.col("w")).alias("last"), F.countDistinct("before").alias("places"), F.count("*").alias("values"))
+        assert all(x.n == x.t == x.last and x.places == x["values"] for x in g.collect())
+    got = stats.conformal(d, [], "v").first()
+    v = np.sort(np.sin(np.arange(60_000.0)) * 100)
+    assert math.isclose(got.conformal_q, v[57_001], rel_tol=1e-12)
+
+
 def test_late_dates_and_positional_rows(spark):
     d = spark.createDataFrame([(i, f"2024-01-{1 + i % 10:02d}") for i in range(40)] + [(99, None)], "i long, t string").withColumn("t", F.to_date("t"))
     got = rows.late_dates(d, "t").collect()
@@ -424,7 +436,8 @@ def test_role_leaks_and_nested_nan(spark, tmp_path):
     assert line == {"a": [1.0, None], "m": {"k": None}, "s": {"x": None, "y": [None]}}
     sinks.report_csv(spark.createDataFrame([(1, 0.1), (2, 1e300)], "i int, x double"), str(tmp_path / "marked"), ["i", "x"], byte_order_mark=True)
     text = "".join(open(p, encoding="utf-8").read() for p in sorted(map(str, (tmp_path / "marked").glob("part-*"))))
-    assert text.splitlines() == ["﻿i,x", "1,0.10000000000000001", "2,1.0000000000000001e+300"]
+    head, *cells = text.splitlines()
+    assert head == "\ufeffi,x" and [float(c.split(",")[1]) for c in cells] == [0.1, 1e300]  # 17 digits read back as they were
 
 
 def test_written_tables_need_a_shared_folder(spark, monkeypatch):
