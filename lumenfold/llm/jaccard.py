@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, releasing, scratch, values, whole_row, written
+from .common import discard, partitions, releasing, scratch, values, whole_row, written
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -401,6 +401,7 @@ def _linked(share: int):
 
 
 HOT = 1000  # pairs of one node that a task verifies
+PART = 256  # nodes of a large cell that meet its pivots in a task
 
 
 class Join:
@@ -430,6 +431,9 @@ class Join:
         # a node's leading shingles, at most a quarter of its own
         lists = self.groups.groupBy("node").agg(F.collect_list("s").alias("shared"))
         self.nodes = written(lists.join(facts, "node"), "jaccard-nodes")
+        names = written(self.rows.select("id", "node", "n"), "jaccard-names")
+        discard(self.rows)  # the lists of all rows are as large as the texts' quarter
+        self.rows = names
 
     def stars(self) -> DataFrame:
         """(pivot, node): the most central node of each shingle, and all nodes of its shingles."""
@@ -468,6 +472,20 @@ class Join:
             x.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), "n_a", "n_b"), "jaccard-verified"
         )
 
+    def reached(self, cells: DataFrame, pivots: DataFrame) -> DataFrame:
+        """The rows of `cells` with each pivot of theirs: pivot as b, n_a, n_b, and both, the exact intersection.
+
+        A node's set goes once to its part of a cell, where the sets of all its pivots are; no set goes with each pair.
+        """
+        wanted = cells.select("node").distinct().join(self.nodes.select("node", "raw"), "node").select("raw")
+        sets = _sets(self.docs, self.width, wanted)
+        parts = F.ceil(F.col("was") / PART).cast("int")
+        near = cells.withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), parts.cast("long")).cast("int")).join(sets, "node")
+        far = pivots.join(sets, "node").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        far = far.select("cell", "part", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("set").alias("set_b"))
+        x = near.join(far, ["cell", "part"])  # few pivots, so the right side of a key is small
+        return x.select("cell", "node", "component", "n", "was", "b", F.col("n").alias("n_a"), "n_b", F.size(F.array_intersect("set", "set_b")).alias("both"))
+
     def linked(self):
         return 100 * F.col("both") >= self.share * (F.col("n_a") + F.col("n_b") - F.col("both"))
 
@@ -517,16 +535,13 @@ class Join:
                 break
             # large cells hold more than `cell_nodes` nodes or very long ones; one pivot at least
             draw = F.pmod(F.xxhash64("node", F.lit(level)), F.greatest(F.floor(F.col("was") / self.PIVOTS), F.lit(1))) == 0
-            pivots = cells.where(draw).select("cell", "node").unionAll(cells.groupBy("cell").agg(F.min("node").alias("node")))
-            pivots = written(pivots.distinct().select("cell", F.col("node").alias("pivot")), "jaccard-pivots")
-            reach = cells.join(pivots, "cell")
-            seen = self.verified(self._sized(reach.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()))
-            new = seen.where(self.linked()).select("a", "b")
+            least = cells.groupBy("cell").agg(F.min(F.struct("node", "n", "was")).alias("x")).select("cell", "x.*")
+            pivots = written(cells.where(draw).select("cell", "node", "n", "was").unionAll(least).distinct(), "jaccard-pivots")
+            reach = written(self.reached(cells, pivots), "jaccard-reach")
+            new = reach.where(self.linked() & (F.col("node") != F.col("b"))).select(F.col("node").alias("a"), "b")
             links = new if links is None else links.unionAll(new)
-            seen = seen.select(F.col("a").alias("node"), F.col("b").alias("pivot"), self.distance().alias("e"))
-            reach = reach.join(seen, ["node", "pivot"], "left")
-            reach = reach.withColumn("e", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("e")))
-            reach = written(reach.select("cell", "node", "component", "n", "was", "pivot", "e"), "jaccard-reach")
+            # the distance of a pivot from itself is 0
+            reach = reach.select("cell", "node", "component", "n", "was", F.col("b").alias("pivot"), self.distance().alias("e"))
             home = reach.groupBy("cell", "node").agg(F.min(F.struct("e", "pivot")).alias("h")).select("cell", "node", F.col("h.e").alias("near"), F.col("h.pivot").alias("home"))
             far = home.groupBy("cell", F.col("home").alias("pivot")).agg(F.max("near").alias("r"))
             reach = reach.join(home, ["cell", "node"]).join(far, ["cell", "pivot"])
@@ -587,11 +602,6 @@ class Join:
         rows = self._in_cells(many.join(sets, "node").select("cell", "node", "component", "side", "set"), n)
         return links.unionAll(written(rows.mapInArrow(releasing(_linked(self.share)), "a long, b long"), "jaccard-links"))
 
-    def _sized(self, pairs: DataFrame) -> DataFrame:
-        n = self.nodes.select("node", "n")
-        x = pairs.join(n.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
-        return x.join(n.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b").select("a", "b", "n_a", "n_b")
-
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable; nodes with links only."""

@@ -453,6 +453,31 @@ def test_jaccard_rows_grow_with_the_group(spark, monkeypatch):
     assert all(sizes[1][k] <= 3 * max(v, 50) for k, v in sizes[0].items()), sizes
 
 
+def shuffled(spark):
+    """MB of shuffle that the session has written so far."""
+    time.sleep(1)  # the store is behind the tasks
+    return spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite() / 1e6
+
+
+def test_jaccard_sets_do_not_go_with_each_pivot(spark):
+    # a region larger than a cell, of long texts that share a third
+    rows = [(i, " ".join([f"w{j}" for j in range(600)] + [f"x{i}_{j}" for j in range(1200)])) for i in range(256)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        join = jaccard.Join(d, 5, 75, 1000, 128, 4_000_000)
+        cells = join.nodes.select(F.lit(1).cast("long").alias("cell"), "node", F.col("node").alias("component"), "n", F.lit(0).alias("side"), F.lit(float("nan")).alias("d"))
+        was = shuffled(spark)
+        _, links = join.parted(cells, levels=1)
+        assert links.count() == 0
+        made = shuffled(spark) - was
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert cells.count() == 256
+    # the sets are 4 MB, and 16 times that with each pair of a node and a pivot
+    assert made < 20, made
+
+
 def test_jaccard_sets_without_a_bitmap(spark):
     d = spark.createDataFrame([(1, "a b c d e f"), (2, "p q r s t u"), (3, "a b c d e f")], "id long, t string")
     wanted = spark.createDataFrame([(jaccard.raw_of("a b c d e f"),)], "raw long")
