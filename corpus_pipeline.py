@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm.common import table, texts, written
+from lumenfold.llm.common import discard, scratch, table, texts, written
 from lumenfold.llm.decontam import without_contaminated
 from lumenfold.llm.exact_dedup import without_copies
 from lumenfold.llm.jaccard import one_of_each
@@ -58,5 +58,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as keep:
+            left = keep(written(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if hasattr(docs, "_written_to"):
+            discard(docs)  # the stage's rows are written, so nothing reads those before it
+        docs = left
     return STAGES[-1][1](spark, docs, sf_dir)

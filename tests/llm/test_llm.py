@@ -829,3 +829,13 @@ def test_pipeline_stages(spark):
             at += r.length
         assert at == len(ids)
     assert json.dumps(packed.columns[:7]) == json.dumps(["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+
+def test_pipeline_leaves_no_stage_behind(spark, monkeypatch):
+    step = lambda s, d, _: common.written(d.where("doc_id % 2 = 0"), "pipeline-inner").withColumn("doc_id", F.floor(F.col("doc_id") / 2))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", step), ("b", step), ("last", lambda s, d, _: d)])
+    folder = f"{common.new_path(spark, 'x').removeprefix('file:').rpartition('/')[0]}"
+    was = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = corpus_pipeline.run(spark, FOLDER)
+    assert out.count() == spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id % 4 = 0").count()
+    assert [x.split("-")[1] for x in set(os.listdir(folder)) - was] == ["b"]
