@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lists import bernstein_cubic, one_hot
 from .evaluation import near_tie
+from .ordering import running
 from .stats import conformal, spearman
 from .store import written
 
@@ -208,31 +212,46 @@ def one_standard_error(df: DataFrame, by: list[str], model: str, complexity: str
 # ---- candidate ladders -------------------------------------------------------------------
 
 
+#: Of a residual's size, so many bits name the bin in which the order statistic is sought: 256 bins from a number to its double.
+LEADING_BITS = 20
+
+
 def ladder(df: DataFrame, target: str, specs: dict[str, list[str]], least: int = 4) -> DataFrame:
     """candidate, n_fit, n_features, status, rmse, loo_rmse, half_width of least squares with intercept on each spec's complete cases.
 
     One pass sums the products of all specs; a second has each row's leave-one-out residual
-    e / (1 - h), whose 95 % conformal order statistic is the half width.  A spec with too few
+    e / (1 - h), whose 95 % conformal order statistic is the half width: the second pass counts
+    sizes by their leading bits, a third orders those of the one bin that holds it.  A spec with too few
     rows (fewer than `least`, or not more than its columns) or dependent columns has a status only.
     """
-    ok = {k: _complete([target, *cols]) for k, cols in specs.items()}
-    aggs, at = [], {}
-    for i, (k, cols) in enumerate(specs.items()):
-        aggs.append(F.count_if(ok[k]).alias(f"n{i}"))
-        names = [None, *cols, target]
-        for a in range(len(names)):
-            for b in range(a, len(names)):
-                v = F.lit(1.0)
-                for c in (names[a], names[b]):
-                    v = v if c is None else v * F.col(c).cast("double")
-                at[k, a, b] = f"s{i}_{a}_{b}"
-                aggs.append(F.sum(F.when(ok[k], v)).alias(at[k, a, b]))
-    sums = df.agg(*aggs).first()  # one row
-    rows, status = [], []
+    names = list(dict.fromkeys([target, *[c for cols in specs.values() for c in cols]]))
+    at = [[names.index(c) for c in cols] for cols in specs.values()]
+    x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+
+    def complete(b, i):
+        """Target and columns of a batch's complete cases of spec i."""
+        m = [b.column(k).to_numpy(zero_copy_only=False) for k in (0, *at[i])]
+        ok = np.logical_and.reduce([np.isfinite(v) for v in m])
+        return [v[ok] for v in m]
+
+    def products(batches):
+        total = [np.zeros((len(c) + 2, len(c) + 2)) for c in at]
+        for b in batches:
+            for i in range(len(at)):
+                y, *cols = complete(b, i)
+                m = np.stack([np.ones(len(y)), *cols, y])
+                total[i] += m @ m.T
+        flat = [(i, k, v) for i, g in enumerate(total) for k, v in enumerate(g.reshape(-1).tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat, strict=True)], names=["i", "k", "v"])
+
+    grams = [np.zeros((len(c) + 2) ** 2) for c in at]
+    for r in x.mapInArrow(products, "i long, k long, v double").groupBy("i", "k").agg(F.sum("v").alias("v")).collect():  # a row per product
+        grams[r["i"]][r["k"]] = r["v"]
+    status, models = [], {}
     for i, (k, cols) in enumerate(specs.items()):
-        n, p = sums[f"n{i}"], len(cols) + 1
-        g = np.array([[sums[at[k, min(a, b), max(a, b)]] or 0.0 for b in range(p + 1)] for a in range(p + 1)])
-        xx, xy = g[:p, :p], g[:p, p]
+        p = len(cols) + 1
+        g = grams[i].reshape(p + 1, p + 1)
+        n, xx, xy = round(g[0, 0]), g[:p, :p], g[:p, p]
         if n < least or n <= len(cols):
             status.append((k, n, len(cols), "TOO_FEW"))
             continue
@@ -243,18 +262,63 @@ def ladder(df: DataFrame, target: str, specs: dict[str, list[str]], least: int =
             continue
         status.append((k, n, len(cols), "OK"))
         inverse = np.linalg.inv(unit) / np.outer(scale, scale)
-        beta = inverse @ xy
-        x = [F.lit(1.0), *[F.col(c).cast("double") for c in cols]]
-        fitted = sum((F.lit(float(b)) * v for b, v in zip(beta, x, strict=True)), F.lit(0.0))
-        h = sum((F.lit(float(inverse[a, b])) * x[a] * x[b] for a in range(p) for b in range(p)), F.lit(0.0))
-        e = F.col(target).cast("double") - fitted
-        rows.append(F.when(ok[k], F.struct(F.lit(k).alias("candidate"), e.alias("e"), (e / F.greatest(1 - h, F.lit(1e-12))).alias("o"))))
-    spark = df.sparkSession
-    out = spark.createDataFrame(status, "candidate string, n_fit long, n_features long, status string")
-    if not rows:
+        models[i] = (k, n, inverse @ xy, inverse)
+    out = df.sparkSession.createDataFrame(status, "candidate string, n_fit long, n_features long, status string")
+    if not models:
         return out.withColumns({c: F.lit(None).cast("double") for c in ("rmse", "loo_rmse", "half_width")})
-    long = df.select(F.explode(F.array(*rows)).alias("_x")).where(F.col("_x").isNotNull()).select("_x.*").withColumn("a", F.abs("o"))
-    return out.join(_residuals(long), "candidate", "left")
+
+    def residuals(b, i):
+        """e and o, value by value, so that they have the same bits in each pass."""
+        _, _, beta, inverse = models[i]
+        y, *cols = complete(b, i)
+        z = [np.ones(len(y)), *cols]
+        e, h = y.copy(), np.zeros(len(y))
+        for c in range(len(z)):
+            e -= beta[c] * z[c]
+            part = inverse[c, c] * z[c]
+            for d in range(c + 1, len(z)):
+                part += 2 * inverse[c, d] * z[d]
+            h += part * z[c]
+        return e, e / np.maximum(1 - h, 1e-12)
+
+    leading = lambda o: (np.abs(o).view(np.uint64) >> np.uint64(64 - LEADING_BITS)).astype(np.int64)
+
+    def counted(batches):
+        held, sums = {i: {} for i in models}, {i: np.zeros(2) for i in models}
+        for b in batches:
+            for i in models:
+                e, o = residuals(b, i)
+                sums[i] += e @ e, o @ o
+                for v, n in zip(*(c.tolist() for c in np.unique(leading(o), return_counts=True)), strict=True):
+                    held[i][v] = held[i].get(v, 0) + n
+        flat = [(i, -1, 0, *map(float, sums[i])) for i in models] + [(i, v, n, 0.0, 0.0) for i in models for v, n in held[i].items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat, strict=True)], names=["i", "bin", "n", "e", "o"])
+
+    bins = x.mapInArrow(counted, "i long, bin long, n long, e double, o double").groupBy("i", "bin").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("o").alias("o"))
+    found = sorted(map(tuple, bins.collect()))  # at most 2 ** LEADING_BITS rows of a spec
+    facts, wanted = [], {}
+    for i, (k, n, _, _) in models.items():
+        (_, _, _, e, o), *rest = [r for r in found if r[0] == i]
+        place, below = math.ceil(round(min(1.0, math.ceil((n + 1) * 0.95) / n) * (n - 1), 9)), 0
+        for _, v, m, _, _ in rest:
+            if below + m > place:
+                wanted[i] = v
+                break
+            below += m
+        facts.append((i, k, math.sqrt(e / n), math.sqrt(o / n), place - below))
+
+    def inside(batches):
+        for b in batches:
+            for i, v in wanted.items():
+                o = np.abs(residuals(b, i)[1])
+                o = o[leading(o) == v]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), i)), pa.array(o), pa.array(np.ones(len(o), np.int64))], names=["i", "a", "one"])
+
+    values = written(x.mapInArrow(inside, "i long, a double, one long").groupBy("i", "a").agg(F.sum("one").alias("one")), "ladder-values")
+    facts = df.sparkSession.createDataFrame(facts, "i long, candidate string, rmse double, loo_rmse double, place long")
+    r = running(values, ["i"], "a", "one").join(F.broadcast(facts), "i")  # a row per spec
+    r = r.where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("w")))
+    return out.join(r.select("candidate", "rmse", "loo_rmse", F.col("a").alias("half_width")), "candidate", "left")
 
 
 def _complete(columns: list[str]):

@@ -338,6 +338,24 @@ def test_late_dates_and_positional_rows(spark):
 
 # ---- fits by sums
 
+def test_ladder_orders_few_residuals(spark, monkeypatch):
+    made, write = {}, fit.written
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(fit, "written", counted)
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(0, 1, 4000), rng.normal(0, 1, 4000)
+    t = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double").repartition(3)
+    got = fit.ladder(t, "y", {"L": ["x"]}).first()
+    rest = np.abs(fit.leave_one_out(np.c_[np.ones(4000), x], y))
+    assert math.isclose(got.half_width, np.quantile(rest, math.ceil(4001 * 0.95) / 4000, method="higher"), rel_tol=1e-9)
+    assert 0 < made["ladder-values"] < 100
+
+
 def test_ladder_equals_numpy(spark):
     rng = np.random.default_rng(5)
     n = 200
